@@ -30,7 +30,10 @@ _GAPS = "[ \\t\\x0B-\\r]+"
 
 def generalised(text: Column) -> Column:
     """A text whose words with digits are wildcards; line ends are kept, other white space is one space."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _VARIABLE, WILD), _GAPS, " ")
+    whole = F.coalesce(text, F.lit(""))
+    masked = F.when(whole.rlike("[0-9]"), F.regexp_replace(whole, _VARIABLE, WILD)).otherwise(whole)
+    odd = whole.contains("  ") | whole.contains("\t") | whole.contains("\x0b") | whole.contains("\x0c") | whole.contains("\r")
+    return F.when(odd, F.regexp_replace(masked, _GAPS, " ")).otherwise(masked)
 
 
 def _leaf(template: Column) -> Column:
@@ -53,13 +56,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text. An empty table gives an empty result.
     """
     row = [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash")]
-    lines = docs.select(*row, F.posexplode(F.split(generalised(F.col(text_col)), "\n")).alias("place", "line"))
-    lines = lines.select("__id", "__hash", "place", F.trim("line").alias("template")).where("template <> ''")
-    keyed = lines.select("__id", "__hash", "place", _key(F.col("template")).alias("key"))
-
-    once = docs.select(*row, F.explode(F.array_distinct(F.transform(F.split(generalised(F.col(text_col)), "\n"), F.trim))).alias("template")).where("template <> ''")
-    counted = staged(once.select(_leaf(F.col("template")).alias("leaf"), F.size(F.split("template", " ")).alias("words"), _key(F.col("template")).alias("key"), "__id")
-                     .groupBy("leaf", "words", "key").agg(F.count(F.lit(1)).alias("documents")).where(f"documents >= {min_documents} or words >= {MIN_WORDS}"), "line-templates")
+    def keyed_line(line: Column) -> Column:
+        template = F.trim(line)
+        return F.when(template != "", F.struct(_leaf(template).alias("leaf"), F.size(F.split(template, " ")).alias("words"), _key(template).alias("key")))
+
+    parsed = staged(docs.select(*row, F.transform(F.split(generalised(F.col(text_col)), "\n"), keyed_line).alias("lines")), "line-keys")
+    keyed = parsed.select("__id", "__hash", F.posexplode("lines").alias("place", "line")).where("line is not null").select("__id", "__hash", "place", "line.key")
+    once = docs.select(F.explode(F.array_distinct(F.transform(F.split(generalised(F.col(text_col)), "\n"), F.trim))).alias("template")).where("template <> ''")
+    met_once = parsed.select(F.explode(F.array_distinct("lines")).alias("line")).where("line is not null").select("line.*")
+    counted = staged(met_once.groupBy("leaf", "words", "key").agg(F.count(F.lit(1)).alias("documents")).where(f"documents >= {min_documents} or words >= {MIN_WORDS}"), "line-templates")
     recurring = counted.where(f"documents >= {min_documents}").select("key", F.col("key").alias("template_key"))
     merged = _merged(once, counted, min_documents)
     if merged is not None:
@@ -67,7 +72,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     dealt = F.pmod(F.xxhash64("__id", "__hash"), F.lit(SALTS)).cast("int").alias("salt")
-    met = staged(keyed.select("*", dealt).join(recurring.select("*", salts), ["key", "salt"]).select("__id", "__hash", "place", "template_key"), "line-met")
+    met = staged(keyed.select("*", dealt).join(recurring.select("*", salts).hint("merge"), ["key", "salt"]).select("__id", "__hash", "place", "template_key"), "line-met")
     first = met.groupBy("template_key").agg(F.min("__id").alias("first_id"))
     start = met.groupBy("template_key", "__id", "__hash").agg(F.min("place").alias("place")).join(first.withColumnRenamed("template_key", "k"), (F.col("template_key") == F.col("k")) & (F.col("__id") == F.col("first_id")))
     start = start.groupBy("template_key", "__id").agg(F.min("__hash").alias("__hash"), F.min_by("place", "__hash").alias("place")).select("__id", "__hash", "place", "template_key", F.lit(True).alias("stays"))
@@ -75,7 +80,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop = drop.groupBy("__id", "__hash").agg(F.collect_set("place").alias("__places"))
 
     marked = docs.select("*", *row)
-    marked = marked.join(drop.select(F.col("__id").alias("__id2"), F.col("__hash").alias("__hash2"), "__places"), (F.col("__id") == F.col("__id2")) & (F.col("__hash") == F.col("__hash2")), "left")
+    marked = marked.join(drop.select(F.col("__id").alias("__id2"), F.col("__hash").alias("__hash2"), "__places").hint("merge"), (F.col("__id") == F.col("__id2")) & (F.col("__hash") == F.col("__hash2")), "left")
     places = F.coalesce("__places", F.array().cast("array<int>"))
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(places, i)), "\n")
     count = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda line: F.trim(F.regexp_replace(line, _GAPS, " ")) != ""))
