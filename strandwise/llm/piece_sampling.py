@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,45 @@ _DOWN = pow(_UP, -1, 1 << 64)
 _ROWS = 300
 
 
+@dataclass
+class Filtered:
+    """Filtered lattices of chunks as flat arrays: states with cumulated shares of their edges; each chunk's last state."""
+
+    end: dict[str, int] = field(default_factory=dict)
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    rising: np.ndarray = field(default_factory=lambda: np.empty(0))
+    origin: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    label: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+
+    def joined(self, other: Filtered) -> Filtered:
+        if not other.end:
+            return self
+        base = len(self.first) - 1
+        self.end.update((c, base + k) for c, k in other.end.items())
+        return Filtered(self.end, np.append(self.first, len(self.rising) + other.first[1:]), np.append(self.rising, base + other.rising), np.append(self.origin, base + other.origin), np.append(self.label, other.label))
+
+    def walked(self, state: np.ndarray, draw: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward sampling from the states of the live chunks: labels of the picked edges and their chunks, first pieces first."""
+        state, picked, owner, step = state.copy(), [], [], 0
+        while True:
+            now = state[live]
+            more = self.first[now + 1] > self.first[now]
+            live, now = live[more], now[more]
+            if not len(live):
+                break
+            u = (_mix(draw[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            edge = np.clip(np.searchsorted(self.rising, now + u, "right"), self.first[now], self.first[now + 1] - 1)
+            picked.append(edge)
+            owner.append(live)
+            state[live] = self.origin[edge]
+            step += 1
+        if not picked:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return self.label[np.concatenate(picked)[::-1]], np.concatenate(owner)[::-1]
+
+
 class Lattice:
-    """Vocabulary of a model, and filtered lattices of chunks as flat arrays: states with cumulated shares of their edges."""
+    """Vocabulary of a model, and the filtered lattices of the chunks that were met first."""
 
     def __init__(self, path: str, alpha: float = ALPHA) -> None:
         import sentencepiece
@@ -60,14 +98,9 @@ class Lattice:
             total, _ = _prefix(codes)
             by_length.setdefault(len(codes), []).append((int(total[-1]), i, -alpha * float(np.log(rank + 2))))
         self.tables = {k: tuple(np.array(c, t) for c, t in zip(zip(*sorted(v)), (np.uint64, np.int64, np.float64))) for k, v in by_length.items()}
-        self.clear()
-
-    def clear(self) -> None:
-        self.end: dict[str, int] = {}
-        self.first, self.rising = np.zeros(1, np.int64), np.empty(0)
-        self.origin, self.label = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.kept = Filtered()
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[str]) -> Filtered:
         """Filters all chunks forward together: a step takes the states at one place of every chunk.
 
         State k of a chunk is the place after k characters; its edges are the pieces that end there, found by a
@@ -112,46 +145,30 @@ class Lattice:
             run[np.append(cut[1:], b - a) - 1] = 1.0
             share[a:b] = np.minimum(run, 1.0)
         order = np.argsort(state, kind="stable")
-        base, before = len(self.first) - 1, len(self.rising)
         sizes = np.bincount(state, minlength=len(log))
-        self.first = np.append(self.first, before + np.cumsum(sizes))
-        self.rising = np.append(self.rising, base + state[order] + share[order])
-        self.origin = np.append(self.origin, base + origin[order])
-        self.label = np.append(self.label, label[order])
-        self.end.update(zip(chunks, (base + np.cumsum(lengths + 1) - 1).tolist()))
+        ends = (np.cumsum(lengths + 1) - 1).tolist()
+        return Filtered(dict(zip(chunks, ends)), np.concatenate([[0], np.cumsum(sizes)]), state[order] + share[order], origin[order], label[order])
 
     def sample(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Piece ids of each text; a text's draws depend on its key, its chunks' numbers and their steps alone."""
         split = [_CHUNK.findall(t) for t in texts]
-        fresh = {c for chunks in split for c in chunks} - self.end.keys()
-        if len(self.end) + len(fresh) > _KEPT and self.end:
-            self.clear()
-            fresh = {c for chunks in split for c in chunks}
-        if len(fresh) > _KEPT and len(texts) > 1:
-            half = len(texts) // 2
-            return self.sample(texts[:half], keys[:half]) + self.sample(texts[half:], keys[half:])
-        if fresh:
-            self.learn(sorted(fresh))
+        fresh = sorted({c for chunks in split for c in chunks} - self.kept.end.keys())
+        now = self.learn(fresh) if fresh else Filtered()
+        if len(self.kept.end) + len(fresh) <= _KEPT:
+            self.kept, now = self.kept.joined(now), Filtered()
         counts = np.array([len(c) for c in split], np.int64)
-        state = np.fromiter((self.end[c] for chunks in split for c in chunks), np.int64, int(counts.sum()))
+        state = np.fromiter((self.kept.end.get(c, -1) for chunks in split for c in chunks), np.int64, int(counts.sum()))
         number = np.arange(len(state)) - np.repeat(np.cumsum(counts) - counts, counts)
         draw = _mix(np.repeat(np.array(keys, np.uint64), counts) ^ _mix(number.astype(np.uint64) + np.uint64(SEED << 40)))
-        live, picked, owner, step = np.arange(len(state)), [], [], 0
-        while True:
-            now = state[live]
-            more = self.first[now + 1] > self.first[now]
-            live, now = live[more], now[more]
-            if not len(live):
-                break
-            u = (_mix(draw[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.clip(np.searchsorted(self.rising, now + u, "right"), self.first[now], self.first[now + 1] - 1)
-            picked.append(edge)
-            owner.append(live)
-            state[live] = self.origin[edge]
-            step += 1
-        if not picked:
+        walks = [self.kept.walked(state, draw, np.flatnonzero(state >= 0))]
+        if now.end:
+            at = np.flatnonzero(state < 0)
+            flat = [c for chunks in split for c in chunks]
+            state[at] = [now.end[flat[i]] for i in at]
+            walks.append(now.walked(state, draw, at))
+        labels, owners = (np.concatenate(x) for x in zip(*walks))
+        if not len(labels):
             return [np.empty(0, np.int32) for _ in texts]
-        labels, owners = self.label[np.concatenate(picked)[::-1]], np.concatenate(owner)[::-1]
         order = np.argsort(owners, kind="stable")
         labels, text_of = labels[order], np.repeat(np.arange(len(texts)), counts)[owners[order]]
         spelled = np.flatnonzero(labels >= SPELLED)
@@ -194,10 +211,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _path(model: str) -> str:
+_LATTICES: dict[tuple[str, float], Lattice] = {}
+
+
+def lattice_of(model: str, alpha: float = ALPHA) -> Lattice:
+    """One lattice for each worker process, so that later tasks find what earlier ones kept."""
     import public_tokenizers
 
-    return public_tokenizers.path(model)
+    if (model, alpha) not in _LATTICES:
+        _LATTICES[model, alpha] = Lattice(public_tokenizers.path(model), alpha)
+    return _LATTICES[model, alpha]
 
 
 def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = ALPHA) -> DataFrame:
@@ -209,7 +232,7 @@ def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     arrow_batches(docs.sparkSession)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(_path(model), alpha)
+        lattice = lattice_of(model, alpha)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
@@ -223,7 +246,7 @@ def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, pieces, ids_crc32, text: the text that each row's ids spell. Null ids spell null."""
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(_path(model))
+        lattice = lattice_of(model)
         for batch in batches:
             rows = [None if r is None else np.array(r, "<i4") for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if r is None else len(r) for r in rows], pa.int64()), pa.array([None if r is None else zlib.crc32(r.tobytes()) for r in rows], pa.int64()), pa.array([None if r is None else lattice.decode(r) for r in rows], pa.string())], ["doc_id", "pieces", "ids_crc32", "text"])

@@ -7,6 +7,7 @@ committed, and its folder appears by one rename: a batch id commits once however
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,8 +24,9 @@ SUMS = ("documents", "tokens", "characters")
 _WORDS = 200_000
 
 
+@functools.cache
 def counter(version: str) -> Callable[[list[str]], list[int]]:
-    """Counts tokens of whole texts; loaded where it runs, from the public tokenizers' folder."""
+    """Counts tokens of whole texts; loaded once where it runs, from the public tokenizers' folder."""
     import public_tokenizers as home
 
     if version.endswith(".model"):
@@ -51,9 +53,8 @@ def counter(version: str) -> Callable[[list[str]], list[int]]:
                     n = known.get(part)
                     if n is None:
                         n = len(coder.encode_ordinary(part))
-                        if len(known) >= _WORDS:
-                            known.clear()
-                        known[part] = n
+                        if len(known) < _WORDS:
+                            known[part] = n
                     total += n
                 out.append(total)
             return out

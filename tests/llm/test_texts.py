@@ -147,7 +147,9 @@ def test_allocation_covers_the_distance():
         assert sum(t + 1 for t in thresholds) == 4 and sorted(b for g in groups for b in g) == list(range(64))
 
 
-def test_tokens_match_the_tokenizer():
+@pytest.mark.parametrize("kept", [400_000, 3])
+def test_tokens_match_the_tokenizer(kept, monkeypatch):
+    monkeypatch.setattr(packing, "_WORDS", kept)
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -188,7 +190,7 @@ def test_packing_invariants(spark):
     assert packing.pack(table(spark, [])).count() == 0
 
 
-def test_piece_sampling_is_lossless_and_follows_the_lattice(spark):
+def test_piece_sampling_is_lossless_and_follows_the_lattice(spark, monkeypatch):
     import public_tokenizers
 
     texts = ["", "the theatre", "  a  b\n\n c▁d ▁ x", "ünï\x00\t日本語 😀", " " * 70 + "\n" * 5, "x" * 3000]
@@ -196,8 +198,11 @@ def test_piece_sampling_is_lossless_and_follows_the_lattice(spark):
     one = lattice.sample(texts, list(range(6)))
     assert [lattice.decode(i) for i in one] == texts
     again = piece_sampling.Lattice(public_tokenizers.path(piece_sampling.MODEL))
-    again.learn(["zz", " other"])
+    again.kept = again.kept.joined(again.learn(["zz", " other"]))
     assert all((a == b).all() for a, b in zip(one, again.sample(texts, list(range(6)))))
+    full = piece_sampling.Lattice(public_tokenizers.path(piece_sampling.MODEL))
+    monkeypatch.setattr(piece_sampling, "_KEPT", 1)
+    assert all((a == b).all() for a, b in zip(one, full.sample(texts, list(range(6)))))
 
     def paths(word):
         if not word:
