@@ -55,9 +55,9 @@ def moving_average_by_distance(distances: np.ndarray, values: np.ndarray, window
 
 
 def smoothing_windows(resolution: float) -> tuple[int, int]:
-    """Widths for detection and refinement: about a third of the resolution and 0.4 of that, snapped to 10 k + 1."""
+    """Widths for detection and refinement: a third and a sixth of the resolution, snapped to 10 k + 1."""
     snap = lambda t: 1 if t < 11 else 10 * int((t - 1) // 10) + 1
-    return snap(resolution / 3), snap(resolution / 7.5)
+    return snap(resolution / 3), snap(resolution / 6)
 
 
 def plateau_maxima(values: np.ndarray) -> np.ndarray:

@@ -48,3 +48,33 @@ def randomized(fragments: DataFrame, block: int = 100_000, seed: int = 12345) ->
 
 def tied_order(seed: int, *columns: str) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
+
+
+#: Places relative to the dyad where the minor and the major groove face the histones, as half-open ranges.
+MINOR = ((-69, -66), (-59, -56), (-48, -45), (-37, -34), (-27, -24), (-17, -14), (14, 17), (24, 27), (34, 37), (45, 48), (56, 59), (66, 69))
+MAJOR = ((-64, -61), (-53, -51), (-42, -40), (-32, -29), (-22, -19), (-12, -9), (9, 12), (19, 22), (29, 32), (40, 42), (51, 53), (61, 64))
+HALF_CORE = 73
+
+
+def core_intervals(fragments: DataFrame) -> DataFrame:
+    """147 bases around each dyad, in place of the fragment's ends."""
+    dyad = F.col("s") + F.expr("(e - s) div 2")
+    rest = [c for c in fragments.columns if c not in ("s", "e")]
+    return fragments.select(*rest, (dyad - HALF_CORE).alias("s"), (dyad + HALF_CORE + 1).alias("e"))
+
+
+def core_type(core: Column) -> Column:
+    """type1 to type4 by whether weak and strong pairs prefer the minor groove; null unless the core is 147 bases of A, C, G, T.
+
+    Counts at the major groove are scaled by the number of places; weak pairs prefer by >=, strong ones by >.
+    """
+    def count(ranges: tuple, pairs: list[str]) -> Column:
+        places = F.array(*[F.lit(p + HALF_CORE + 1) for a, b in ranges for p in range(a, b)])
+        return F.size(F.filter(places, lambda p: F.substring(core, p, F.lit(2)).isin(pairs)))
+
+    scale = F.lit(sum(b - a for a, b in MINOR) / sum(b - a for a, b in MAJOR))
+    weak, strong = ["AA", "AT", "TA", "TT"], ["CC", "CG", "GC", "GG"]
+    weak_minor = count(MINOR, weak) >= count(MAJOR, weak) * scale
+    strong_minor = count(MINOR, strong) > count(MAJOR, strong) * scale
+    kind = F.when(weak_minor & ~strong_minor, "type1").when(weak_minor & strong_minor, "type2").when(~weak_minor & ~strong_minor, "type3").otherwise("type4")
+    return F.when((F.length(core) == 2 * HALF_CORE + 1) & is_acgt(core), kind)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import first_after, last_before
+from .lineage import cut
 
 POLICIES = ("highest-score", "first", "keep", "error")
 
@@ -16,7 +17,10 @@ def limited_copies(fragments: DataFrame, most: int = 1, keys: tuple[str, ...] =
         return fragments
     if most == 1:  # a plain aggregation combines before it shuffles
         rest = [c for c in fragments.columns if c not in (*keys, order)]
-        return fragments.groupBy(*keys).agg(F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in rest]).select(*fragments.columns)
+        first = [] if order in keys else [F.min(order).alias(order)]
+        if not first and not rest:
+            return fragments.select(*keys).distinct().select(*fragments.columns)
+        return fragments.groupBy(*keys).agg(*first, *[F.min_by(c, order).alias(c) for c in rest]).select(*fragments.columns)
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     return fragments.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")
 
@@ -143,12 +147,14 @@ def matched_one_to_one(query: DataFrame, target: DataFrame, most: int | None = N
         pairs = q.join(t, (F.col(chrom) == F.col("__c")) & (F.col("query") == F.col("__q")) & (F.col("target") == F.col("__t"))).drop("__c", "__q", "__t")
         if most is not None:
             pairs = pairs.where(F.col("distance") <= most)
-        pairs = pairs.persist()
+        pairs = cut(pairs)
         if not pairs.limit(1).count():
             break
         found = pairs if found is None else found.unionByName(pairs)
-        left = left.join(pairs.select(F.col(chrom).alias("__c"), F.col("query").alias("__p")), (F.col(chrom) == F.col("__c")) & (F.col("p") == F.col("__p")), "left_anti").persist()
-        right = right.join(pairs.select(F.col(chrom).alias("__c"), F.col("target").alias("__p")), (F.col(chrom) == F.col("__c")) & (F.col("p") == F.col("__p")), "left_anti").persist()
+        left = left.join(pairs.select(F.col(chrom).alias("__c"), F.col("query").alias("__p")), (F.col(chrom) == F.col("__c")) & (F.col("p") == F.col("__p")), "left_anti")
+        left = cut(left)
+        right = right.join(pairs.select(F.col(chrom).alias("__c"), F.col("target").alias("__p")), (F.col(chrom) == F.col("__c")) & (F.col("p") == F.col("__p")), "left_anti")
+        right = cut(right)
     return found if found is not None else query.sparkSession.createDataFrame([], f"{chrom} string, query long, target long, distance long")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import contigs
-from ..operators import annotate, correlate, intervals, sequence, signals, spacing
+from ..operators import annotate, calls, correlate, intervals, sequence, signals, spacing
 from .views import FRAGMENT_CONTIG, PEAK_CONTIG, VIEWS, view, with_views
 
 _QUERIES: dict = {}
@@ -480,6 +480,20 @@ def dinucleotide_profile(fragments):
     return sequence.dinucleotide_profile(found.withColumn("copy", F.explode("copies")))
 
 
+_SITE_ROWS = ", ".join(f"({g}, {p})" for g, ranges in ((1, sequence.MINOR), (2, sequence.MAJOR)) for lo, hi in ranges for p in range(lo, hi))
+
+
+@query(f""", f as (select chrom, s, e, count(*) as copies, s + (e - s) // 2 as dyad from fragments group by 1, 2, 3), sites(g, r) as (values {_SITE_ROWS}),
+x as (select chrom, s, e, copies, dyad, g, dyad + r as p from f, sites), d as (select *, {_BASE} || {_BASE.replace('p*p', '(p+1)*(p+1)').replace('p*17', '(p+1)*17')} as pair from x where dyad >= 73),
+c as (select chrom, s, e, copies, count(*) filter (g = 1 and pair in ('AA','AT','TA','TT')) as w1, count(*) filter (g = 2 and pair in ('AA','AT','TA','TT')) as w2, count(*) filter (g = 1 and pair in ('CC','CG','GC','GG')) as s1, count(*) filter (g = 2 and pair in ('CC','CG','GC','GG')) as s2 from d group by 1, 2, 3, 4),
+t as (select copies, case when w1 >= w2 * 1.125 then case when s1 > s2 * 1.125 then 'type2' else 'type1' end else case when s1 > s2 * 1.125 then 'type4' else 'type3' end end as kind from c union all select copies, 'unclassified' from f where dyad < 73)
+select kind, cast(sum(copies) as bigint) as n from t group by 1""", "fragments")
+def ww_types(fragments):
+    kept = fragments.groupBy("chrom", "s", "e").agg(F.count(F.lit(1)).alias("copies"))
+    cores = sequence.fragment_sequences(sequence.core_intervals(kept).groupBy("chrom", "s", "e").agg(F.sum("copies").alias("copies")), _reference(fragments.sparkSession), _CHUNK)
+    return cores.groupBy(F.coalesce(sequence.core_type(F.col("sequence")), F.lit("unclassified")).alias("kind")).agg(F.sum("copies").alias("n"))
+
+
 # -- not expressible in one SQL statement ------------------------------------------------------------------------------
 @query(None, "peaks", "genes")
 def one_to_one_matching(peaks, genes):
@@ -491,4 +505,44 @@ def randomized_fragments(fragments):
     return sequence.randomized(fragments)
 
 
+@query(None, "fragments")
+def protected_calls(fragments):
+    return calls.call_protected(signals.protection_score(fragments), cutoff=1.0)
+
+
+@query(None, "fragments")
+def adjusted_protection(fragments):
+    """Sums of the adjusted tracks over each thousand bases."""
+    sizes = fragments.sparkSession.createDataFrame([(f"chr{i}", FRAGMENT_CONTIG) for i in range(1, 5)], "chrom string, length long")
+    found = calls.adjusted_protection(signals.protection_score(fragments), sizes)
+    rows = found.select("chrom", "start", F.posexplode(F.arrays_zip("smoothed", "smoothed_adjusted")).alias("i", "v"))
+    return rows.groupBy("chrom", F.floor((F.col("start") + F.col("i")) / 1000).alias("kb")).agg(_r(F.sum("v.smoothed"), 3).alias("smoothed"), _r(F.sum("v.smoothed_adjusted"), 3).alias("adjusted"))
+
+
+@query(None, "peaks")
+def repeat_length(peaks):
+    """Peaks of the pooled neighbour distances of each contig, and their line."""
+    h = spacing.neighbour_distances(peaks, 10).where("distance <= 1200").groupBy("chrom", "distance").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return calls.profile_peaks(h, ["chrom"])
+
+
+@query(None, "peaks")
+def smoothed_distances(peaks):
+    h = spacing.neighbour_distances(peaks, 3).where("distance <= 1500").groupBy("ord", "distance").agg(F.count(F.lit(1)).alias("n"))
+    return calls.smoothed_histogram(h, ["ord"]).withColumn("smooth", _r("smooth"))
+
+
+@query(None, "genes", "fragments", "expression")
+def periodicity_expression(genes, fragments, expression):
+    """Correlation of expression with the spectrum of starts in 1,000 bases from each gene's start."""
+    half = 500
+    track = _start_track(fragments)
+    sites = _sites(genes).where(F.col("pos") < FRAGMENT_CONTIG)
+    base = annotate.windowed_signal(sites, track, half, ["gene_id"]).groupBy("gene_id").agg(F.map_from_entries(F.collect_list(F.struct("offset", "value"))).alias("m"))  # at most 2 half + 1 entries
+    signal = F.transform(F.sequence(F.lit(-half).cast("long"), F.lit(half).cast("long")), lambda o: F.coalesce(F.try_element_at("m", o), F.lit(0)).cast("double"))
+    spectra = calls.gene_spectra(base.select("gene_id", signal.alias("signal")), "gene_id")
+    both = spectra.join(expression.withColumn("v", contigs.expression_value(F.col("value"), "log2-floor")), "gene_id")
+    return both.groupBy("profile", "period").agg(F.count(F.lit(1)).alias("genes"), _r(F.corr("power", "v")).alias("r")).where("genes >= 30")
+
+
 __all__ = ["PEAK_CONTIG", "VIEWS", "oracle_sql", "queries", "query"]
