@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import contigs
-from ..operators import annotate, calls, correlate, intervals, sequence, signals, spacing
+from ..operators import annotate, calls, compare, correlate, intervals, sequence, signals, spacing
 from .views import FRAGMENT_CONTIG, PEAK_CONTIG, VIEWS, view, with_views
 
 _QUERIES: dict = {}
@@ -329,6 +329,41 @@ def box_statistics(peaks):
     return found.select("klass", *[_r(c).alias(c) for c in ("q1", "median", "q3")], "low", "high", "outside")
 
 
+_NEXT = ", n as (select pos, lead(pos) over (partition by chrom order by pos) - pos as d, score, lead(score) over (partition by chrom order by pos) as other, klass from peaks), x as (select * from n where d is not null)"
+
+
+def _next_pairs(peaks: DataFrame) -> DataFrame:
+    order = Window.partitionBy("chrom").orderBy("pos")
+    return peaks.select("klass", "score", (F.lead("pos").over(order) - F.col("pos")).alias("d"), F.lead("score").over(order).alias("other")).where("d is not null")
+
+
+@query(_NEXT + " select b as bin, count(x.d) as n, round(count(x.d) * 1.0 / (select count(*) from x) / 10, 12) as density from range(0, 50) r(b) left join x on x.d between 0 and 500 and case when x.d = 500 then 49 else x.d // 10 end = b group by 1", "peaks")
+def pair_distance_histogram(peaks):
+    return compare.signed_histogram(_next_pairs(peaks), "d", 0, 500, 10).withColumn("density", _r("density", 12))
+
+
+@query(_NEXT + " select case when d <= 5 then 0 when d <= 10 then 1 when d <= 20 then 2 when d <= 50 then 3 when d <= 100 then 4 else 5 end as bin, count(*) as n, round(corr(score, other), 6) as r from x group by 1", "peaks")
+def pair_score_correlation(peaks):
+    return compare.distance_bin_correlation(_next_pairs(peaks), "d", "score", "other").withColumn("r", _r("r"))
+
+
+@query(_NEXT + " select klass, count(*) as n, min(d) as least, round(quantile_cont(d, 0.25), 6) as q1, round(quantile_cont(d, 0.5), 6) as median, round(quantile_cont(d, 0.75), 6) as q3, round(avg(d), 6) as mean, max(d) as largest from x group by 1", "peaks")
+def pair_percentiles(peaks):
+    found = compare.percentile_summary(_next_pairs(peaks), "klass", "d")
+    return found.select("klass", "n", "least", *[_r(c).alias(c) for c in ("q1", "median", "q3", "mean")], "largest")
+
+
+@query(", t as (select klass, score, count(*) as ties from peaks group by 1, 2), r as (select klass, score, coalesce(sum(ties) over (partition by klass order by score rows between unbounded preceding and 1 preceding), 0) + (ties + 1) / 2.0 as rk, sum(ties) over (partition by klass) as n from t) select klass, score, round(case when n = 1 then 100.0 else 100 * (rk - 1) / (n - 1) end, 6) as percentile from r", "peaks")
+def average_percentile_ranks(peaks):
+    return compare.average_percentile_rank(peaks, "score", ["klass"]).withColumn("percentile", _r("percentile"))
+
+
+@query(", k as (select f.*, case when chrom in ('chr1', 'chr2', 'chr3') then 150000 end as length from fragments f) select 'interval' as check, count(*) filter (not (s >= 0 and e > s)) as failed, count(*) filter (s >= 0 and e > s) as passed from k union all select 'contig', count(*) filter (length is null), count(*) filter (length is not null) from k union all select 'inside', count(*) filter (length is null or e > length), count(*) filter (e <= length) from k".replace(" as check,", ' as "check",'), "fragments")
+def input_report(fragments):
+    sizes = fragments.sparkSession.createDataFrame([(str(i), 150_000) for i in range(1, 4)], "chrom string, length long")
+    return compare.input_report(fragments, sizes)
+
+
 # -- correlations ----------------------------------------------------------------------------------------------------
 _STARTS = ", points as (select chrom, s // 100000 as win, s as pos, count(*) as value from fragments where e - s between 137 and 197 group by 1, 2, 3)"
 

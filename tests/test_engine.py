@@ -253,3 +253,22 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted((tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in cursor.fetchall()), key=str)
     assert got == want
+
+
+def test_bigwig_round_trip(spark, tmp_path):
+    from strandwise.sources import bigwig
+
+    rng = np.random.default_rng(1)
+    rows = [(c, int(10 * i), int(10 * i + rng.integers(1, 10)), float(rng.integers(1, 50)) / 2) for c in ("chr1", "chr20", "x") for i in range(2500)]
+    track = spark.createDataFrame(rows, "chrom string, start long, end long, value double")
+    files = [r["path"] for r in bigwig.write_bigwig(track, {"chr1": 30000, "chr20": 30000, "x": 30000}, f"{tmp_path}/bw").collect()]
+    spark.dataSource.register(bigwig.BigWigSource)
+    back = spark.read.format("bigwig").option("paths", "\n".join(files)).load()
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    one = tmp_path / "all.bw"
+    many = sorted(rows)
+    one.write_bytes(bigwig.encoded(many, {"chr1": 30000, "chr20": 30000, "x": 30000}))
+    with open(one, "rb") as f:
+        contigs, blocks, packed = bigwig.contigs_and_blocks(f)
+    assert contigs[1] == ("chr20", 30000) and packed and len(blocks) == 15
+    assert list(bigwig.block_runs(struct.pack("<IIIIIBBH", 0, 5, 11, 3, 2, 3, 0, 2) + struct.pack("<ff", 1, 2))) == [(0, 5, 7, 1.0), (0, 8, 10, 2.0)]
