@@ -25,6 +25,8 @@ from .store import SALTS, arrow_batches, new_path, shared_dir, staged
 LEAST_BYTES = 0
 #: A new archive begins after so many compressed bytes.
 ROLL_BYTES = 16 << 20
+#: Tasks that read archives at most; a task reads one after another.
+READERS = 10_000
 #: Compressed bytes that the reader takes at a time.
 READ_BYTES = 64 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,7 +102,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """Writes every row as a record and returns the staged manifest (path, records, bytes) of complete archives.
 
     Of rows with equal payloads of at least ``least_bytes``, the one with the smallest id is a response and the others
-    revisit it; repeated rows of that id beyond the first are revisits too. A null payload is an empty one; a null id
+    revisit it; repeated rows of that id in a task beyond the first are revisits too (they share a task, as rows are dealt by id and payload). A null payload is an empty one; a null id
     comes last. Groups are resolved by SHA-256 with salted partial minima, so that no copy's payload meets the others'.
     A task writes under a name of its own and renames at the end, so repeated attempts leave whole archives only.
     """
@@ -112,7 +114,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     salted = rows.where("key is not null").groupBy("key", "salt").agg(F.min("page_id").alias("first"))
     least = salted.groupBy("key").agg(F.min("first").alias("first"))
     lookup = staged(salted.select("key", "salt").join(least, "key"), "warc-first")
-    marked = rows.join(lookup, ["key", "salt"], "left").select("page_id", "url", "html", "first", F.col("key").isNotNull().alias("shared"))
+    place = F.coalesce("page_id", F.lit(2**63 - 1))
+    firsts = rows.select(place.alias("__place"), "key", "salt").join(lookup, ["key", "salt"]).select("__place", F.col("key").alias("__key"), "first").distinct()
+    # The payloads move once: both sides are dealt by page, and tasks sort their own rows.
+    marked = rows.withColumn("__page", place).join(firsts.hint("merge"), (F.col("__page") == F.col("__place")) & (F.col("key") == F.col("__key")), "left")
+    ordered = marked.select("page_id", "url", "html", "first", F.col("key").isNotNull().alias("shared")).sortWithinPartitions("page_id", "html", "url")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -125,6 +131,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             size = out.tell()
             out.close()
             final = f"{root}/{task.partitionId():06d}-{part:04d}.warc.gz"
+            if store.get_file_info(final).type != fs.FileType.NotFound:  # an earlier attempt of this task wrote the same records
+                store.delete_file(final)
             store.move(name, final)
             done.append((final, count, size))
             out = None
@@ -148,7 +156,6 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         paths, counts, sizes = zip(*done) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["path", "records", "bytes"])
 
-    ordered = marked.repartition("page_id").sortWithinPartitions("page_id", "html", "url")
     return staged(ordered.mapInArrow(written, "path string, records long, bytes long"), "warc-manifest")
 
 
@@ -179,7 +186,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return manifest.select("path", "records").repartition(max(1, files)).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.select("path", "records").repartition(max(1, min(files, READERS))).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def _scheme(spark) -> str:
