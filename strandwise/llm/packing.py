@@ -32,62 +32,63 @@ _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 class Encoder:
     """Token ids of whole texts; white-space-free chunks are encoded once and kept, as no token crosses white space.
 
-    The tokenizer normalises by NFC and lower case and replaces white space before it cuts, so chunks between
-    ASCII spaces and line ends can be encoded alone. Chunks whose first character would join the one before
-    (combining marks) cannot follow white space in composed form, so nothing changes at a cut.
+    The tokenizer normalises by NFC and lower case and replaces white space before it cuts, so chunks between white
+    space can be encoded alone: nothing composes or matches across it. The first _WORDS chunks are kept, which are
+    mostly the frequent ones; later ones are encoded once for each call.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes the new chunks as one text with spaces between, and tells them apart by the offsets of the tokens."""
-        if len(self.at) + len(chunks) > _WORDS:
-            self.clear()
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks and their counts: one text with spaces between, told apart by the offsets of the tokens."""
         e = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        chars = np.array([len(c) + 1 for c in chunks], np.int64)
-        start = np.array([o[0] for o in e.offsets], np.int64)
-        of = np.searchsorted(np.cumsum(chars), start, "right")
-        n = np.bincount(of, minlength=len(chunks))
-        self.at.update(zip(chunks, range(len(self.lengths), len(self.lengths) + len(chunks))))
-        self.flat = np.append(self.flat, np.array(e.ids, np.uint32))
-        self.lengths = np.append(self.lengths, n)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+        start = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
+        return np.array(e.ids, np.uint32), np.bincount(np.searchsorted(ends, start, "right"), minlength=len(chunks))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [None if any(c in t for c in _SEPARATORS) else t.split() for t in (t or "" for t in texts)]
         fresh = list({c for chunks in split for c in chunks or () if len(c) <= _LONG} - self.at.keys())
-        if len(fresh) > _WORDS // 2:  # too many new ones to keep: halves
-            if len(texts) == 1:
-                return [np.array(self.tokenizer.encode(texts[0] or "", add_special_tokens=False).ids, np.uint32)]
-            half = len(texts) // 2
-            return self.encode(texts[:half]) + self.encode(texts[half:])
+        at, flat, starts, lengths = self.at, self.flat, self.starts, self.lengths
         if fresh:
-            before = len(self.at)
-            self._learn(fresh)
-            if len(self.at) < before + len(fresh):
-                return self.encode(texts)
+            ids, n = self._encoded(fresh)
+            new = dict(zip(fresh, range(len(lengths), len(lengths) + len(fresh))))
+            flat, starts, lengths = np.append(flat, ids), np.append(starts, len(flat) + np.cumsum(n) - n), np.append(lengths, n)
+            if len(lengths) <= _WORDS:
+                at.update(new)
+                self.flat, self.starts, self.lengths = flat, starts, lengths
+            else:
+                at = {c: at[c] if c in at else new[c] for c in {c for chunks in split for c in chunks or () if len(c) <= _LONG}}
         out = []
         for text, chunks in zip(texts, split):
             if chunks is None or any(len(c) > _LONG for c in chunks):
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
-            at = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-            n = self.lengths[at]
+            k = np.fromiter(map(at.__getitem__, chunks), np.int64, len(chunks))
+            n = lengths[k]
             total = int(n.sum())
-            place = np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(total)
-            out.append(self.flat[place])
+            place = np.repeat(starts[k] - (np.cumsum(n) - n), n) + np.arange(total)
+            out.append(flat[place])
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(tokenizer: str) -> Encoder:
+    """One encoder for each worker process, so that later tasks find what earlier ones kept."""
+    import public_tokenizers
+
+    if tokenizer not in _ENCODERS:
+        _ENCODERS[tokenizer] = Encoder(public_tokenizers.path(tokenizer))
+    return _ENCODERS[tokenizer]
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, ids: bool = True) -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32 and, unless ``ids`` is false, the token ids, for each piece of each row.
 
@@ -97,9 +98,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     arrow_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        encoder = Encoder(public_tokenizers.path(tokenizer))
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             owners, crc, places, tokens = [], [], [], []
             texts = batch.column(1).to_pylist()
@@ -191,8 +190,8 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     a hash of id, piece and content, then by these. An empty table gives an empty result.
     """
     spark: SparkSession = cut.sparkSession
-    dealt = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(8 * SALTS)))
-    counts = dealt.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "salt"])  # at most capacity * 8 * SALTS rows
+    dealt = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(2 * SALTS)))
+    counts = dealt.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "salt"])  # at most capacity * 2 * SALTS rows
     counts["base"] = counts.groupby("length")["n"].cumsum() - counts["n"]
     slots = _slots(plan({int(k): int(v) for k, v in counts.groupby("length")["n"].sum().items()}, capacity))
     bases = spark.createDataFrame(counts[["length", "salt", "base"]].astype("int64"), "length long, salt long, base long")
