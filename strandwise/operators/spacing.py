@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,7 +132,9 @@ def matched_one_to_one(query: DataFrame, target: DataFrame, most: int | None = N
     """(chrom, query, target, distance): closest pairs first, each position used once; positions are distinct.
 
     Each round pairs positions that are nearest to each other in the order (distance, query, target) and takes them
-    out; what is left goes on, until no pair is near enough. Equal to the global greedy choice.
+    out; what is left goes on, until no pair is near enough. Chains that need more than ``rounds`` rounds (evenly
+    spaced positions settle one pair a round) are finished by tasks, one for each run of positions whose neighbours
+    are within ``most``. Equal to the global greedy choice.
     """
     left = query.select(chrom, F.col(pos).alias("p")).distinct()
     right = target.select(chrom, F.col(pos).alias("p")).distinct()
@@ -155,9 +161,59 @@ def matched_one_to_one(query: DataFrame, target: DataFrame, most: int | None = N
         left = cut(left)
         right = right.join(pairs.select(F.col(chrom).alias("__c"), F.col("target").alias("__p")), (F.col(chrom) == F.col("__c")) & (F.col("p") == F.col("__p")), "left_anti")
         right = cut(right)
+    else:
+        rest = _finished(left, right, most, chrom)
+        found = rest if found is None else found.unionByName(rest)
     return found if found is not None else query.sparkSession.createDataFrame([], f"{chrom} string, query long, target long, distance long")
 
 
+def _finished(left: DataFrame, right: DataFrame, most: int | None, chrom: str) -> DataFrame:
+    """The greedy pairs of what the rounds left; no pair reaches over a gap of more than ``most``."""
+    sides = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).select(F.col(chrom), F.col("p").cast("long").alias("p"), "side")
+    order = Window.partitionBy(chrom).orderBy("p", "side")
+    apart = F.lit(0) if most is None else F.coalesce((F.col("p") - F.lag("p").over(order) > most).cast("int"), F.lit(0))
+    runs = sides.withColumn("apart", apart).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def paired(key: tuple, table: pa.Table) -> pa.Table:
+        p, side = np.asarray(table["p"]), np.asarray(table["side"])
+        rows = np.lexsort((side, p))
+        pairs = np.array(nearest_pairs(p[rows].tolist(), side[rows].tolist(), most), np.int64).reshape(-1, 3)
+        return pa.table([pa.array([key[0].as_py()] * len(pairs), pa.string()), *[pa.array(c) for c in pairs.T]], [chrom, "query", "target", "distance"])
+
+    return runs.groupBy(chrom, "run").applyInArrow(paired, f"`{chrom}` string, query long, target long, distance long")
+
+
+def nearest_pairs(places: list[int], side: list[int], most: int | None = None) -> list[tuple[int, int, int]]:
+    """(query, target, distance) of the greedy choice; places are sorted, with queries (side 0) before equal targets.
+
+    The next pair is always of two neighbours, so a heap over neighbours is enough; taken ones are linked out.
+    """
+    before, after = list(range(-1, len(places) - 1)), list(range(1, len(places) + 1))
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def offer(a: int, b: int) -> None:
+        if a >= 0 and b < len(places) and side[a] != side[b] and (most is None or places[b] - places[a] <= most):
+            q, t = (a, b) if side[a] == 0 else (b, a)
+            heapq.heappush(heap, (places[b] - places[a], places[q], places[t], a, b))
+
+    for a in range(len(places) - 1):
+        offer(a, a + 1)
+    found, taken = [], [False] * len(places)
+    while heap:
+        d, q, t, a, b = heapq.heappop(heap)
+        if taken[a] or taken[b]:
+            continue
+        taken[a] = taken[b] = True
+        found.append((q, t, d))
+        low, high = before[a], after[b]
+        if low >= 0:
+            after[low] = high
+        if high < len(places):
+            before[high] = low
+        offer(low, high)
+    return found
+
+
 def suppressed(candidates: list[tuple[float, float, int]], separation: float) -> list[int]:
     """Places kept when the strongest go first and each needs its distance from all kept; entries are (value, raw, place)."""
     kept: list[int] = []

@@ -272,3 +272,17 @@ def test_bigwig_round_trip(spark, tmp_path):
         contigs, blocks, packed = bigwig.contigs_and_blocks(f)
     assert contigs[1] == ("chr20", 30000) and packed and len(blocks) == 15
     assert list(bigwig.block_runs(struct.pack("<IIIIIBBH", 0, 5, 11, 3, 2, 3, 0, 2) + struct.pack("<ff", 1, 2))) == [(0, 5, 7, 1.0), (0, 8, 10, 2.0)]
+
+
+def test_matching_of_even_chains(spark):
+    q, t = list(range(0, 800, 20)), list(range(10, 810, 20))
+    frame = lambda v: spark.createDataFrame([("c", x) for x in v], "chrom string, pos long")
+    for most in (30, None):
+        got = sorted((r["query"], r["target"], r["distance"]) for r in spacing.matched_one_to_one(frame(q), frame(t), most, rounds=2).collect())
+        assert got == greedy(q, t, 30) and len(got) == 40
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        q, t = (sorted({int(x) for x in rng.integers(0, 120, 40)}) for _ in range(2))
+        sides = sorted([(x, 0) for x in q] + [(x, 1) for x in t])
+        for most in (0, 3, 10**6):
+            assert sorted(spacing.nearest_pairs([p for p, _ in sides], [s for _, s in sides], most)) == greedy(q, t, most)
