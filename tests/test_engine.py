@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as entry
 from strandwise.functions import numerics
 from strandwise.operators import annotate, calls, correlate, intervals, sequence, signals, spacing
-from strandwise.plans import catalog
+from strandwise.plans import catalog, views
 from strandwise.sources import alignments, text
 
 DATA = "/root/testdata/sf0.001"
@@ -286,3 +286,7 @@ def test_matching_of_even_chains(spark):
         sides = sorted([(x, 0) for x in q] + [(x, 1) for x in t])
         for most in (0, 3, 10**6):
             assert sorted(spacing.nearest_pairs([p for p, _ in sides], [s for _, s in sides], most)) == greedy(q, t, most)
+
+
+def test_states_keep_every_order(spark):
+    assert views.view(spark, DATA, "states").count() == spark.read.parquet(f"{DATA}/orders.parquet").count()
