@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from .store import BROADCAST_ROWS, SALTS, staged
 
 #: Documents in which a template must occur to be recurring.
-MIN_DOCUMENTS = 3
+MIN_DOCUMENTS = 2
+#: and, where lines only agree at most places, documents in which they must: two alone do not tell which places vary.
+WIDER_DOCUMENTS = 3
 #: Leading words that lead to a leaf.
 DEPTH = 3
 #: A leaf generalises when lines have this many words at least,
@@ -45,7 +47,7 @@ def _key(template: Column) -> Column:
     return F.unhex(F.md5(template))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, copies: bool = True) -> DataFrame:
     """All rows and columns of ``docs``; the text lacks lines whose template recurs, and two counts come along.
 
     A line is what lies between line feeds; blank lines are never dropped and do not count. Of a recurring
@@ -53,7 +55,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one id, the smallest text hash). Two columns are added, ``__lines`` and ``__dropped`` (lines that were not
     blank, and dropped ones). A null text stays null and has no lines. A document keeps its row even if all its
     lines go; its text is then empty. Repeated rows with id and text count as one document and get the same
-    text. An empty table gives an empty result.
+    text. An empty table gives an empty result. Without ``copies``, lines that only two documents share stay if the
+    whole texts are equal: a later stage drops such copies whole.
     """
     row = [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash")]
     def keyed_line(line: Column) -> Column:
@@ -63,10 +66,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parsed = staged(docs.select(*row, F.transform(F.split(generalised(F.col(text_col)), "\n"), keyed_line).alias("lines")), "line-keys")
     keyed = parsed.select("__id", "__hash", F.posexplode("lines").alias("place", "line")).where("line is not null").select("__id", "__hash", "place", "line.key")
     once = docs.select(F.explode(F.array_distinct(F.transform(F.split(generalised(F.col(text_col)), "\n"), F.trim))).alias("template")).where("template <> ''")
-    met_once = parsed.select(F.explode(F.array_distinct("lines")).alias("line")).where("line is not null").select("line.*")
-    counted = staged(met_once.groupBy("leaf", "words", "key").agg(F.count(F.lit(1)).alias("documents")).where(f"documents >= {min_documents} or words >= {MIN_WORDS}"), "line-templates")
-    recurring = counted.where(f"documents >= {min_documents}").select("key", F.col("key").alias("template_key"))
-    merged = _merged(once, counted, min_documents)
+    met_once = parsed.select(F.xxhash64("__id", "__hash").alias("document"), "__hash", F.explode(F.array_distinct("lines")).alias("line")).where("line is not null").select("document", "__hash", "line.*")
+    apart = [F.count(F.lit(1)).alias("documents"), (F.min("document") != F.max("document")).alias("several"), (F.min("__hash") != F.max("__hash")).alias("differ")]
+    met_twice = (F.col("documents") >= min_documents) & F.col("several") & (F.lit(copies) | F.col("differ") | (F.col("documents") > 2))
+    counted = met_once.groupBy("leaf", "words", "key").agg(*apart).select("leaf", "words", "key", "documents", met_twice.alias("recurs"))
+    counted = staged(counted.where(f"recurs or words >= {MIN_WORDS}"), "line-templates")
+    recurring = counted.where("recurs").select("key", F.col("key").alias("template_key"))
+    merged = _merged(once, counted, max(min_documents, WIDER_DOCUMENTS))
     if merged is not None:
         recurring = recurring.join(merged.select("key", F.col("merged").alias("wider")), "key", "full").select("key", F.coalesce("wider", "template_key").alias("template_key"))
 
