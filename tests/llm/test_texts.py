@@ -88,6 +88,20 @@ def test_secret_scan_and_redaction(spark):
     assert secrets.secret_spans(table(spark, []), network).count() == 0
 
 
+def test_secrets_behind_long_prefixes(spark):
+    key = "x7Kq9LmZ2pWv4RtY8sNb1CdF6gHj3aQe0"
+    path, hexes = "hooks/services/of/the/harmless/team/number/7/", "0123456789abcdef" * 2
+    docs = [(1, f"see {path}{key} here"), (2, f"see {key}_{hexes} here"), (3, f"see {path}{path} here")]
+    network = secrets.fit(table(spark, docs))
+    assert len(path) > secrets.INSIDE
+    assert secrets.views(0, 16) == [0] and secrets.views(3, 43) == [3] and secrets.views(0, 95) == [0, 20, 40, 55]
+    assert secrets.uncovered(docs[1][1], secrets.base_spans(docs[1][1])) == [(4, 5 + len(key))]
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.secret_spans(table(spark, docs), network).collect()}
+    assert found[1] == [("network", 4, 4 + len(path + key))] and found[2][0] == ("network", 4, 5 + len(key)) and found[3] == []
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, docs), network).collect()}
+    assert key not in clean[1] and key not in clean[2] and hexes not in clean[2] and clean[3] == docs[2][1]
+
+
 def test_interesting_rows_are_a_superset():
     texts = ["", "x", "A" * 20, "a" * 40, "tokenize", "mAPI_KEY", "12345678901234567", "é" * 30, "", "akia", "AKIA" + "B" * 12]
     rows = secrets._interesting(pa.array(texts))
