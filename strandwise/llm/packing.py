@@ -8,12 +8,15 @@ as the counts allow. Pieces get their places by rank within their length, so no
 
 from __future__ import annotations
 
+import json
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zlib
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,58 +26,110 @@ CAPACITY = 2048
 #: Tokenizer files are given by name; public_tokenizers.path(name) is their place on any machine.
 TOKENIZER = "word_bpe_49k.json"
 END = 0
-_WORDS = 400_000
-_LONG = 200
+#: Words, and parts of words, that an encoder keeps; longer ones are encoded where they are met.
+_WORDS, _LONG = 400_000, 200
 #: Python cuts at these controls, the tokenizer does not.
-_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+_SEPARATORS = "[\x1c-\x1f]"
+#: Words of these alone are cut and lowered here; other ones go through the whole tokenizer. No special token is one.
+_PLAIN = re.compile("(?!.*<\\|)[!-~\u00a1-\u017f]+")
+
+
+class _Kept:
+    """Ids of strings, flat, and where those of each string are; the first ``most`` strings are kept for good."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.at = most, {}
+        self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def found(self, strings: list[str], encode) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, starts, lengths, k): string i has the ids flat[starts[k[i]]:][:lengths[k[i]]]. Strings differ."""
+        k = np.fromiter((self.at.get(x, -1) for x in strings), np.int64, len(strings))
+        missing = np.flatnonzero(k < 0)
+        if not len(missing):
+            return self.flat, self.starts, self.lengths, k
+        fresh = [strings[i] for i in missing.tolist()]
+        ids, n = encode(fresh)
+        first = len(self.lengths)
+        flat, starts, lengths = np.append(self.flat, ids), np.append(self.starts, len(self.flat) + np.cumsum(n) - n), np.append(self.lengths, n)
+        k[missing] = first + np.arange(len(fresh))
+        if first + len(fresh) <= self.most:
+            self.flat, self.starts, self.lengths = flat, starts, lengths
+            self.at.update(zip(fresh, range(first, first + len(fresh))))
+        return flat, starts, lengths, k
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the strings k one after another, and their counts."""
+    n = lengths[k]
+    return flat[np.repeat(starts[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
 
 class Encoder:
-    """Token ids of whole texts; white-space-free chunks are encoded once and kept, as no token crosses white space.
+    """Token ids of whole texts; different words are encoded once for a batch, and kept while there is room.
 
-    The tokenizer normalises by NFC and lower case and replaces white space before it cuts, so chunks between white
-    space can be encoded alone: nothing composes or matches across it. The first _WORDS chunks are kept, which are
-    mostly the frequent ones; later ones are encoded once for each call.
+    The tokenizer replaces white space by spaces, composes, lowers and then cuts into parts within which tokens form,
+    so that words between white space, and parts of words, can be encoded alone. Words of Latin letters and ASCII
+    marks are cut here by the tokenizer's own pattern and their parts encoded without its normaliser; all other words
+    go through the whole tokenizer, as do whole texts where the tokenizer is of another kind.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.at: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks and their counts: one text with spaces between, told apart by the offsets of the tokens."""
-        e = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
-        start = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
-        return np.array(e.ids, np.uint32), np.bincount(np.searchsorted(ends, start, "right"), minlength=len(chunks))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [None if any(c in t for c in _SEPARATORS) else t.split() for t in (t or "" for t in texts)]
-        fresh = list({c for chunks in split for c in chunks or () if len(c) <= _LONG} - self.at.keys())
-        at, flat, starts, lengths = self.at, self.flat, self.starts, self.lengths
-        if fresh:
-            ids, n = self._encoded(fresh)
-            new = dict(zip(fresh, range(len(lengths), len(lengths) + len(fresh))))
-            flat, starts, lengths = np.append(flat, ids), np.append(starts, len(flat) + np.cumsum(n) - n), np.append(lengths, n)
-            if len(lengths) <= _WORDS:
-                at.update(new)
-                self.flat, self.starts, self.lengths = flat, starts, lengths
-            else:
-                at = {c: at[c] if c in at else new[c] for c in {c for chunks in split for c in chunks or () if len(c) <= _LONG}}
-        out = []
-        for text, chunks in zip(texts, split):
-            if chunks is None or any(len(c) > _LONG for c in chunks):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            k = np.fromiter(map(at.__getitem__, chunks), np.int64, len(chunks))
-            n = lengths[k]
-            total = int(n.sum())
-            place = np.repeat(starts[k] - (np.cumsum(n) - n), n) + np.arange(total)
-            out.append(flat[place])
-        return out
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            form = json.load(file)
+        steps = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", ())]
+        cuts = (form["pre_tokenizer"] or {}).get("pretokenizers", ())
+        self.pattern = None
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]:
+            self.pattern = regex.compile(cuts[0]["pattern"]["Regex"])
+            self.parts = Tokenizer(self.whole.model)
+            self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words, self.pieces = _Kept(_WORDS), _Kept(_WORDS)
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        e = self.parts.encode(" ".join(parts), add_special_tokens=False)
+        return np.array(e.ids, np.uint32), np.bincount(np.fromiter(e.word_ids, np.int64, len(e.ids)), minlength=len(parts))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and their counts: in order, plain ones by their parts."""
+        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w)]
+        cut = [self.pattern.findall(words[i].lower()) for i in plain]
+        flat = [p for parts in cut for p in parts]
+        different = list(dict.fromkeys(flat))
+        at = dict(zip(different, range(len(different))))
+        table = self.pieces.found(different, self._parts)
+        ids, n = _gathered(*table[:3], table[3][np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))])
+        tokens = np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, cut)])])
+        if len(plain) == len(words):
+            return ids, tokens
+        odd = sorted(set(range(len(words))) - set(plain))
+        whole = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch([words[i] for i in odd], add_special_tokens=False)]
+        both = [*np.split(ids, np.cumsum(tokens)[:-1]), *whole] if plain else whole
+        order = np.argsort(np.array([*plain, *odd]))
+        return np.concatenate([both[i] for i in order]), np.array([len(both[i]) for i in order], np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and their counts; a null text has none."""
+        texts = pc.fill_null(texts, "")
+        if self.pattern is None:
+            found = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _SEPARATORS).to_numpy(zero_copy_only=False), bool))
+        cut = pc.utf8_split_whitespace(pc.if_else(pc.match_substring_regex(texts, _SEPARATORS), "", texts))
+        words = cut.flatten().dictionary_encode()
+        table = self.words.found(words.dictionary.to_pylist(), self._words)
+        ids, n = _gathered(*table[:3], table[3][words.indices.to_numpy()])
+        run = np.concatenate([[0], np.cumsum(n)])
+        counts = np.diff(run[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))])])
+        if len(odd):
+            split = np.split(ids, np.cumsum(counts)[:-1])
+            for i in odd.tolist():
+                split[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            ids, counts = np.concatenate(split), np.array([len(x) for x in split], np.int64)
+        return ids, counts
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -90,33 +145,35 @@ def encoder_of(tokenizer: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, ids: bool = True) -> DataFrame:
-    """doc_id, row, piece, start, length, ids_crc32 and, unless ``ids`` is false, the token ids, for each piece of each row.
+    """doc_id, piece, start, length, ids_crc32 and, unless ``ids`` is false, the token ids, for each piece of each row.
 
-    A document is its ids and the end id; a longer one is cut, a null text is empty and gives the end id alone.
-    ``row`` tells repeated rows of one id apart by their place in the batch's stream; it is not a result.
+    A document is its ids and the end id; a longer one is cut, a null or empty text gives the end id alone. Repeated
+    rows give repeated pieces, an empty table none; very long texts are encoded whole, a batch of bounded bytes at a
+    time. Other columns are not read.
     """
     arrow_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         for batch in batches:
-            owners, crc, places, tokens = [], [], [], []
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 200):
-                for i, own in enumerate(encoder.encode(texts[at:at + 200])):
-                    own = np.append(own, np.uint32(END)).astype("<u4")
-                    for k in range(0, len(own), capacity):
-                        part = own[k:k + capacity]
-                        owners.append(at + i)
-                        places.append((k // capacity, k, len(part)))
-                        crc.append(zlib.crc32(part.tobytes()))
-                        if ids:
-                            tokens.append(part.view(np.int32))
-            where = np.array(places, np.int64).reshape(-1, 3)
-            columns = [batch.column(0).take(pa.array(owners, pa.int64())), pa.array(where[:, 0].astype(np.int32)), pa.array(where[:, 1]), pa.array(where[:, 2]), pa.array(crc, pa.int64())]
+            tokens, n = encoder.encode(batch.column(1))
+            n = n + 1
+            until = np.cumsum(n)
+            flat = np.full(int(n.sum()), END, "<u4")
+            own = np.ones(len(flat), bool)
+            own[until - 1] = False
+            flat[own] = tokens
+            many = -(-n // capacity)
+            owner = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            start = piece * capacity
+            length = np.minimum(capacity, n[owner] - start)
+            edges = np.concatenate([[0], np.cumsum(length)])
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            columns = [batch.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if ids:
-                columns.append(pa.array(tokens, pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.view(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -187,22 +244,24 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of ``pieces`` with sequence_id and offset. ``cut`` is read three times: stage it first.
 
     No sequence exceeds the capacity and its pieces follow one another without gaps. Ties of length are dealt by
-    a hash of id, piece and content, then by these. An empty table gives an empty result.
+    a hash of id, piece and content, then by these. Full pieces are sequences by themselves and are not ranked; their
+    numbers come from their place in the staged table. An empty table gives an empty result.
     """
     spark: SparkSession = cut.sparkSession
-    dealt = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(2 * SALTS)))
-    counts = dealt.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "salt"])  # at most capacity * 2 * SALTS rows
+    dealt = cut.where(F.col("length") < capacity).withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(2 * SALTS)))
+    counts = dealt.groupBy("length", F.col("__salt").alias("salt")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "salt"])  # at most capacity * 2 * SALTS rows
     counts["base"] = counts.groupby("length")["n"].cumsum() - counts["n"]
-    slots = _slots(plan({int(k): int(v) for k, v in counts.groupby("length")["n"].sum().items()}, capacity))
-    bases = spark.createDataFrame(counts[["length", "salt", "base"]].astype("int64"), "length long, salt long, base long")
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = dealt.withColumn("place", rank).join(F.broadcast(bases), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("place"))
+    bins = plan({int(k): int(v) for k, v in counts.groupby("length")["n"].sum().items()}, capacity)
+    slots = _slots(bins)
+    bases = spark.createDataFrame(counts[["length", "salt", "base"]].astype("int64"), "length long, salt long, base long").toDF("__length", "__salt2", "__base")
+    rank = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    ranked = dealt.withColumn("__place", rank).join(F.broadcast(bases), (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__salt2")))
     tables = {int(k): tuple(g.sort_values("rank0")[c].to_numpy(np.int64) for c in ("rank0", "each", "bin0", "offset0")) for k, g in slots.groupby("length")}
     names = [*cut.columns]
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, own = np.asarray(batch.column("length")), np.asarray(batch.column("rank"))
+            length, own = np.asarray(batch.column("length")), np.asarray(batch.column("__rank"))
             sequence, offset = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
             order = np.argsort(length, kind="stable")
             edges = np.flatnonzero(np.diff(length[order], prepend=-1, append=-1))
@@ -216,9 +275,14 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return ranked.select(*names, "rank").mapInArrow(put, schema)
+    placed = ranked.select(*names, (F.col("__base") + F.col("__place")).alias("__rank")).mapInArrow(put, schema)
+    whole = cut.where(F.col("length") == capacity).select(*names, (F.monotonically_increasing_id() + F.lit(sum(n for _, n in bins))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(whole)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, ids: bool = True) -> DataFrame:
-    """Token pieces of all rows with their places in the fewest sequences that minimum bin slack finds."""
+    """Token pieces of all rows with their places in the fewest sequences that minimum bin slack finds.
+
+    Nulls, empty and long texts, repeated rows and empty tables are as for ``pieces``, ties as for ``packed``.
+    """
     return packed(staged(pieces(docs, id_col, text_col, capacity, tokenizer, ids), "pieces"), capacity)

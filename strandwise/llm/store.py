@@ -15,14 +15,16 @@ BROADCAST_ROWS = 1_000_000
 HOT_SHARE = 1000
 #: Ways in which the rows of a hot key are split.
 SALTS = 32
-#: Rows in an Arrow batch: bounds what a Python worker holds when texts are long.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch: bound what a Python worker holds, also where texts are long.
+BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset a temporary one is set, in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandwise-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,7 +55,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession) -> None:
+    """Sets the session's bounds of Arrow batches: a batch ends at either."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
