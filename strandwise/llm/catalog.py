@@ -63,6 +63,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("codes", 256).alias("payload_sha256"), F.crc32(F.expr("substring(codes, -64, 64)")).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"),
     )
 
 

@@ -1,12 +1,11 @@
 """Telephony audio columns: mu-law and A-law by lookup tables, IMA ADPCM by numpy across blocks, resampled PCM.
 
-Media are RIFF WAVE bytes. Encoders exist for the lossless 8-bit forms and for ADPCM; the decoder returns the
-codes as stored and 16-bit PCM.
+Media are RIFF WAVE bytes. Any bytes are codes of the 8-bit forms, and any whole blocks are codes of ADPCM, so texts are
+stored losslessly in all three. The decoder gives back the codes as stored, and 16-bit PCM resampled to one rate.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,11 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import arrow_batches
+from .store import arrow_batches, new_path
 
 #: WAVE format tags.
 PCM, A_LAW, MU_LAW, ADPCM = 1, 6, 7, 17
+#: Bytes of a unit: what texts are filled up to, and a block of ADPCM, which holds SAMPLES samples.
 UNIT, RATE, TARGET_RATE = 64, 8000, 16000
+SAMPLES = 2 * (UNIT - 4) + 1
+#: Formats among which the CRC-32 of the bytes deals texts.
+FORMATS = (MU_LAW, A_LAW, ADPCM)
 #: Fixed values of IMA ADPCM: changes of the step index for the low three bits of a code, and the steps.
 INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8])
 _STEP = np.array([
@@ -61,14 +64,16 @@ def wave(data: bytes, tag: int, rate: int = RATE, block: int = 1, samples: int =
 
 
 @dataclass
-class Audio:
+class Stored:
+    """A WAVE file's format, rate, block size and codes."""
+
     tag: int
     rate: int
+    block: int
     codes: bytes
-    pcm: np.ndarray
 
 
-def read_wave(media: bytes) -> Audio:
+def read_wave(media: bytes) -> Stored:
     """Reads chunks until the data; raises ValueError for what is no mono WAVE of a known format or is cut short."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("no WAVE file")
@@ -80,14 +85,25 @@ def read_wave(media: bytes) -> Audio:
         if name == b"fmt ":
             form = struct.unpack_from("<HHIIHH", media, at + 8)
         elif name == b"data":
-            if form is None or form[1] != 1:
-                raise ValueError("no mono format before the data")
-            codes = media[at + 8:at + 8 + size]
-            return Audio(form[0], form[2], codes, decoded(codes, form[0], form[4]))
+            if form is None or form[1] != 1 or form[2] < 1 or (form[0] not in (PCM, *FORMATS)) or (form[0] == ADPCM and form[4] < 5):
+                raise ValueError("no mono format that is known before the data")
+            return Stored(form[0], form[2], form[4], media[at + 8:at + 8 + size])
         at += 8 + size + size % 2
     raise ValueError("no data")
 
 
+def decoded_all(stored: list[Stored]) -> list[np.ndarray]:
+    """PCM of each; the ADPCM blocks of all files with one block size are decoded side by side."""
+    out: list[np.ndarray | None] = [None if s.tag == ADPCM else decoded(s.codes, s.tag) for s in stored]
+    for block in {s.block for s in stored if s.tag == ADPCM}:
+        at = [i for i, s in enumerate(stored) if s.tag == ADPCM and s.block == block]
+        whole = [len(stored[i].codes) // block for i in at]
+        pcm = adpcm_decoded(b"".join(stored[i].codes[: n * block] for i, n in zip(at, whole)), block)
+        for i, part in zip(at, np.split(pcm, np.cumsum(whole)[:-1] * (2 * (block - 4) + 1))):
+            out[i] = part
+    return out
+
+
 def decoded(codes: bytes, tag: int, block: int = 1) -> np.ndarray:
     if tag in TABLES:
         return TABLES[tag][np.frombuffer(codes, np.uint8)]
@@ -157,23 +173,42 @@ def padded(text: str | None) -> bytes:
     return raw + b"\0" * ((-len(raw)) % UNIT if raw else UNIT)
 
 
-def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: int = MU_LAW) -> DataFrame:
-    """doc_id, n_bytes, media: each row's UTF-8 bytes, filled up with zeros to a positive multiple of 64, as 8-bit codes of a WAVE file."""
+def stored_text(text: str | None, tag: int | None = None) -> bytes:
+    """A text's filled-up bytes as a WAVE file of the format, or of the one that their CRC-32 picks."""
+    raw = padded(text)
+    tag = FORMATS[zlib.crc32(raw) % len(FORMATS)] if tag is None else tag
+    return wave(raw, tag, RATE, UNIT, SAMPLES) if tag == ADPCM else wave(raw, tag)
+
+
+def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, media: each row's UTF-8 bytes, filled up with zeros to a positive multiple of 64, as codes of a WAVE file.
+
+    A null text is empty (64 zeros); a text of any length is one file. Equal texts give equal files, so repeated rows
+    give equal rows; an empty table gives an empty result. Other columns are not read.
+    """
     arrow_batches(docs.sparkSession)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len((t or "").encode("utf-8", "replace")) for t in texts], pa.int64()), pa.array([wave(padded(t), tag) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len((t or "").encode("utf-8", "replace")) for t in texts], pa.int64()), pa.array([stored_text(t, tag) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(made, "doc_id long, n_bytes long, media binary")
 
 
+def feature(pcm: np.ndarray) -> str:
+    """Samples, mean absolute amplitude in 1/1000, sign changes and the CRC-32 of PCM."""
+    wide = pcm.astype(np.int64)
+    loud = int(np.abs(wide).sum() * 1000 // max(len(pcm), 1))
+    turns = int(((wide[1:] < 0) != (wide[:-1] < 0)).sum())
+    return f"{len(pcm)};{loud};{turns};{zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
+
+
 def decoded_media(media: DataFrame, target_rate: int = TARGET_RATE) -> DataFrame:
-    """``media`` (a binary column of that name) with codes, pcm (16-bit little-endian, resampled), and feature.
+    """``media`` (a binary column of that name) with codes, pcm (16-bit little-endian, resampled), and its feature.
 
-    The feature is samples, mean absolute amplitude in 1/1000, sign changes and the CRC-32 of the resampled PCM.
-    Null or broken media give nulls. Extra columns are kept unless they have these names.
+    Null or broken media give nulls. Repeated rows give equal rows, an empty table an empty result. Extra columns are
+    kept unless they have these names.
     """
     arrow_batches(media.sparkSession)
     keep = [c for c in media.columns if c not in ("codes", "pcm", "feature")]
@@ -182,28 +217,35 @@ def decoded_media(media: DataFrame, target_rate: int = TARGET_RATE) -> DataFrame
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, pcms, features = [], [], []
-            for raw in batch.column(at):
+            good, stored = [], []
+            for i, raw in enumerate(batch.column(at)):
                 try:
-                    audio = read_wave(raw.as_py() or b"")
+                    stored.append(read_wave(raw.as_py() or b""))
+                    good.append(i)
                 except (ValueError, struct.error):
-                    codes.append(None), pcms.append(None), features.append(None)
                     continue
-                pcm = resampled(audio.pcm, audio.rate, target_rate)
-                wide = pcm.astype(np.int64)
-                stored = pcm.astype("<i2").tobytes()
-                loud = int(np.abs(wide).sum() * 1000 // max(len(pcm), 1))
-                turns = int(((wide[1:] < 0) != (wide[:-1] < 0)).sum())
-                codes.append(audio.codes), pcms.append(stored), features.append(f"{len(pcm)};{loud};{turns};{zlib.crc32(stored):08x}")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(pcms, pa.binary()), pa.array(features, pa.string())], [*keep, "codes", "pcm", "feature"])
+            columns = [[None] * batch.num_rows for _ in range(3)]
+            for i, own, pcm in zip(good, stored, decoded_all(stored)):
+                pcm = resampled(pcm, own.rate, target_rate)
+                columns[0][i], columns[1][i], columns[2][i] = own.codes, pcm.astype("<i2").tobytes(), feature(pcm)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.string()))]], [*keep, "codes", "pcm", "feature"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema) + ", codes binary, pcm binary, feature string"
     return media.mapInArrow(read, schema)
 
 
-def crc32(raw: bytes) -> int:
-    return zlib.crc32(raw)
+def store_pcm(decoded: DataFrame, path: str | None = None, target_rate: int = TARGET_RATE) -> DataFrame:
+    """Writes decoded media as a Parquet table of resampled PCM in WAVE form (column ``wave``) and reads it from there.
 
-
-def sha256(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
+    The other columns of ``decoded`` come along, without codes and media; null PCM stays null. The table goes to the
+    shared folder unless a path is given.
+    """
+    path = path or new_path(decoded.sparkSession, "pcm")
+    size = F.octet_length("pcm")
+    digits = F.lpad(F.hex("__size"), 8, "0"), F.lpad(F.hex("__whole"), 8, "0")
+    size4, whole4 = (F.unhex(F.concat(*[F.substring(d, k, 2) for k in (7, 5, 3, 1)])) for d in digits)
+    head = wave(b"", PCM, target_rate, 2, 1)
+    sized = decoded.withColumn("__size", size.cast("long")).withColumn("__whole", (size + len(head) - 8).cast("long"))
+    made = F.concat(F.lit(head[:4]), whole4, F.lit(head[8:-4]), size4, F.col("pcm"))
+    sized.withColumn("wave", made).drop("codes", "media", "pcm", "__size", "__whole").write.parquet(path)
+    return decoded.sparkSession.read.parquet(path)
