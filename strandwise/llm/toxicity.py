@@ -12,23 +12,24 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import BROADCAST_ROWS, arrow_batches, staged
 
-#: Expressions with own counts at most; broadcast as 8 + 4 bytes each.
-MAX_EXPRESSIONS = 1 << 20
+#: Expressions that go to every task (8 + 4 bytes each), the heaviest; texts meet all others by a join.
+HEAVY = 1 << 20
 #: Calibration reads this many labelled rows at most, those of the smallest hash of the id.
 CALIBRATION_ROWS = 20_000
 #: Least counts of an expression, scaled to the smaller class, among which calibration chooses.
 RARE = (5, 10, 20, 40)
-#: Part of the training rows (of five parts by CRC-32 of the id) that calibrates and is not counted.
+#: Part of the training rows (of five parts by CRC-32 of the id) from which those rows are taken; all others are counted.
 CALIBRATION_PART = 4
 #: Weight of the prior that keeps calibration weights small.
 RIDGE = 1.0
@@ -63,6 +64,8 @@ class Model:
     weights: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
+    #: Expressions beyond HEAVY with what they add over ``other`` (key, more); none where all are heavy.
+    rest: DataFrame | None = None
 
     def sums(self, words: np.ndarray) -> float:
         if not len(words):
@@ -72,6 +75,16 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
         return float(np.where(self.keys[at] == words, self.ratios[at], self.other).sum())
 
+    def light(self) -> Model:
+        """What tasks get."""
+        return replace(self, rest=None)
+
+    def missed(self, words: np.ndarray) -> np.ndarray:
+        """Expressions that are not heavy."""
+        if not len(self.keys):
+            return words
+        return words[self.keys[np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)] != words]
+
     def scores(self, sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         x = (features(sums, lengths) - self.centre) / self.scale
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
@@ -101,17 +114,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n - n1), pa.array(n1)], ["key", "clean", "toxic"])
 
 
-def _ratios(keys: np.ndarray, counts: np.ndarray, rare: int, totals: np.ndarray, types: np.ndarray, rest: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Log ratios for expressions that are not rare. counts: (n, 2); totals: of each class; rest: mass that the discounts leave."""
-    shared = counts.sum(1) / totals.sum()
-    own = np.maximum(counts - discount, 0) / totals
-    p = own + rest / totals * shared[:, None]
-    order = np.argsort(keys)
-    return keys[order], np.log(p[order, 1] / p[order, 0]).astype(np.float32), float(np.log((rest[1] / totals[1]) / (rest[0] / totals[0])))
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Counts all labelled training texts, each different text once, and calibrates on a bounded sample of the held-back part.
+    """Counts all labelled training texts but those that calibrate, each different text once; at most CALIBRATION_ROWS calibrate.
 
     Rows whose id is null, whose label is null, or whose part by CRC-32 modulo 5 is 0 are never used. With no
     training text of one of the classes the model scores every document by the share of toxic labels.
@@ -125,16 +129,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(text_col, F.lit("")).alias("text")).where("__id is not null").where(part != 0)
     labelled = texts.join(F.broadcast(known) if few else known, "__id").withColumn("part", part)
 
-    chosen = labelled.where(part != CALIBRATION_PART).groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n"), "__toxic").agg(F.min("__id").alias("__id")).select("__id")
+    sampled = staged(known.where(part == CALIBRATION_PART).orderBy(F.xxhash64("__id"), "__id").limit(CALIBRATION_ROWS), "toxicity-calibration")
+    counted = labelled.join(F.broadcast(sampled.select("__id")), "__id", "left_anti")
+    chosen = counted.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n"), "__toxic").agg(F.min("__id").alias("__id")).select("__id")
     chosen = staged(chosen, "toxicity-texts")
     train = labelled.join(F.broadcast(chosen) if few else chosen, "__id", "left_semi").select("text", "__toxic")
     counts = train.mapInArrow(_counted, "key long, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = staged(counts, "toxicity-counts")
     total = counts.agg(F.sum("clean"), F.sum("toxic"), *[F.sum((F.col(c) == k).cast("long")) for c in ("clean", "toxic") for k in (1, 2)]).first()
     totals = np.array([total[0] or 0, total[1] or 0], float)
-
-    sampled = known.where(part == CALIBRATION_PART).orderBy(F.xxhash64("__id"), "__id").limit(CALIBRATION_ROWS)
-    sample = texts.join(F.broadcast(sampled), "__id").select("__id", "text", "__toxic")
     if not totals.all():
         share = known.agg(F.avg("__toxic")).first()[0]
         p = min(max(share if share is not None else 0.0, 1e-6), 1 - 1e-6)
@@ -142,28 +145,44 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ones, twos = np.array([total[2], total[4]], float), np.array([total[3], total[5]], float)
     discount = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.1, 0.95)
 
-    to_small = float(totals.min())
-    weight = F.greatest(F.col("clean") * F.lit(to_small / totals[0]), F.col("toxic") * F.lit(to_small / totals[1]))
-    while (own := counts.where(weight >= RARE[0])).count() > MAX_EXPRESSIONS:  # more text: a higher bar from the start
-        to_small /= 2
-        weight = F.greatest(F.col("clean") * F.lit(to_small / totals[0]), F.col("toxic") * F.lit(to_small / totals[1]))
-    table = own.toArrow()
-    keys, pairs = np.asarray(table["key"]), np.column_stack([np.asarray(table["clean"]), np.asarray(table["toxic"])]).astype(float)
-    heavy = np.maximum(pairs[:, 0] * to_small / totals[0], pairs[:, 1] * to_small / totals[1]) if len(keys) else np.empty(0)
-    models = []
-    for rare in RARE:
-        kept = heavy >= rare
-        rest = totals - np.maximum(pairs[kept] - discount, 0).sum(0)
-        k, r, other = _ratios(keys[kept], pairs[kept], rare, totals, np.empty(0), np.maximum(rest, 1e-9), discount)
-        models.append(Model(rare, k, r, other, np.zeros(4), np.zeros(3), np.ones(3)))
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
-        for batch in batches:
-            words = [expressions(t, cache) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([float(len(w)) for w in words]), *[pa.array([m.sums(w) for w in words], pa.float64()) for m in models]], ["id", "toxic", "n", *[f"s{i}" for i in range(len(models))]])
-
-    seen = sample.mapInArrow(measured, "id long, toxic int, n double, " + ", ".join(f"s{i} double" for i in range(len(models)))).toPandas().sort_values("id")
+    weight = F.greatest(F.col("clean") * F.lit(float(totals.min() / totals[0])), F.col("toxic") * F.lit(float(totals.min() / totals[1])))
+    own = counts.withColumn("weight", weight).where(F.col("weight") >= RARE[0])
+    over = [F.greatest(F.col(c) - F.lit(float(d)), F.lit(0.0)) for c, d in zip(("clean", "toxic"), discount)]
+    taken = own.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.when(F.col("weight") >= rare, x)), F.lit(0.0)) for rare in RARE for x in over]).first()
+    rests = np.maximum(totals - np.array(taken[1:]).reshape(-1, 2), 1e-9)
+    others = [float(np.log((r[1] / totals[1]) / (r[0] / totals[0]))) for r in rests]
+
+    def ratio(k: int) -> Column:
+        """Log ratio of an expression with own counts in the model of RARE[k]; both classes share the lower order."""
+        shared = (F.col("clean") + F.col("toxic")) / F.lit(float(totals.sum()))
+        clean, toxic = ((x + F.lit(float(r)) * shared) / F.lit(float(t)) for x, r, t in zip(over, rests[k], totals))
+        return F.when(F.col("weight") >= RARE[k], F.log(toxic / clean)).otherwise(F.lit(others[k]))
+
+    own = own.select("key", "weight", *[ratio(k).cast("float").alias(f"r{k}") for k in range(len(RARE))])
+    rest = None
+    if taken[0] > HEAVY:
+        own = staged(own, "toxicity-own")
+        edge = own.orderBy(F.desc("weight"), "key").limit(HEAVY + 1).agg(F.min(F.struct("weight", -F.col("key")))).first()[0]
+        heavy = F.struct("weight", -F.col("key")) > F.struct(F.lit(edge[0]), F.lit(edge[1]))
+        rest, own = own.where(~heavy), own.where(heavy)
+    table = own.toArrow().sort_by("key")
+    keys = np.asarray(table["key"])
+    models = [Model(rare, keys, np.asarray(table[f"r{k}"]), others[k], np.zeros(4), np.zeros(3), np.ones(3), None if rest is None else rest.select("key", (F.col(f"r{k}") - F.lit(others[k])).alias("more"))) for k, rare in enumerate(RARE)]
+    sample = texts.join(F.broadcast(sampled), "__id").select(F.col("__id").alias("id"), "text", F.col("__toxic").alias("toxic"))
+    measured = [_measured(sample, m).withColumn("k", F.lit(k)) for k, m in enumerate(models)] if rest is not None else []
+    if rest is None:
+        lights = [m.light() for m in models]
+
+        def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cache: dict = {}
+            for batch in batches:
+                words = [expressions(t, cache) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([float(len(w)) for w in words]), *[pa.array([m.sums(w) for w in words], pa.float64()) for m in lights]], ["id", "toxic", "n", *[f"s{k}" for k in range(len(models))]])
+
+        seen = sample.mapInArrow(at_once, "id long, toxic int, n double, " + ", ".join(f"s{k} double" for k in range(len(models)))).toPandas().sort_values(["id", "n"])
+    else:
+        long = reduce(DataFrame.unionByName, measured).toPandas()  # at most CALIBRATION_ROWS documents, and their repeated rows
+        seen = long.pivot_table(index=["id", "toxic", "n", "text"], columns="k", values="sum").rename(columns=lambda k: f"s{k}").reset_index().sort_values(["id", "n"])
     y, n = seen["toxic"].to_numpy(float), seen["n"].to_numpy(float)
     return min((_calibrated(m, seen[f"s{i}"].to_numpy(float), n, y) for i, m in enumerate(models)), key=lambda x: (x[0], x[1].rare))[1]
 
@@ -186,41 +205,68 @@ def _calibrated(model: Model, sums: np.ndarray, n: np.ndarray, y: np.ndarray) ->
     for fits, tests in ((half, ~half), (~half, half)):
         p = np.clip(1 / (1 + np.exp(-np.clip(x[tests] @ newton(x[fits], y[fits]), -30, 30))), 1e-9, 1 - 1e-9)
         loss -= float((y[tests] * np.log(p) + (1 - y[tests]) * np.log(1 - p)).sum())
-    return loss, Model(model.rare, model.keys, model.ratios, model.other, newton(x, y), centre, scale)
+    return loss, replace(model, weights=newton(x, y), centre=centre, scale=scale)
 
 
-def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted, length, log_ratio for each row of ``docs``.
+def _measured(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with n, the different words of the column ``text``, and sum, their log ratios.
 
-    Only the text decides the score; a null text counts as empty, and an empty text gets the score of a text
-    without words. A null id is never held out (its CRC-32 is not taken). Repeated rows get equal rows, an empty
-    table an empty result; other columns are not read.
+    Texts meet the expressions that are not heavy by a join, each different text once.
     """
-    arrow_batches(docs.sparkSession)
+    names, light, wanted = rows.columns, model.light(), model.rest is not None
+    at = names.index("text")
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            words = [expressions(t, cache) for t in batch.column(1).to_pylist()]
-            n, s = np.array([len(w) for w in words], float), np.array([model.sums(w) for w in words], float)
-            p = model.scores(s, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(s)], ["doc_id", "score", "predicted", "length", "log_ratio"])
+            words = [expressions(t, cache) for t in batch.column(at).to_pylist()]
+            more = [pa.array([light.missed(w) for w in words], pa.list_(pa.int64()))] if wanted else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([float(len(w)) for w in words], pa.float64()), pa.array([light.sums(w) for w in words], pa.float64()), *more], [*names, "n", "sum", *["missed"][: len(more)]])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", n double, sum double"
+    if not wanted:
+        return rows.mapInArrow(first, schema)
+    found = staged(rows.mapInArrow(first, schema + ", missed array<long>").withColumn("content", F.unhex(F.md5(F.coalesce("text", F.lit(""))))), "toxicity-missed")
+    each = found.groupBy("content").agg(F.first("missed").alias("missed"))
+    more = each.select("content", F.explode("missed").alias("key")).join(model.rest, "key").groupBy("content").agg(F.sum(F.col("more").cast("double")).alias("more"))
+    return found.join(more, "content", "left").select(*names, "n", (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"))
+
+
+def _score(model: Model, n: Column, total: Column) -> Column:
+    x = [total / F.greatest(n, F.lit(1.0)), total / F.sqrt(F.greatest(n, F.lit(1.0))), 1 / F.sqrt(F.greatest(n, F.lit(1.0)))]
+    logit = F.lit(float(model.weights[0]))
+    for value, w, centre, scale in zip(x, model.weights[1:], model.centre, model.scale):
+        logit = logit + F.lit(float(w)) * (value - F.lit(float(centre))) / F.lit(float(scale))
+    return 1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))))
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scored, "doc_id long, score double, predicted int, length long, log_ratio double")
+def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted, length, log_ratio for each row of ``docs``.
+
+    Only the text decides the score; a null text counts as empty, and an empty text gets the score of a text
+    without words. A null id is never held out (its CRC-32 is not taken). Texts of any length are read whole. Repeated
+    rows get equal rows, an empty table an empty result; other columns are not read.
+    """
+    arrow_batches(docs.sparkSession)
+    rows = _measured(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model).withColumn("score", _score(model, F.col("n"), F.col("sum")))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
-    return rows.select("doc_id", held.alias("held_out"), "score", "predicted", "length", "log_ratio")
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("n").cast("long").alias("length"), F.col("sum").alias("log_ratio"))
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that the model does not predict to be toxic; a null text counts as empty."""
     arrow_batches(docs.sparkSession)
-    at, schema = docs.columns.index(text_col), docs.schema
+    if model.rest is not None:
+        texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
+        toxic = _measured(texts, model).where(_score(model, F.col("n"), F.col("sum")) >= 0.5).select(F.col("text").alias("__toxic_text"))
+        return docs.join(toxic, F.coalesce(F.col(text_col), F.lit("")) == F.col("__toxic_text"), "left_anti")
+    at, schema, light = docs.columns.index(text_col), docs.schema, model.light()
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
             words = [expressions(t, cache) for t in batch.column(at).to_pylist()]
-            p = model.scores(np.array([model.sums(w) for w in words], float), np.array([len(w) for w in words], float))
+            p = light.scores(np.array([light.sums(w) for w in words], float), np.array([len(w) for w in words], float))
             yield batch.filter(pa.array(p < 0.5))
 
     return docs.mapInArrow(clean, schema)
