@@ -1,6 +1,7 @@
 """Operators on whole texts against brute force, with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -88,6 +89,63 @@ def test_secret_scan_and_redaction(spark):
     assert secrets.secret_spans(table(spark, []), network).count() == 0
 
 
+def slow_probability(net, text, start, end):
+    """The network's answer for a candidate, one product at a time."""
+    best = 0.0
+    for at in [*range(start, end - secrets.INSIDE, secrets.STEP), max(start, end - secrets.INSIDE)]:
+        seen = [text[k] if 0 <= k < at else None for k in range(at - secrets.BEFORE, at)]
+        seen += [text[k] if k < end else None for k in range(at, at + secrets.INSIDE)]
+        tail = min(end, len(text))
+        seen += [text[k] if k < len(text) else None for k in range(tail, tail + secrets.AFTER)]
+        classes = [secrets.N - 1 if c is None else next((i for i, own in enumerate(secrets.CLASSES) if c in own), secrets.N - 2) for c in seen]
+        answers = []
+        for k in range(len(classes) - secrets.SPAN + 1):
+            z = net.bias.astype(float).copy()
+            for j in range(secrets.SPAN):
+                z += net.kernel[j * secrets.N + classes[k + j]]
+            answers.append(np.maximum(z, 0))
+        pooled = np.concatenate([np.max(answers, 0), np.mean(answers, 0)])
+        best = max(best, 1 / (1 + np.exp(-(net.slope * (pooled @ net.out + net.shift) + net.offset))))
+    return best
+
+
+def test_network_spans_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    keys = ["".join(rng.choice(letters, int(n))) for n in rng.integers(18, 90, 12)]
+    docs = [(i, f"say: {k}. é the-end-of-the-long-road password={k[:9]} {'word' * 5}") for i, k in enumerate(keys)]
+    docs += [(50, "QWERTYasdfghZXCVBNqwerty no digit"), (51, None), (52, ""), (53, keys[0] * 400), (53, keys[0] * 400), (None, keys[1])]
+    network = secrets.fit(table(spark, docs))
+    assert network.recall >= secrets.RECALL
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, [(s["start"], s["end"], s["kind"]) for s in r["spans"]]) for r in secrets.secret_spans(table(spark, docs, True), network).collect()))
+    want = []
+    for i, text in docs:
+        text = text or ""
+        spans = [(s, e, k) for s, e, k in secrets.base_spans(text)]
+        free, at = [], 0
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            parts, at = [], m.start()
+            for s, e, _ in sorted(spans):
+                if s < m.end() and m.start() < e:
+                    parts.append((at, s))
+                    at = max(at, e)
+            free += [(a, b) for a, b in [*parts, (at, m.end())] if b - a >= 16]
+        spans += [(a, b, "network") for a, b in free if slow_probability(network, text, a, b) >= network.threshold]
+        want.append((i is None, i or 0, sorted(spans, key=lambda x: (x[0], secrets.KINDS.index(x[2])))))
+    assert got == sorted(want) and any(k == "network" for *_, spans in got for *_, k in spans)
+
+
+def test_recall_threshold():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        p, y = rng.integers(0, 12, 40) / 12, rng.integers(0, 2, 40).astype(float)
+        y[0] = 1
+        best = max((2 * r * q / (r + q) for t in set(p) if (r := y[p >= t].sum() / y.sum()) >= 0.95 for q in [y[p >= t].mean()]))
+        t, r, q = secrets.recall_threshold(p, y, 0.95)
+        assert r == y[p >= t].sum() / y.sum() >= 0.95 and q == y[p >= t].mean() and abs(2 * r * q / (r + q) - best) < 1e-9
+        assert t not in p or t == 0
+
+
 def test_secrets_behind_long_prefixes(spark):
     key = "x7Kq9LmZ2pWv4RtY8sNb1CdF6gHj3aQe0"
     path, hexes = "hooks/services/of/the/harmless/team/number/7/", "0123456789abcdef" * 2
@@ -179,7 +237,20 @@ def test_tokens_match_the_tokenizer(kept, monkeypatch):
     path = public_tokenizers.path(packing.TOKENIZER)
     texts = ["", "Hello, World!  it's a\ttest here", "é ́x ΣΑΣ İı ﬁ", "a\x1cb\x1fc", "z" * 700, "日本語 テキスト 12345", "😀 👍🏽 x", " \n\n ", " line"] * 2
     encoder, whole = packing.Encoder(path), Tokenizer.from_file(path)
-    assert [x.tolist() for x in encoder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["l'été N°3 's'T <|endoftext|> x<|y ß Ŋa ŉ ½ \x85q", None, "w" * 300 + " É" * 3]
+    for _ in range(2):  # with and without what was kept
+        ids, n = encoder.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_tokens_of_a_tokenizer_that_keeps_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", "Hello  World", None, " é\n\nx"]
+    ids, n = packing.Encoder(path).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_fullest_is_best_by_brute_force():
@@ -216,16 +287,20 @@ def test_packing_invariants(spark):
 def test_piece_sampling_is_lossless_and_follows_the_lattice(spark, monkeypatch):
     import public_tokenizers
 
-    texts = ["", "the theatre", "  a  b\n\n c▁d ▁ x", "ünï\x00\t日本語 😀", " " * 70 + "\n" * 5, "x" * 3000]
+    texts = ["", "the theatre", "  a  b\n\n c▁d ▁ x", "ünï\x00\t日本語 😀", " " * 70 + "\n" * 5, "x" * 3000, "日本語" * 40 + "the"]
+    column, keys = pa.array(texts), np.arange(len(texts))
     lattice = piece_sampling.Lattice(public_tokenizers.path(piece_sampling.MODEL))
-    one = lattice.sample(texts, list(range(6)))
-    assert [lattice.decode(i) for i in one] == texts
+    chunks, counts = piece_sampling.chunked(column)
+    assert chunks.to_pylist() == [c for t in texts for c in re.findall(r" *[^ \n]+| +|\n", t)] and counts.tolist() == [len(re.findall(r" *[^ \n]+| +|\n", t)) for t in texts]
+    one = lattice.sample(column, keys)
+    assert lattice.decode(*one).to_pylist() == texts
     again = piece_sampling.Lattice(public_tokenizers.path(piece_sampling.MODEL))
     again.kept = again.kept.joined(again.learn(["zz", " other"]))
-    assert all((a == b).all() for a, b in zip(one, again.sample(texts, list(range(6)))))
+    assert all((a == b).all() for a, b in zip(one, again.sample(column, keys)))
     full = piece_sampling.Lattice(public_tokenizers.path(piece_sampling.MODEL))
     monkeypatch.setattr(piece_sampling, "_KEPT", 1)
-    assert all((a == b).all() for a, b in zip(one, full.sample(texts, list(range(6)))))
+    assert all((a == b).all() for a, b in zip(one, full.sample(column, keys)))
+    assert lattice.decode(np.array([int(lattice.byte_ids[0xFF])]), np.array([1])).to_pylist() == ["\ufffd"]
 
     def paths(word):
         if not word:
@@ -244,12 +319,16 @@ def test_piece_sampling_is_lossless_and_follows_the_lattice(spark, monkeypatch):
     want = {p: np.exp(w) for p, w in paths(" the").items()}
     total = sum(want.values())
     n = 4000
-    drawn = lattice.sample([" the"] * n, list(range(n)))
-    counts = {}
+    ids, sizes = lattice.sample(pa.array([" the"] * n), np.arange(n))
+    drawn, counts = np.split(ids, np.cumsum(sizes)[:-1]), {}
     for ids in drawn:
         counts[tuple(map(int, ids))] = counts.get(tuple(map(int, ids)), 0) + 1
     assert set(counts) <= set(want)
     assert all(abs(counts.get(p, 0) / n - w / total) < 0.04 for p, w in want.items())
+    long = "a" * 60
+    alone = lattice.learn([long, long[:3]])
+    assert int(np.diff(alone.first)[48]) > 1  # pieces cross the 48th character
+    assert piece_sampling.decode(piece_sampling.sample_encode(table(spark, []))).count() == 0
     docs = [(i, t) for i, t in enumerate(texts)] + [(None, None), (1, texts[1])]
     back = piece_sampling.decode(piece_sampling.sample_encode(table(spark, docs, True))).collect()
     assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in back)) == sorted((i is None, i or 0, t or "") for i, t in docs)
@@ -303,19 +382,69 @@ def test_adpcm_follows_a_sample_by_sample_decoder():
     assert got.tolist() == out
     assert np.abs(got[:1500].astype(int) - pcm).mean() < 400
     read = media.read_wave(media.wave(coded, media.ADPCM, block=256, samples=505))
-    assert (read.pcm == got).all() and len(media.adpcm_decoded(b"", 256)) == 0
+    assert (media.decoded_all([read])[0] == got).all() and len(media.adpcm_decoded(b"", 256)) == 0
 
 
-def test_media_round_trip(spark):
-    docs = [(1, "é" * 40), (2, None), (3, ""), (4, "x" * 64), (5, "y" * 200_000), (5, "y" * 200_000), (None, "z")]
-    for tag in (media.MU_LAW, media.A_LAW):
+def slow_pcm(tag, raw):
+    """Sample by sample from the definitions of the formats."""
+    if tag == media.MU_LAW:
+        out = []
+        for c in raw:
+            c ^= 0xFF
+            v = ((((c & 15) << 3) + 132) << ((c >> 4) & 7)) - 132
+            out.append(-v if c & 128 else v)
+        return out
+    if tag == media.A_LAW:
+        out = []
+        for c in raw:
+            c ^= 0x55
+            v, e = ((c & 15) << 4) + 8, (c >> 4) & 7
+            v = v + 256 << e - 1 if e else v
+            out.append(v if c & 128 else -v)
+        return out
+    out = []
+    for at in range(0, len(raw), 64):
+        v, index = int.from_bytes(raw[at:at + 2], "little", signed=True), min(raw[at + 2], 88)
+        out.append(v)
+        for c in (n for byte in raw[at + 4:at + 64] for n in (byte & 15, byte >> 4)):
+            step = int(media._STEP[index])
+            d = (step >> 3) + (step if c & 4 else 0) + (step >> 1 if c & 2 else 0) + (step >> 2 if c & 1 else 0)
+            v = max(-32768, min(32767, v - d if c & 8 else v + d))
+            index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[c & 7]))
+            out.append(v)
+    return out
+
+
+def test_media_round_trip(spark, tmp_path):
+    docs = [(1, "é" * 40), (2, None), (3, ""), (4, "x" * 64), (5, "y" * 200_000), (5, "y" * 200_000), (None, "z"), (6, "x" * 64), *[(10 + i, f"text {i} " * i) for i in range(12)]]
+    met = set()
+    for tag in (media.MU_LAW, media.A_LAW, media.ADPCM, None):
         rows = media.decoded_media(media.stored_texts(table(spark, docs, True), tag=tag)).collect()
         for r in rows:
             text = next(t for i, t in docs if i == r["doc_id"]) or ""
             assert bytes(r["codes"]) == media.padded(text) and r["n_bytes"] == len(text.encode())
-            assert len(r["pcm"]) == 4 * len(r["codes"])
+            form = media.read_wave(bytes(r["media"])).tag
+            met.add(form)
+            slow = slow_pcm(form, media.padded(text))
+            half = [x for a, b in zip(slow, [*slow[1:], slow[-1]]) for x in (a, (a + b + 1) // 2)]  # halves go up
+            assert np.frombuffer(bytes(r["pcm"]), "<i2").tolist() == half
+            crc = zlib.crc32(np.array(half, "<i2").tobytes())
+            turns = sum((a < 0) != (b < 0) for a, b in zip(half, half[1:]))
+            assert r["feature"] == f"{len(half)};{sum(map(abs, half)) * 1000 // len(half)};{turns};{crc:08x}"
+    assert met == set(media.FORMATS)
+    stored = {r["doc_id"]: r["wave"] for r in media.store_pcm(media.decoded_media(media.stored_texts(table(spark, docs)))).collect()}
+    for r in rows:
+        assert media.decoded_all([media.read_wave(bytes(stored[r["doc_id"]]))])[0].astype("<i2").tobytes() == bytes(r["pcm"])
+        assert media.read_wave(bytes(stored[r["doc_id"]])).rate == media.TARGET_RATE
     broken = spark.createDataFrame([(1, b"no wave"), (2, None), (3, media.wave(b"abcd", media.MU_LAW)[:-3])], "doc_id long, media binary")
     assert [r["feature"] for r in media.decoded_media(broken).collect()] == [None] * 3
+    assert media.decoded_media(media.stored_texts(table(spark, []))).count() == 0
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in catalog.op7_media(spark, str(tmp_path)).collect():
+        raw = media.padded(next(t for i, t in docs if i == r["doc_id"]))
+        stored = media.stored_text(next(t for i, t in docs if i == r["doc_id"]))
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
 PAGES = [(3, "http://a/ b", "<p>x</p>"), (1, "http://b", "<p>x</p>"), (2, None, None), (5, "u", ""), (9, "u", "WARC/1.1\r\n\r\n" * 3), (7, "v", "é" * 40_000), (7, "v", "é" * 40_000), (None, "w", "<p>x</p>")]
@@ -352,7 +481,28 @@ def test_broken_archives_are_found():
         list(warc.records(io.BytesIO(raw[:-9]).read))
 
 
-def test_toxicity_held_out(spark):
+def ratio_by_hand(counted, rare):
+    totals = {c: sum(own.values()) for c, own in counted.items()}
+    least = min(totals.values())
+    cut, rest = {}, {}
+    words = set(counted["toxic"]) | set(counted["clean"])
+    kept = {w for w in words if max(counted[c].get(w, 0) * least / totals[c] for c in counted) >= rare}
+    for c, own in counted.items():
+        ones, twos = (sum(v == k for v in own.values()) for k in (1, 2))
+        cut[c] = min(0.95, max(0.1, ones / max(ones + 2 * twos, 1)))
+        rest[c] = totals[c] - sum(max(own.get(w, 0) - cut[c], 0) for w in kept)
+
+    def log(w):
+        shared = sum(own.get(w, 0) for own in counted.values()) / sum(totals.values()) if w in kept else 1
+        p = {c: (max(counted[c].get(w, 0) - cut[c], 0) * (w in kept) + rest[c] * shared) / totals[c] for c in counted}
+        return float(np.log(p["toxic"] / p["clean"]))
+
+    return log
+
+
+@pytest.mark.parametrize("heavy", [1 << 20, 3])
+def test_toxicity_held_out(spark, monkeypatch, heavy):
+    monkeypatch.setattr(toxicity, "HEAVY", heavy)
     rng = np.random.default_rng(6)
     usual = [f"w{i}" for i in range(300)]
     rows, labels = [], []
@@ -376,6 +526,18 @@ def test_toxicity_held_out(spark):
     assert all(got[i]["held_out"] for i in held)
     assert np.mean([got[i]["predicted"] == truth[i] for i in held]) > 0.95
     assert 0 <= got[5001]["score"] <= 1 and got[5000]["score"] == got[5001]["score"]
+    assert (model.rest is None) == (heavy > 3)
+    counted = {"toxic": {}, "clean": {}}  # the ratio by its definition, from the rows that were not held back
+    part = lambda i: zlib.crc32(str(i).encode()) % 5
+    seen = set()
+    for i, t in rows:
+        if i in truth and part(i) in (1, 2, 3) and (t, truth[i]) not in seen:
+            seen.add((t, truth[i]))
+            own = counted["toxic" if truth[i] else "clean"]
+            for w in set((t or "").split()):
+                own[w] = own.get(w, 0) + 1
+    log, words = ratio_by_hand(counted, model.rare), set(dict(rows)[7].split())
+    assert abs(got[7]["log_ratio"] - sum(log(w) for w in words)) < 1e-3 and got[7]["length"] == len(words)
     nothing = toxicity.fit(table(spark, []), known)
     assert toxicity.toxicity(table(spark, [(1, "x")]), nothing).count() == 1
     left = toxicity.without_toxic(table(spark, rows, True), model)
