@@ -3,18 +3,19 @@
 The lattice of a chunk has a node for each place and an edge for each piece of the vocabulary that fits there;
 characters that no piece covers go by their bytes. Filtering sums the weights of all paths to each node; sampling
 walks back from the end and picks each edge by its share. Filtered chunks are kept, and the walks of all chunks of a
-batch go side by side in numpy. Draws come from a counter hash of the row key, so a row always gives the same pieces.
+step go side by side in numpy. Draws come from a counter hash of the row key, so a row always gives the same pieces.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import zlib
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,53 +25,65 @@ MODEL = "piece_bpe_32k.model"
 #: Weight of a piece: (its rank among the pieces + 2) to the power -ALPHA; bytes have a rank after all others.
 ALPHA, SEED = 1.0, 11
 SPACE = "▁"
-#: Chunks: runs of spaces with what follows until the next space; long ones are cut.
-_CHUNK = re.compile(r" {0,16}[^ \n]{1,48}\n?| {1,16}|\n")
-_KEPT = 150_000
+#: Lattices that are kept, and characters of the longest one that is.
+_KEPT, _LONG = 120_000, 64
 #: Edges of spelled characters have labels from here, by code point.
 SPELLED = 1 << 24
 #: An odd multiplier and its inverse modulo 2**64, for hashes of pieces.
 _UP = 0x9E3779B97F4A7C15
 _DOWN = pow(_UP, -1, 1 << 64)
-#: Texts that a step samples side by side.
-_ROWS = 300
+#: Bytes of texts that a step samples side by side; a longer text is a step by itself.
+_STEP = 1 << 20
+#: Bits of the tables that tell most strings that are no piece.
+_SIEVE = 20
+
+
+#: An edge of a filtered lattice: the state's cumulated share up to it, the state where it starts, the piece.
+EDGE = np.dtype([("share", "f4"), ("origin", "i4"), ("label", "i4")])
 
 
 @dataclass
 class Filtered:
-    """Filtered lattices of chunks as flat arrays: states with cumulated shares of their edges; each chunk's last state."""
+    """Filtered lattices of chunks as flat arrays: edges by state, a state's longest piece first; each chunk's last state."""
 
     end: dict[str, int] = field(default_factory=dict)
-    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    rising: np.ndarray = field(default_factory=lambda: np.empty(0))
-    origin: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    label: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))
+    edges: np.ndarray = field(default_factory=lambda: np.empty(0, EDGE))
 
     def joined(self, other: Filtered) -> Filtered:
         if not other.end:
             return self
         base = len(self.first) - 1
         self.end.update((c, base + k) for c, k in other.end.items())
-        return Filtered(self.end, np.append(self.first, len(self.rising) + other.first[1:]), np.append(self.rising, base + other.rising), np.append(self.origin, base + other.origin), np.append(self.label, other.label))
+        more = other.edges.copy()
+        more["origin"] += base
+        return Filtered(self.end, np.append(self.first, len(self.edges) + other.first[1:]), np.append(self.edges, more))
 
     def walked(self, state: np.ndarray, draw: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling from the states of the live chunks: labels of the picked edges and their chunks, first pieces first."""
-        state, picked, owner, step = state.copy(), [], [], 0
+        now, draw, picked, owner, step = state[live], draw[live], [], [], 0
         while True:
-            now = state[live]
-            more = self.first[now + 1] > self.first[now]
-            live, now = live[more], now[more]
+            edge, until = self.first[now], self.first[now + 1]
+            more = until > edge
+            if not more.all():
+                live, draw, edge, until = live[more], draw[more], edge[more], until[more]
             if not len(live):
                 break
-            u = (_mix(draw[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.clip(np.searchsorted(self.rising, now + u, "right"), self.first[now], self.first[now + 1] - 1)
-            picked.append(edge)
+            u = (_mix(draw + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            found = self.edges[edge]
+            late = np.flatnonzero(u >= found["share"])
+            while len(late):
+                edge[late] += 1
+                late = late[edge[late] < until[late]]
+                found[late] = self.edges[edge[late]]
+                late = late[u[late] >= found["share"][late]]
+            picked.append(found["label"].copy())
             owner.append(live)
-            state[live] = self.origin[edge]
+            now = found["origin"]
             step += 1
         if not picked:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return self.label[np.concatenate(picked)[::-1]], np.concatenate(owner)[::-1]
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        return np.concatenate(picked[::-1]), np.concatenate(owner[::-1])
 
 
 class Lattice:
@@ -86,18 +99,30 @@ class Lattice:
             raise ValueError("the model has no piece for each byte, so decoding could lose text")
         self.byte_ids = np.array([bytes_[b] for b in range(256)], np.int32)
         self.byte_weight = -alpha * float(np.log(n + 2))
-        self.text: list[bytes] = [b""] * n
+        text: list[bytes] = [b""] * n
         for value, i in bytes_.items():
-            self.text[i] = bytes([value])
+            text[i] = bytes([value])
         own = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-        by_length: dict[int, list[tuple[int, int, float]]] = {}
+        by_length: dict[int, list[tuple[int, int, float, np.ndarray]]] = {}
         for rank, i in enumerate(own):
             piece = model.id_to_piece(i).replace(SPACE, " ")
-            self.text[i] = piece.encode()
+            text[i] = piece.encode()
             codes = _codes(piece)
             total, _ = _prefix(codes)
-            by_length.setdefault(len(codes), []).append((int(total[-1]), i, -alpha * float(np.log(rank + 2))))
-        self.tables = {k: tuple(np.array(c, t) for c, t in zip(zip(*sorted(v)), (np.uint64, np.int64, np.float64))) for k, v in by_length.items()}
+            by_length.setdefault(len(codes), []).append((int(total[-1]), i, -alpha * float(np.log(rank + 2)), codes))
+            if any(a != " " and b == " " for a, b in zip(piece, piece[1:])) or "\n" in piece:
+                raise ValueError("a piece goes on beyond a chunk")
+        self.tables, self.sieves = {}, {}
+        for span, rows in by_length.items():
+            hashes, ids, weights, codes = zip(*sorted(rows, key=lambda r: r[:2]))
+            if len(set(hashes)) < len(hashes):
+                raise ValueError("two pieces share a hash")
+            self.tables[span] = (np.array(hashes, np.uint64), np.array(ids, np.int64), np.array(weights), np.array(codes))
+            self.sieves[span] = np.zeros(1 << _SIEVE, bool)
+            self.sieves[span][self.tables[span][0] >> np.uint64(64 - _SIEVE)] = True
+        self.spelled = np.frombuffer(b"".join(text), np.uint8)
+        self.widths = np.fromiter(map(len, text), np.int64, n)
+        self.places = np.cumsum(self.widths) - self.widths
         self.kept = Filtered()
 
     def learn(self, chunks: list[str]) -> Filtered:
@@ -114,80 +139,125 @@ class Lattice:
         total, power = _prefix(codes)
         width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
         starts, spans, weights, labels = [np.arange(len(codes))], [np.ones(len(codes), np.int64)], [width * self.byte_weight], [SPELLED + codes.astype(np.int64)]
-        for span, (hashes, ids, weight) in sorted(self.tables.items()):
+        for span, (hashes, ids, weight, pieces) in sorted(self.tables.items()):
             at = np.flatnonzero(left >= span)
             if not len(at):
                 break
             own = (total[at + span] - total[at]) * power[at]
+            maybe = np.flatnonzero(self.sieves[span][own >> np.uint64(64 - _SIEVE)])
+            at, own = at[maybe], own[maybe]
             k = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-            met = hashes[k] == own
-            starts.append(at[met])
-            spans.append(np.full(int(met.sum()), span))
-            weights.append(weight[k[met]])
-            labels.append(ids[k[met]])
-        start, span, weight, label = map(np.concatenate, (starts, spans, weights, labels))
+            met = np.flatnonzero(hashes[k] == own)
+            at, k = at[met], k[met]
+            same = np.ones(len(at), bool)
+            for j in range(span):
+                same &= codes[at + j] == pieces[k, j]
+            at, k = at[same], k[same]
+            starts.append(at)
+            spans.append(np.full(len(at), span))
+            weights.append(weight[k])
+            labels.append(ids[k])
+        start, span, weight, label = (np.concatenate(x[::-1]) for x in (starts, spans, weights, labels))  # long pieces first: most take the larger share
         origin = start + chunk[start]
-        state, until = origin + span, place[start] + span
-        order = np.lexsort((label, state, until))
-        origin, state, weight, label, until = (x[order] for x in (origin, state, weight, label, until))
-        log, share = np.zeros(len(codes) + len(chunks)), np.empty(len(state))
-        edges = np.searchsorted(until, np.arange(1, int(lengths.max()) + 2))
+        state = origin + span
+        order = np.argsort(state, kind="stable")  # merges one rising run for each length
+        state, origin, weight, label, until = state[order], origin[order], weight[order], label[order], (place[start] + span)[order]
+        sizes = np.bincount(state, minlength=len(log := np.zeros(len(codes) + len(chunks))))
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        share, longest = np.empty(len(state)), int(lengths.max())
+        turn = np.argsort(until.astype(np.uint16 if longest < 1 << 16 else np.int64), kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(until, minlength=longest + 1)[1:])])
         for a, b in zip(edges[:-1], edges[1:]):
-            score, own = log[origin[a:b]] + weight[a:b], state[a:b]
+            at = turn[a:b]
+            score, own = log[origin[at]] + weight[at], state[at]
             cut = np.flatnonzero(np.diff(own, prepend=-1))
             n = np.diff(np.append(cut, b - a))
             top = np.maximum.reduceat(score, cut)
             part = np.exp(score - np.repeat(top, n))
             whole = np.add.reduceat(part, cut)
             log[own[cut]] = top + np.log(whole)
-            run = np.cumsum(part / np.repeat(whole, n))
-            run -= np.repeat(run[cut] - part[cut] / whole, n)
-            run[np.append(cut[1:], b - a) - 1] = 1.0
-            share[a:b] = np.minimum(run, 1.0)
-        order = np.argsort(state, kind="stable")
-        sizes = np.bincount(state, minlength=len(log))
-        ends = (np.cumsum(lengths + 1) - 1).tolist()
-        return Filtered(dict(zip(chunks, ends)), np.concatenate([[0], np.cumsum(sizes)]), state[order] + share[order], origin[order], label[order])
-
-    def sample(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
-        """Piece ids of each text; a text's draws depend on its key, its chunks' numbers and their steps alone."""
-        split = [_CHUNK.findall(t) for t in texts]
-        fresh = sorted({c for chunks in split for c in chunks} - self.kept.end.keys())
+            share[at] = part / np.repeat(whole, n)
+        for k in range(1, int(sizes.max())):
+            at = first[:-1][sizes > k] + k
+            share[at] += share[at - 1]
+        share[first[1:][sizes > 0] - 1] = 1.0
+        edges = np.empty(len(state), EDGE)
+        edges["share"], edges["origin"], edges["label"] = share, origin, label
+        return Filtered(dict(zip(chunks, (np.cumsum(lengths + 1) - 1).tolist())), first.astype(np.int32), edges)
+
+    def sample(self, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all texts one after another, and their counts.
+
+        A text's draws depend on its key, its chunks' numbers and their steps alone.
+        """
+        words, counts = chunked(texts)
+        words = words.dictionary_encode()
+        different, at = words.dictionary.to_pylist(), words.indices.to_numpy()
+        kept = np.fromiter((self.kept.end.get(c, -1) for c in different), np.int64, len(different))
+        missing = np.flatnonzero(kept < 0)
+        fresh = [different[i] for i in missing.tolist()]
         now = self.learn(fresh) if fresh else Filtered()
-        if len(self.kept.end) + len(fresh) <= _KEPT:
+        own = np.full(len(different), -1, np.int64)
+        own[missing] = np.fromiter(now.end.values(), np.int64, len(fresh))
+        if len(self.kept.end) + len(fresh) <= _KEPT and all(len(c) <= _LONG for c in fresh):
+            kept[missing] = len(self.kept.first) - 1 + own[missing]
             self.kept, now = self.kept.joined(now), Filtered()
-        counts = np.array([len(c) for c in split], np.int64)
-        state = np.fromiter((self.kept.end.get(c, -1) for chunks in split for c in chunks), np.int64, int(counts.sum()))
+        state = kept[at]
         number = np.arange(len(state)) - np.repeat(np.cumsum(counts) - counts, counts)
-        draw = _mix(np.repeat(np.array(keys, np.uint64), counts) ^ _mix(number.astype(np.uint64) + np.uint64(SEED << 40)))
+        draw = _mix(np.repeat(keys.view(np.uint64), counts) ^ _mix(number.astype(np.uint64) + np.uint64(SEED << 40)))
         walks = [self.kept.walked(state, draw, np.flatnonzero(state >= 0))]
         if now.end:
-            at = np.flatnonzero(state < 0)
-            flat = [c for chunks in split for c in chunks]
-            state[at] = [now.end[flat[i]] for i in at]
-            walks.append(now.walked(state, draw, at))
+            walks.append(now.walked(own[at], draw, np.flatnonzero(state < 0)))
         labels, owners = (np.concatenate(x) for x in zip(*walks))
-        if not len(labels):
-            return [np.empty(0, np.int32) for _ in texts]
         order = np.argsort(owners, kind="stable")
-        labels, text_of = labels[order], np.repeat(np.arange(len(texts)), counts)[owners[order]]
+        labels, owners = labels[order], owners[order]
         spelled = np.flatnonzero(labels >= SPELLED)
         if len(spelled):
             codes = labels[spelled] - SPELLED
             n = np.ones(len(labels), np.int64)
             n[spelled] += (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
-            at = np.cumsum(n) - n
+            place = np.cumsum(n) - n
             flat = np.repeat(labels, n)
             for c in np.unique(codes):
                 raw = self.byte_ids[np.frombuffer(chr(c).encode(), np.uint8)]
-                places = at[spelled[codes == c]]
+                places = place[spelled[codes == c]]
                 for k, i in enumerate(raw):
                     flat[places + k] = i
-            labels, text_of = flat, np.repeat(text_of, n)
-        return np.split(labels.astype(np.int32), np.searchsorted(text_of, np.arange(1, len(texts))))
-
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join([self.text[i] for i in ids]).decode("utf-8", "replace")
+            labels, owners = flat, np.repeat(owners, n)
+        per = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(state)))])
+        return labels.astype(np.int32), np.diff(per[np.concatenate([[0], np.cumsum(counts)])])
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The text that each run of ids spells; ids of controls spell nothing. Bytes that are no UTF-8 become marks."""
+        n = self.widths[ids]
+        raw = self.spelled[np.repeat(self.places[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        per = np.concatenate([[0], np.cumsum(n)])
+        edges = per[np.concatenate([[0], np.cumsum(counts)])]
+        data = pa.py_buffer(raw.tobytes())
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(edges.astype(np.int64).tobytes()), data])
+        try:
+            return found.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
+
+
+def chunked(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Chunks of all texts one after another, and their counts: line feeds, and spaces with what follows until the next.
+
+    No piece goes on beyond a chunk, so that the lattice of a text is that of its chunks, whatever their length.
+    """
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]: offsets[-1]]
+    space, feed = data == 32, data == 10
+    begins = feed.copy()
+    begins[1:] |= feed[:-1] | space[1:] & ~space[:-1]
+    own = offsets - offsets[0]
+    begins[own[:-1][own[:-1] < own[1:]]] = True
+    starts = np.flatnonzero(begins)
+    edges = np.append(starts, len(data)) if len(starts) else np.zeros(1, np.int64)
+    chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
+    return chunks, np.diff(np.searchsorted(starts, own))
 
 
 def _codes(text: str) -> np.ndarray:
@@ -227,18 +297,21 @@ def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, ids for each row: a sampled segmentation whose draws are seeded by the id.
 
     Nothing is added in front and nothing normalised, so the pieces spell the text. A null text is empty and has no
-    pieces; a null id seeds like 0. Repeated rows get equal pieces, an empty table an empty result.
+    pieces; a null id seeds like 0. Repeated rows get equal pieces, an empty table an empty result. A very long text, or
+    a long run without spaces, is one lattice like any other. Other columns are not read.
     """
     arrow_batches(docs.sparkSession)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(model, alpha)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for at in range(0, len(texts), _ROWS):
-                out += lattice.sample(texts[at:at + _ROWS], [(i or 0) & (2**64 - 1) for i in ids[at:at + _ROWS]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            for a, b in pairwise(np.flatnonzero(np.diff(sizes // _STEP, prepend=-1, append=-1)).tolist()):
+                own = batch.slice(a, b - a)
+                keys = pc.fill_null(own.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, counts = lattice.sample(own.column(1), keys)
+                edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(encoded, "doc_id long, ids array<int>")
 
@@ -248,7 +321,13 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(model)
         for batch in batches:
-            rows = [None if r is None else np.array(r, "<i4") for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if r is None else len(r) for r in rows], pa.int64()), pa.array([None if r is None else zlib.crc32(r.tobytes()) for r in rows], pa.int64()), pa.array([None if r is None else lattice.decode(r) for r in rows], pa.string())], ["doc_id", "pieces", "ids_crc32", "text"])
+            column = batch.column(1)
+            none = column.is_null()
+            counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = column.flatten().to_numpy().astype("<i4", copy=False)
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            crc = [zlib.crc32(ids[a:b]) for a, b in pairwise(edges.tolist())]
+            columns = [pa.array(counts), pa.array(crc, pa.int64()), lattice.decode(ids, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pc.if_else(none, pa.scalar(None, c.type), c) for c in columns]], ["doc_id", "pieces", "ids_crc32", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decoded, "doc_id long, pieces long, ids_crc32 long, text string")

@@ -16,7 +16,7 @@ HOT_SHARE = 1000
 #: Ways in which the rows of a hot key are split.
 SALTS = 32
 #: Rows and bytes in an Arrow batch: bound what a Python worker holds, also where texts are long.
-BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 4000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +54,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, in any case: underscores come first where it is."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Sets the session's bounds of Arrow batches: a batch ends at either."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
