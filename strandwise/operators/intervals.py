@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Width of the bins of range joins; a side's rows are repeated once for each bin that they touch.
 BIN = 1 << 12
+#: Bases of a block of a running aggregate.
+BLOCK = 1 << 20
 
 
 def binned(df: DataFrame, start: Column, end: Column, width: int = BIN, name: str = "bin") -> DataFrame:
@@ -60,12 +62,50 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], pos: str = "po
     return le.join(r, on & F.col(prefix + pos).between(F.col(pos) + low, F.col(pos) + high)).drop("bin", prefix + "bin")
 
 
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], inclusive: bool = True, descending: bool = False, block: int = BLOCK) -> DataFrame:
+    """``df`` with running aggregates of each key in the order of its columns, in two levels, so that no task holds a contig.
+
+    ``values`` names (kind, column) with kind sum, max or last (the last that is not null); each takes the rows before
+    a row and, if ``inclusive``, the row. Blocks of the first column of the order are aggregated first, their running
+    aggregates carried over the few blocks of a key, and windows stay inside a block. Rows of equal order count as
+    in any order for sum and max; give a total order for the rest.
+    """
+    placed = df.withColumn("__block", F.floor(F.col(order[0]) / F.lit(block)))
+    place = F.struct(*order)
+
+    def whole(kind: str, c: Column) -> Column:
+        if kind == "last":
+            known = F.when(c.isNotNull(), place)
+            return (F.min_by if descending else F.max_by)(c, known)
+        return F.sum(c) if kind == "sum" else F.max(c)
+
+    def over(kind: str, c: Column, window) -> Column:
+        return F.last(c, ignorenulls=True).over(window) if kind == "last" else (F.sum(c) if kind == "sum" else F.max(c)).over(window)
+
+    totals = placed.groupBy(*keys, "__block").agg(*[whole(k, c).alias(n) for n, (k, c) in values.items()])
+    before = Window.partitionBy(*keys).orderBy(F.desc("__block") if descending else F.asc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__block").alias("__kb"), *[over(k, F.col(n), before).alias(f"__carried_{n}") for n, (k, _) in values.items()])
+    inside = Window.partitionBy(*keys, "__block").orderBy(*[F.desc(c) if descending else F.asc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = placed.select("*", *[over(k, c, inside).alias(f"__local_{n}") for n, (k, c) in values.items()])
+    on = F.col("__block") == F.col("__kb")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = local.join(carried, on)
+
+    def both(n: str, kind: str) -> Column:
+        mine, theirs = F.col(f"__local_{n}"), F.col(f"__carried_{n}")
+        if kind == "max":
+            return F.greatest(mine, theirs)
+        return F.coalesce(mine, theirs) if kind == "last" else F.coalesce(mine + theirs, mine, theirs)
+
+    return joined.select(*df.columns, *[both(n, k).alias(n) for n, (k, _) in values.items()])
+
+
 def merged(df: DataFrame, keys: list[str], start: str = "s", end: str = "e") -> DataFrame:
     """Unions of intervals that overlap or touch, for each key."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.where(F.col(end) > F.col(start)).withColumn("reach", reach).withColumn("fresh", (F.col("reach").isNull() | (F.col(start) > F.col("reach"))).cast("int"))
-    island = flagged.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    reached = running(df.where(F.col(end) > F.col(start)).select(*keys, start, end), keys, [start, end], {"reach": ("max", F.col(end))}, inclusive=False)
+    fresh = reached.withColumn("fresh", (F.col("reach").isNull() | (F.col(start) > F.col("reach"))).cast("int"))
+    island = running(fresh, keys, [start, end], {"island": ("sum", F.col("fresh"))})
     return island.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
 
 
@@ -81,17 +121,20 @@ def subtracted(df: DataFrame, holes: DataFrame, keys: list[str], start: str = "s
     return pieces.where(F.col(end) > F.col(start))
 
 
+def _nearest(df: DataFrame, anchors: DataFrame, chrom: str, pos: str, value: str, name: str, strict: bool, ahead: bool) -> DataFrame:
+    """Both sides in one order; a strict side stands behind anchors of its position, the other one before them."""
+    known = df.select(F.col(chrom).alias("__c"), F.col(pos).alias("__p"), F.lit(int(strict != ahead)).alias("__side"), F.col(value).alias("__v"), F.lit(None).alias("__row"))
+    asked = anchors.select(F.col(chrom).alias("__c"), F.col(pos).alias("__p"), F.lit(int(strict == ahead)).alias("__side"), F.lit(None).cast(dict(df.dtypes)[value]).alias("__v"), F.struct(*anchors.columns).alias("__row"))
+    both = asked.unionByName(known.withColumn("__row", F.lit(None).cast(asked.schema["__row"].dataType)))
+    found = running(both, ["__c"], ["__p", "__side", "__v"], {"__found": ("last", F.col("__v"))}, descending=ahead)
+    return found.where("__row is not null").select("__row.*", F.col("__found").alias(name))
+
+
 def last_before(df: DataFrame, anchors: DataFrame, chrom: str = "chrom", pos: str = "pos", value: str = "pos", name: str = "before", strict: bool = True) -> DataFrame:
-    """As-of join: for each anchor the largest value at a smaller position (or equal, if not strict) of the contig."""
-    side = df.select(F.col(chrom).alias("__c"), F.col(pos).alias("__p"), F.col(value).alias("__v"), *[F.lit(None).cast(t).alias(c) for c, t in anchors.dtypes], F.lit(True).alias("__known"))
-    both = anchors.select(F.col(chrom).alias("__c"), F.col(pos).alias("__p"), F.lit(None).cast(dict(df.dtypes)[value]).alias("__v"), *anchors.columns, F.lit(False).alias("__known")).unionByName(side)
-    window = Window.partitionBy("__c").orderBy("__p").rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
-    return both.withColumn(name, F.last("__v", ignorenulls=True).over(window)).where("not __known").select(*anchors.columns, name)
+    """As-of join: for each anchor the value at the largest smaller position (or equal, if not strict) of the contig."""
+    return _nearest(df, anchors, chrom, pos, value, name, strict, False)
 
 
 def first_after(df: DataFrame, anchors: DataFrame, chrom: str = "chrom", pos: str = "pos", value: str = "pos", name: str = "after", strict: bool = True) -> DataFrame:
     """As-of join to the other side: the smallest larger (or equal) position."""
-    side = df.select(F.col(chrom).alias("__c"), F.col(pos).alias("__p"), F.col(value).alias("__v"), *[F.lit(None).cast(t).alias(c) for c, t in anchors.dtypes], F.lit(True).alias("__known"))
-    both = anchors.select(F.col(chrom).alias("__c"), F.col(pos).alias("__p"), F.lit(None).cast(dict(df.dtypes)[value]).alias("__v"), *anchors.columns, F.lit(False).alias("__known")).unionByName(side)
-    window = Window.partitionBy("__c").orderBy("__p").rangeBetween(1 if strict else 0, Window.unboundedFollowing)
-    return both.withColumn(name, F.first("__v", ignorenulls=True).over(window)).where("not __known").select(*anchors.columns, name)
+    return _nearest(df, anchors, chrom, pos, value, name, strict, True)

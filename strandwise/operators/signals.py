@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import running
+
 #: Bases in a block of a running sum.
 BLOCK = 1 << 20
 #: Shares of a fragment's kernel are integers of this size, so that sums do not depend on their order.
@@ -45,9 +47,9 @@ def steps(events: DataFrame, keys: list[str], sums: dict[str, Column], block: in
 
 def compressed(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Run-length form: touching runs of equal value become one."""
-    order = Window.partitionBy(*keys).orderBy("start")
-    fresh = ~(F.lag(value).over(order).eqNullSafe(F.col(value)) & (F.lag("end").over(order) == F.col("start")))
-    island = df.withColumn("island", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = running(df, keys, ["start"], {"__before": ("last", F.struct("end", value))}, inclusive=False)
+    same = (F.col("__before.end") == F.col("start")) & F.col(f"__before.{value}").eqNullSafe(F.col(value))
+    island = running(last.withColumn("__fresh", 1 - F.coalesce(same, F.lit(False)).cast("int")).drop("__before"), keys, ["start"], {"island": ("sum", F.col("__fresh"))}).drop("__fresh")
     return island.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first(value).alias(value)).drop("island")
 
 
@@ -152,9 +154,9 @@ def scaled(track: DataFrame, reference: float, scale: float = 100.0) -> DataFram
 
 def islands(track: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
     """Maximal runs of rows no more than ``gap`` bases apart, numbered within their key."""
-    order = Window.partitionBy(*keys).orderBy("start")
-    fresh = F.coalesce((F.col("start") - F.lag("end").over(order) > gap).cast("int"), F.lit(1))
-    return track.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+    last = running(track, keys, ["start"], {"__before": ("max", F.col("end"))}, inclusive=False)
+    fresh = last.withColumn("__fresh", F.coalesce((F.col("start") - F.col("__before") > gap).cast("int"), F.lit(1))).drop("__before")
+    return running(fresh, keys, ["start"], {"island": ("sum", F.col("__fresh"))}).drop("__fresh")
 
 
 def runs_above(track: DataFrame, threshold: float = 0.0, least: int = 1, most: int = 0, keys: list[str] | None = None, gap: int = 0) -> DataFrame:

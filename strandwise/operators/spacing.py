@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import first_after, last_before
+from .intervals import first_after, last_before, running
 from .lineage import cut
 
+#: Rows of a contig that a window over neighbours holds.
+GROUP = 100_000
 POLICIES = ("highest-score", "first", "keep", "error")
 
 
@@ -44,12 +46,17 @@ def one_per_position(peaks: DataFrame, policy: str = "highest-score", chrom: str
 
 def neighbour_distances(peaks: DataFrame, orders: int = 10, chrom: str = "chrom", pos: str = "pos", state: str | None = None) -> DataFrame:
     """(chrom, ord, distance[, state]): from each peak to its next ones, as far as they lie in the contig; no zero distances."""
-    window = Window.partitionBy(chrom).orderBy(pos)
-    leads = F.array(*[F.struct(F.lit(q).alias("ord"), F.lead(pos, q).over(window).alias("to"), *([F.lead(state, q).over(window).alias("to_state")] if state else [])) for q in range(1, orders + 1)])
-    ahead = peaks.select(chrom, pos, *([state] if state else []), leads.alias("leads"))
-    found = ahead.select(chrom, pos, *([state] if state else []), F.explode("leads").alias("x")).where(F.col("x.to") > F.col(pos))
-    same = [F.when(F.col(state) == F.col("x.to_state"), F.col(state)).alias("state")] if state else []
-    return found.select(chrom, F.col("x.ord").alias("ord"), (F.col("x.to") - F.col(pos)).alias("distance"), *same)
+    own = [F.col(state).alias("__state")] if state else []
+    rows = running(peaks.select(F.col(chrom).alias("__chrom"), F.col(pos).alias("__pos"), *own), ["__chrom"], ["__pos"], {"__number": ("sum", F.lit(1))})
+    group = F.floor((F.col("__number") - 1) / F.lit(GROUP))
+    halo = F.when((F.col("__number") - 1) % GROUP < orders, F.array(group, group - 1)).otherwise(F.array(group))  # a group sees the first rows of the next
+    seen = rows.withColumn("__own", group).withColumn("__group", F.explode(halo))
+    window = Window.partitionBy("__chrom", "__group").orderBy("__number")
+    leads = F.array(*[F.struct(F.lit(q).alias("ord"), F.lead("__pos", q).over(window).alias("to"), *([F.lead("__state", q).over(window).alias("to_state")] if state else [])) for q in range(1, orders + 1)])
+    ahead = seen.select("*", leads.alias("leads")).where("__own = __group")
+    found = ahead.select("__chrom", "__pos", *(["__state"] if state else []), F.explode("leads").alias("x")).where(F.col("x.to") > F.col("__pos"))
+    same = [F.when(F.col("__state") == F.col("x.to_state"), F.col("__state")).alias("state")] if state else []
+    return found.select(F.col("__chrom").alias(chrom), F.col("x.ord").alias("ord"), (F.col("x.to") - F.col("__pos")).alias("distance"), *same)
 
 
 def distance_histogram(distances: DataFrame, chrom: str = "chrom") -> DataFrame:
@@ -87,7 +94,7 @@ def flanks(sites: DataFrame, centres: DataFrame, chrom: str = "chrom", pos: str
 
 def kth_neighbour(sites: DataFrame, centres: DataFrame, offset: int, chrom: str = "chrom", pos: str = "pos", strand: str = "strand") -> DataFrame:
     """Sites with the centre that is ``offset`` centres away downstream (upstream if negative); null where there is none."""
-    numbered = centres.select(chrom, pos).distinct().withColumn("number", F.row_number().over(Window.partitionBy(chrom).orderBy(pos)).cast("long"))
+    numbered = running(centres.select(chrom, pos).distinct(), [chrom], [pos], {"number": ("sum", F.lit(1))})
     before = last_before(numbered, sites, chrom, pos, "number", "low")
     after = first_after(numbered, before, chrom, pos, "number", "high")
     step = F.when(F.col(strand) == "-", -offset).otherwise(offset)
@@ -141,12 +148,11 @@ def matched_one_to_one(query: DataFrame, target: DataFrame, most: int | None = N
     found = None
     for _ in range(rounds):
         sides = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-        order = Window.partitionBy(chrom).orderBy("p", "side")
-        other = lambda f, w: f(F.when(F.col("side") == 1, F.col("p")), ignorenulls=True).over(w)
-        upper, lower = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-        q_side = sides.withColumn("lo", other(F.last, upper)).withColumn("hi", other(F.first, lower)).where("side = 0")
-        mirrored = lambda f, w: f(F.when(F.col("side") == 0, F.col("p")), ignorenulls=True).over(w)
-        t_side = sides.withColumn("lo", mirrored(F.last, upper)).withColumn("hi", mirrored(F.first, lower)).where("side = 1")
+        seen = {f"{way}{side}": ("last", F.when(F.col("side") == side, F.col("p"))) for way in ("lo",) for side in (0, 1)}
+        sides = running(sides, [chrom], ["p", "side"], seen)
+        sides = running(sides, [chrom], ["p", "side"], {n.replace("lo", "hi"): v for n, v in seen.items()}, descending=True)
+        q_side = sides.where("side = 0").withColumnsRenamed({"lo1": "lo", "hi1": "hi"})
+        t_side = sides.where("side = 1").withColumnsRenamed({"lo0": "lo", "hi0": "hi"})
         best = lambda own: F.array_min(F.filter(F.array(F.struct(F.abs(F.col("p") - F.col("lo")).alias("d"), F.col("lo").alias("o")), F.struct(F.abs(F.col("p") - F.col("hi")).alias("d"), F.col("hi").alias("o"))), lambda x: x["o"].isNotNull()))
         q = q_side.withColumn("b", best("q")).where("b is not null").select(chrom, F.col("p").alias("query"), F.col("b.o").alias("target"), F.col("b.d").alias("distance"))
         t = t_side.withColumn("b", best("t")).where("b is not null").select(F.col(chrom).alias("__c"), F.col("b.o").alias("__q"), F.col("p").alias("__t"))
