@@ -1,17 +1,20 @@
 """Line deduplication by a log-template tree, in DataFrame functions only.
 
 The tree has a fixed depth. Its first level is a line's count of words, the next ones its leading words, with
-words that hold a digit generalised to ``<*>``; a leaf holds the templates of its lines. A template generalises
-further when nearly all lines of a leaf agree at nearly all places: the places where they differ become ``<*>``.
+words that hold a digit generalised to ``<*>``; a leaf holds the templates of its lines. A group of lines, at first a
+whole leaf, generalises further when nearly all of them agree at nearly all places: the places where they differ
+become ``<*>``. A group that does not agree is parted by the word at its most agreed place, and those that do not
+follow their group's template are a group of their own, LEVELS times; so a leaf holds several templates, and what
+else is in it does not decide on a family of lines.
 Templates met in several documents are boilerplate: their first line stays and all others are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_ROWS, SALTS, staged
+from .store import BROADCAST_ROWS, SALTS, by_hot_key, fresh_name, staged
 
 #: Documents in which a template must occur to be recurring.
 MIN_DOCUMENTS = 2
@@ -23,11 +26,14 @@ DEPTH = 3
 MIN_WORDS = 6
 #: and this share of places is constant,
 SIMILARITY = 0.8
-#: which means that this share of the leaf's lines has the same word there.
+#: which means that this share of the group's lines has the same word there.
 AGREEMENT = 0.8
+#: Groups within groups of a leaf.
+LEVELS = 4
 WILD = "<*>"
 _VARIABLE = "(?<![^ \\t-\\r])[^ \\t-\\r0-9]*+[0-9][^ \\t-\\r]*+"
 _GAPS = "[ \\t\\x0B-\\r]+"
+_SOLID = "[^ \\t\\x0B-\\r]"
 
 
 def generalised(text: Column) -> Column:
@@ -38,9 +44,13 @@ def generalised(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(masked, _GAPS, " ")).otherwise(masked)
 
 
+def _words(template: Column) -> Column:
+    """Words of a template that is not empty: one more than it has spaces."""
+    return F.octet_length(template) - F.octet_length(F.replace(template, F.lit(" "), F.lit(""))) + 1
+
+
 def _leaf(template: Column) -> Column:
-    words = F.split(template, " ")
-    return F.xxhash64(F.size(words), F.array_join(F.slice(words, 1, DEPTH), " "))
+    return F.xxhash64(_words(template), F.substring_index(template, " ", DEPTH))
 
 
 def _key(template: Column) -> Column:
@@ -53,15 +63,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line is what lies between line feeds; blank lines are never dropped and do not count. Of a recurring
     template, the first line of the document with the smallest id stays (a null id comes last; among rows with
     one id, the smallest text hash). Two columns are added, ``__lines`` and ``__dropped`` (lines that were not
-    blank, and dropped ones). A null text stays null and has no lines. A document keeps its row even if all its
+    blank, and dropped ones); underscores come before them where ``docs`` has such a column. A null text stays null and has no lines. A document keeps its row even if all its
     lines go; its text is then empty. Repeated rows with id and text count as one document and get the same
     text. An empty table gives an empty result. Without ``copies``, lines that only two documents share stay if the
-    whole texts are equal: a later stage drops such copies whole.
+    whole texts are equal: a later stage drops such copies whole. Work grows with a text's words and lines in
+    proportion, however long it or a line is.
     """
     row = [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash")]
     def keyed_line(line: Column) -> Column:
         template = F.trim(line)
-        return F.when(template != "", F.struct(_leaf(template).alias("leaf"), F.size(F.split(template, " ")).alias("words"), _key(template).alias("key")))
+        return F.when(template != "", F.struct(_leaf(template).alias("leaf"), _words(template).alias("words"), _key(template).alias("key")))
 
     parsed = staged(docs.select(*row, F.transform(F.split(generalised(F.col(text_col)), "\n"), keyed_line).alias("lines")), "line-keys")
     keyed = parsed.select("__id", "__hash", F.posexplode("lines").alias("place", "line")).where("line is not null").select("__id", "__hash", "place", "line.key")
@@ -85,30 +96,54 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop = met.join(start, ["__id", "__hash", "place", "template_key"], "left").where("stays is null")
     drop = drop.groupBy("__id", "__hash").agg(F.collect_set("place").alias("__places"))
 
-    marked = docs.select("*", *row)
+    others = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col])
+    marked = docs.select(others.alias("others"), F.split(F.col(text_col), "\n").alias("lines"), *row)
     marked = marked.join(drop.select(F.col("__id").alias("__id2"), F.col("__hash").alias("__hash2"), "__places").hint("merge"), (F.col("__id") == F.col("__id2")) & (F.col("__hash") == F.col("__hash2")), "left")
-    places = F.coalesce("__places", F.array().cast("array<int>"))
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(places, i)), "\n")
-    count = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda line: F.trim(F.regexp_replace(line, _GAPS, " ")) != ""))
-    text = F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(left)
-    return marked.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], count.alias("__lines"), F.size(places).alias("__dropped"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("__places"))
+    text = F.when(F.col("__places").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("lines", i + 1)), "\n"))
+    count = F.coalesce(F.size(F.filter("lines", lambda line: line.rlike(_SOLID))), F.lit(0))
+    count = F.when(F.col("lines").isNull(), 0).otherwise(count)
+    dropped = F.when(F.col("__places").isNull(), 0).otherwise(F.size("__places"))
+    kept = [text.alias(c) if c == text_col else F.col(f"others.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return marked.select(*kept, count.alias(fresh_name("__lines", docs.columns)), dropped.alias(fresh_name("__dropped", docs.columns)))
 
 
 def _merged(once: DataFrame, counted: DataFrame, min_documents: int) -> DataFrame | None:
-    """(key, merged): templates that follow the one wider template of their leaf, if any leaf has such a one."""
-    leaves = counted.where(f"words >= {MIN_WORDS}").groupBy("leaf").agg(F.count(F.lit(1)).alias("templates"), F.sum("documents").alias("documents"), F.first("words").alias("words"))
-    leaves = staged(leaves.where(f"templates > 1 and documents >= {min_documents}").select("leaf", F.col("documents").alias("total"), F.col("words").alias("width")), "line-leaves")
+    """(key, merged): templates that follow a wider template, if any leaf has such a one."""
+    leaves = counted.where(f"words >= {MIN_WORDS}").groupBy("leaf").agg(F.count(F.lit(1)).alias("templates"), F.sum("documents").alias("documents"))
+    leaves = staged(leaves.where(f"templates > 1 and documents >= {min_documents}").select(F.col("leaf").alias("node")), "line-leaves")
     several = leaves.count()
     if not several:
         return None
     chosen = F.broadcast(leaves) if several <= BROADCAST_ROWS else leaves
-    texts = once.select(_leaf(F.col("template")).alias("leaf"), F.size(F.split("template", " ")).alias("words"), "template").where(f"words >= {MIN_WORDS}")
-    texts = staged(texts.join(chosen, "leaf").groupBy("leaf", "template", "total", "width").agg(F.count(F.lit(1)).alias("documents")), "line-leaf-templates")
-    places = texts.select("leaf", "total", "documents", F.posexplode(F.split("template", " ")).alias("place", "word")).where(f"word <> '{WILD}'")
-    votes = places.groupBy("leaf", "total", "place", "word").agg(F.sum("documents").alias("votes")).where(f"votes >= {AGREEMENT} * total")
-    tree = votes.groupBy("leaf").agg(F.count(F.lit(1)).alias("constant"), F.map_from_entries(F.collect_list(F.struct("place", "word"))).alias("form"))
-    follows = F.forall(F.map_entries("form"), lambda e: F.element_at(F.split("template", " "), e["key"] + 1) == e["value"])
-    fit = texts.join(tree, "leaf").where(f"constant >= {SIMILARITY} * width").where(follows)
-    enough = Window.partitionBy("leaf")
-    fit = fit.withColumn("met", F.sum("documents").over(enough)).where(f"met >= {min_documents}")
-    return fit.select(_key(F.col("template")).alias("key"), F.unhex(F.md5(F.concat(F.lit("leaf:"), F.col("leaf").cast("string")))).alias("merged"))
+    lines = once.where(_words(F.col("template")) >= MIN_WORDS).select(_leaf(F.col("template")).alias("node"), "template").join(chosen, "node")
+    lines = lines.groupBy("node", "template").agg(F.count(F.lit(1)).alias("documents"))
+    lines = staged(lines.select("node", _key(F.col("template")).alias("key"), F.split("template", " ").alias("words"), "documents"), "line-leaf-templates")
+    found = None
+    for _ in range(LEVELS):
+        follows = F.col("settled") & F.forall("form", lambda e: F.element_at("words", e["place"] + 1) == e["word"])
+        rows = staged(by_hot_key(lines, staged(_forms(lines), "line-forms"), "node", "templates", F.col("key")).withColumn("follows", follows), "line-groups")
+        own = rows.where("follows").select("node", "key", "documents")
+        found = own if found is None else found.unionByName(own)
+        place = F.col("split.place")
+        part = F.when(F.col("settled"), F.xxhash64("node", F.lit("rest"))).otherwise(F.xxhash64("node", place, F.element_at("words", place + 1)))
+        rest = rows.where("not follows and (settled or split is not null)").select(part.alias("node"), "key", "words", "documents")
+        live = rest.groupBy("node").agg(F.count(F.lit(1)).alias("templates"), F.sum("documents").alias("total")).where(f"templates > 1 and total >= {min_documents}")
+        lines = staged(by_hot_key(rest, staged(live.drop("total"), "line-live"), "node", "templates", F.col("key")).drop("templates"), "line-parts")
+        if not lines.limit(1).count():
+            break
+    enough = found.groupBy("node").agg(F.count(F.lit(1)).alias("templates"), F.sum("documents").alias("met")).where(f"met >= {min_documents}")
+    fit = by_hot_key(found.select("node", "key"), staged(enough, "line-enough"), "node", "templates", F.col("key"))
+    return fit.select("key", F.unhex(F.md5(F.concat(F.lit("leaf:"), F.col("node").cast("string")))).alias("merged"))
+
+
+def _forms(lines: DataFrame) -> DataFrame:
+    """(node, templates, settled, form, split): of each group the places with an agreed word, whether they are enough, and where to part it."""
+    whole = lines.groupBy("node").agg(F.sum("documents").alias("total"), F.count(F.lit(1)).alias("templates"), F.max(F.size("words")).alias("width"))
+    votes = lines.select("node", "documents", F.posexplode("words").alias("place", "word")).where(f"word <> '{WILD}'").groupBy("node", "place", "word").agg(F.sum("documents").alias("votes"))
+    best = votes.groupBy("node", "place").agg(F.max(F.struct("votes", "word")).alias("top")).join(whole, "node")
+    agreed = F.col("top.votes") >= AGREEMENT * F.col("total")
+    form = F.collect_list(F.when(agreed, F.struct("place", F.col("top.word").alias("word"))))
+    split = F.max(F.when(F.col("top.votes") < F.col("total"), F.struct(F.col("top.votes").alias("votes"), (-F.col("place")).alias("before"), F.col("place").alias("place"))))
+    tree = best.groupBy("node", "templates", "width").agg(form.alias("form"), split.alias("split"))
+    return tree.select("node", "templates", (F.size("form") >= SIMILARITY * F.col("width")).alias("settled"), "form", "split")

@@ -54,6 +54,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table that a staged DataFrame reads, when nothing that is still to be computed needs it."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/strandwise/".split("://")[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root in folder:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh_name(name: str, taken: list[str]) -> str:
     """A column name that is not taken, in any case: underscores come first where it is."""
     while name.lower() in {t.lower() for t in taken}:
