@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_ROWS, arrow_batches, by_hot_key, staged
+from .store import BROADCAST_ROWS, arrow_batches, by_hot_key, discard, fresh_name, staged
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 #: Numbers of partitions among which the least estimated work decides.
@@ -256,7 +256,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = staged(small, "components")
+        last, now = now, staged(small, "components")
+        if before is not None:
+            discard(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -287,6 +289,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that repeat an id count as one document, which goes only if each of its rows goes.
     """
-    found = simhash_components(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(found.hint("merge"), F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    name = fresh_name("kept", docs.columns)
+    found = simhash_components(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(found.hint("merge"), F.col(id_col).cast("long") == F.col(name), "left_semi")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

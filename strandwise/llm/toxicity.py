@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_ROWS, arrow_batches, staged
+from .store import BROADCAST_ROWS, arrow_batches, fresh_name, staged
 
 #: Expressions that go to every task (8 + 4 bytes each), the heaviest; texts meet all others by a join.
 HEAVY = 1 << 20
@@ -258,8 +258,9 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     arrow_batches(docs.sparkSession)
     if model.rest is not None:
         texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
-        toxic = _measured(texts, model).where(_score(model, F.col("n"), F.col("sum")) >= 0.5).select(F.col("text").alias("__toxic_text"))
-        return docs.join(toxic, F.coalesce(F.col(text_col), F.lit("")) == F.col("__toxic_text"), "left_anti")
+        name = fresh_name("toxic_text", docs.columns)
+        toxic = _measured(texts, model).where(_score(model, F.col("n"), F.col("sum")) >= 0.5).select(F.col("text").alias(name))
+        return docs.join(toxic, F.coalesce(F.col(text_col), F.lit("")) == F.col(name), "left_anti")
     at, schema, light = docs.columns.index(text_col), docs.schema, model.light()
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
