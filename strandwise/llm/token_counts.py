@@ -1,17 +1,22 @@
 """Token counts as rollups that deltas maintain.
 
-The ledger is a table of signed sums, one folder per committed batch. Totals are sums over the batches of a snapshot,
-so inserts, deletes and revised counts never rewrite what is there. A batch is summed by Spark before it is
-committed, and its folder appears by one rename: a batch id commits once however often it is tried.
+The ledger is a table of signed sums. An attempt at a batch writes its sums in a folder of its own; a marker of the
+batch's name, which can be created once only, tells which attempt counts. So a batch commits once however often and by
+how many writers it is tried, and an attempt that fails or comes late is never read. Totals are sums over the marked
+batches; compaction puts those of a moment into one, and later batches add to it.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,66 +97,130 @@ def counted(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, text_col: str
 
 
 class Ledger:
-    """Committed batches of signed sums in one folder. Many may read while one or more commit."""
+    """Committed batches of signed sums in one folder. Many may read and commit at once."""
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path = spark, path or new_path(spark, "token-ledger")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def commit(self, batch: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
         """Adds counted rows of ``inserts`` and takes away those of ``deletes``; a revision is both at once.
 
-        True if this call committed the batch, false if it was committed before; then nothing is read.
+        True if this call committed the batch, false if it was committed before or meanwhile. Null sources and
+        languages are groups of their own; repeated rows count each time; empty tables commit an empty batch.
         """
         if not batch or any(not (c.isalnum() or c in "-_") for c in batch):
             raise ValueError("a batch id is made of letters, digits, - and _")
-        target = self._path(f"{self.path}/batch={batch}")
-        if self._fs.exists(target):
-            return False
         signed = [df.select(*KEYS, *[(F.col(c) * sign).alias(c) for c in SUMS]) for df, sign in ((inserts, 1), (deletes, -1)) if df is not None]
         if not signed:
             raise ValueError("a batch has inserts or deletes")
-        rows = signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
-        rows = rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where(" or ".join(f"{c} <> 0" for c in SUMS))
-
-        attempt = f"{self.path}/_attempt-{uuid.uuid4().hex}"
-        rows.coalesce(1).write.parquet(attempt)  # a batch's sums: one row for each source, language and version
-        if self._fs.exists(target) or not self._fs.rename(self._path(attempt), target):
-            self._fs.delete(self._path(attempt), True)
+        if self._read(f"batches/{batch}"):
             return False
-        return True
+        rows = signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
+        attempt = self._write(rows)
+        if self._mark(f"batches/{batch}", {"data": attempt}):
+            return True
+        self._fs.delete(self._path(f"{self.path}/data/{attempt}"), True)
+        return False
+
+    def compact(self) -> bool:
+        """Puts all batches of this moment into one table that readers take in their place; false if another writer was first."""
+        number, before = self._snapshot()
+        found = self.batches()
+        attempt = self._write(self._rows(before, found))
+        if self._mark(f"snapshots/{number + 1:08d}", {"data": attempt, "batches": found}):
+            return True
+        self._fs.delete(self._path(f"{self.path}/data/{attempt}"), True)
+        return False
 
     def batches(self) -> list[str]:
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
+        """Ids of the committed batches."""
+        return [name for name in self._names("batches") if self._read(f"batches/{name}")]
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens, characters) over all committed batches; groups that cancel out are gone."""
+        return self._summed(self._rows(self._snapshot()[1], self.batches()))
+
+    def _snapshot(self) -> tuple[int, dict]:
+        """Number and content of the last snapshot that is whole."""
+        for name in reversed(self._names("snapshots")):
+            if found := self._read(f"snapshots/{name}"):
+                return int(name), found
+        return 0, {"data": None, "batches": []}
+
+    def _rows(self, snapshot: dict, batches: list[str]) -> DataFrame:
         schema = ", ".join(f"{k} string" for k in KEYS) + ", " + ", ".join(f"{c} long" for c in SUMS)
-        found = self.batches()
-        if not found:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/batch={b}" for b in found])
-        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where(" or ".join(f"{c} <> 0" for c in SUMS))
+        own = [self._read(f"batches/{b}")["data"] for b in batches if b not in set(snapshot["batches"])]
+        paths = [f"{self.path}/data/{x}" for x in [snapshot["data"], *own] if x]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _summed(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where(" or ".join(f"{c} <> 0" for c in SUMS))
 
-def revised_rollup(docs: DataFrame, id_col: str = "doc_id", versions: tuple[str, ...] = VERSIONS) -> DataFrame:
-    """Totals of ``docs`` after three batches: all rows by all versions; the rows of odd ids taken out; the same put back.
+    def _write(self, rows: DataFrame) -> str:
+        attempt = uuid.uuid4().hex
+        self._summed(rows).coalesce(1).write.parquet(f"{self.path}/data/{attempt}")  # sums: a row for each source, language and version
+        return attempt
+
+    def _names(self, folder: str) -> list[str]:
+        where = self._path(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(where) if not s.getPath().getName().startswith((".", "_"))) if self._fs.exists(where) else []
+
+    def _mark(self, name: str, content: dict) -> bool:
+        """Creates a marker if there is none of its name; what decides is one call of the file system."""
+        target, text = self._path(f"{self.path}/{name}"), json.dumps(content)
+        self._fs.mkdirs(target.getParent())
+        if self._fs.getScheme() == "file":  # a link appears whole or not at all
+            place = Path(target.toUri().getPath())
+            draft = place.parent / f".{uuid.uuid4().hex}"
+            draft.write_text(text, encoding="utf-8")
+            try:
+                os.link(draft, place)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                draft.unlink()
+        try:
+            out = self._fs.create(target, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in str(error.java_exception):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
 
-    The first batch is committed twice and the last is a revision (it takes away the even rows and inserts them
-    again with the odd ones), so totals equal a plain count only if signs and commits are right. Null sources and
-    languages are groups of their own; an empty table has no totals.
+    def _read(self, name: str) -> dict | None:
+        """Content of a marker; none while it is not there or not yet whole."""
+        where = self._path(f"{self.path}/{name}")
+        if not self._fs.exists(where):
+            return None
+        stream = self._fs.open(where)
+        try:
+            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) if text.endswith("}") else None
+
+
+def revised_rollup(docs: DataFrame, versions: tuple[str, ...] = VERSIONS) -> DataFrame:
+    """Totals of ``docs`` after three batches and a compaction; equal to a plain count.
+
+    The first batch holds all rows, but those of one source (the smallest name) in an earlier edition, their texts in
+    lower case. It is committed twice. The second batch revises that source: it takes the counts of the earlier
+    edition away and adds those of the texts as they are. Null sources and languages are groups of their own; null
+    texts are empty; an empty table has no totals.
     """
     ledger = Ledger(docs.sparkSession)
-    odd = F.coalesce(F.pmod(F.col(id_col), F.lit(2)) == 1, F.lit(False))
-
-    marked = staged(counted(docs.where(odd), versions).withColumn("odd", F.lit(True)).unionByName(counted(docs.where(~odd), versions).withColumn("odd", F.lit(False))).groupBy(*KEYS, "odd").agg(*[F.sum(c).alias(c) for c in SUMS]), "token-counts")
-    ledger.commit("all", inserts=marked)
-    ledger.commit("all", inserts=marked)
-    ledger.commit("odd-out", deletes=marked.where("odd"))
-    ledger.commit("revised", inserts=marked, deletes=marked.where("not odd"))
+    again = docs.agg(F.min(F.col("source").cast("string"))).first()[0]
+    of = F.coalesce(F.col("source").cast("string") == F.lit(again), F.lit(False)) if again is not None else F.lit(False)
+    earlier = docs.withColumn("text", F.when(of, F.lower("text")).otherwise(F.col("text")))
+    first = staged(counted(earlier, versions).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]), "token-counts")
+    ledger.commit("all", inserts=first)
+    ledger.commit("all", inserts=first)
+    ledger.compact()
+    ledger.commit("revised", inserts=counted(docs.where(of), versions), deletes=first.where(of))
     return ledger.totals()
