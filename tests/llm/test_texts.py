@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from strandwise.llm import catalog, media, packing, piece_sampling, secrets, simhash, token_counts, toxicity, warc
 from strandwise.llm.exact_dedup import exact_dedup
@@ -59,6 +60,86 @@ def test_line_dedup_templates(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in twice) == [(False, 1, "same words here"), (False, 1, "same words here"), (False, 2, ""), (False, 3, ""), (True, 0, "")]
 
 
+def slow_line_dedup(docs):
+    """The tree by its definition, group by group; an id has one text here."""
+    def generalise(line):
+        line = re.sub(r"(?<![^ \t-\r])[^ \t-\r0-9]*[0-9][^ \t-\r]*", "<*>", line)
+        return re.sub(r"[ \t\x0b-\r]+", " ", line).strip(" ")
+
+    rows = [(i, t, [generalise(x) for x in (t or "").split("\n")]) for i, t in docs]
+    met, count = {}, {}
+    for i, t, lines in rows:
+        for x in set(lines) - {""}:
+            met.setdefault(x, set()).add((i, t))
+            count[x] = count.get(x, 0) + 1
+    wider = {x: x for x in met if len(met[x]) > 1}
+    leaves = {}
+    for x in met:
+        if len(x.split(" ")) >= 6:
+            leaves.setdefault((len(x.split(" ")), tuple(x.split(" ")[:3])), []).append(x)
+    groups = [(k, own) for k, own in leaves.items()]
+    for _ in range(4):
+        after = {}
+        for name, own in groups:
+            total, split, best, form = sum(count[x] for x in own), [x.split(" ") for x in own], (), {}
+            if len(own) < 2 or total < 3:
+                continue
+            for k in range(len(split[0])):
+                votes = {}
+                for x, words in zip(own, split):
+                    if words[k] != "<*>":
+                        votes[words[k]] = votes.get(words[k], 0) + count[x]
+                if votes:
+                    n, word = max((n, w.encode()) for w, n in votes.items())
+                    if n >= 0.8 * total:
+                        form[k] = word.decode()
+                    if n < total:
+                        best = max(best, (n, -k))
+            settled = len(form) >= 0.8 * len(split[0])
+            follow = [x for x, words in zip(own, split) if settled and all(words[k] == w for k, w in form.items())]
+            if sum(count[x] for x in follow) >= 3:
+                wider.update((x, ("group", name)) for x in follow)
+            for x, words in zip(own, split):
+                if x not in follow and (settled or best):
+                    after.setdefault((name, "rest") if settled else (name, best, words[-best[1]]), []).append(x)
+        groups = list(after.items())
+    order = lambda i: 2**63 if i is None else i
+    first = {}
+    for i, t, lines in sorted(rows, key=lambda r: order(r[0])):
+        for k, x in enumerate(lines):
+            if x in wider:
+                first.setdefault(wider[x], (i, k))
+    out = []
+    for i, t, lines in rows:
+        gone = {k for k, x in enumerate(lines) if x in wider and first[wider[x]] != (i, k)}
+        out.append((i is None, i or 0, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), sum(x != "" for x in lines), len(gone)))
+    return sorted(out, key=str)
+
+
+CLASH = SCHEMA + ", __id int, __HASH string, __lines string, __dropped int, __places double, kept string, node int"
+
+
+def test_line_dedup_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    noise = lambda: " ".join(rng.choice(list("abcdefgh"), 8))
+    docs = []
+    for i in range(60):
+        lines = [f"the user has {noise()}", f"the user has logged in from host {rng.choice(['x', 'y', 'z', 'w', 'v'])} at noon today", f"the user has been sent to page {'pqrst'[i % 5]} of the book", f"own line {noise()} {i}", ""]
+        rng.shuffle(lines)
+        docs.append((i, "\n".join(lines[: int(rng.integers(1, 6))])))
+    docs += [(100, None), (101, ""), (102, "  \t\n"), (103, docs[0][1]), (None, docs[1][1]), (104, " ".join(["long"] * 6000) + " a"), (105, " ".join(["long"] * 6000) + " b"), (106, " ".join(["long"] * 6000) + " c"), (5, docs[5][1])]
+    docs = [(i, t) for i, t in docs]
+    want = slow_line_dedup(docs)
+    plain = line_dedup(table(spark, docs)).collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["__lines"], r["__dropped"]) for r in plain), key=str) == want
+    assert sum(r["__dropped"] for r in plain) > 40 and {r["text"] for r in plain if r["doc_id"] in (105, 106)} == {""}
+    odd = spark.createDataFrame([(i, t, "en", "s", 1, 7, "h", "l", 3, 0.5, "k", 9) for i, t in docs], CLASH)
+    found = line_dedup(odd)
+    assert found.columns == [*odd.columns, "___lines", "___dropped"]
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["___lines"], r["___dropped"]) for r in found.collect()), key=str) == want
+    assert {(r["__id"], r["__lines"], r["__places"], r["kept"]) for r in found.collect()} == {(7, "l", 0.5, "k")}
+
+
 def test_line_dedup_of_two_documents(spark):
     passage = " ".join(f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz" * 2)
     docs = [(1, f"one own line\n{passage}"), (2, f"{passage}\nother own line"), (3, "alone\nalone"), (3, "alone\nalone"), (4, "a copy\nof all"), (5, "a copy\nof all")]
@@ -351,6 +432,21 @@ def test_token_rollup(spark):
     rows = token_counts.counted(df, token_counts.VERSIONS[:1])
     assert ledger.commit("a", inserts=rows) and not ledger.commit("a", inserts=rows) and ledger.commit("b", deletes=rows)
     assert ledger.totals().count() == 0 and ledger.batches() == ["a", "b"]
+    other = token_counts.Ledger(spark, ledger.path)
+    late = other._read
+    other._read = lambda name: None if name == "batches/c" else late(name)  # sees the ledger as it was before c
+    more = token_counts.counted(df.where("doc_id < 5"), token_counts.VERSIONS[:1])
+    assert ledger.compact() and ledger.commit("c", inserts=more) and not other.commit("c", inserts=more)
+    other._read = late
+    one = sorted(map(tuple, ledger.totals().collect()), key=str)
+    assert one == sorted(map(tuple, more.groupBy(*token_counts.KEYS).agg(*[F.sum(c).alias(c) for c in token_counts.SUMS]).collect()), key=str)
+    stale = other._snapshot
+    other._snapshot = lambda: (0, {"data": None, "batches": []})
+    assert not other.compact() and ledger.compact() and ledger.batches() == ["a", "b", "c"]
+    other._snapshot = stale
+    assert sorted(map(tuple, other.totals().collect()), key=str) == one and not ledger.commit("a", inserts=rows)
+    odd = spark.createDataFrame([(*d, 1, "k", "d", 2, 0.5, "z") for d in docs], ODD)
+    assert token_counts.revised_rollup(odd).count() == len(want)
     assert token_counts.revised_rollup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
