@@ -58,7 +58,8 @@ def snapped_window(target: Column) -> Column:
 
 
 def significance(p: Column) -> Column:
-    return F.when(p.isNull() | F.isnan(p), "").when(p < 1e-4, "****").when(p < 1e-3, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+    """Stars of a p-value; NA where it is not finite."""
+    return F.when(p.isNull() | F.isnan(p) | (F.abs(p) == float("inf")), "NA").when(p < 1e-4, "****").when(p < 1e-3, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
 
 
 def state_category(state: Column, rules: list[tuple[str, str, str]]) -> Column:

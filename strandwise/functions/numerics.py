@@ -70,26 +70,37 @@ def plateau_maxima(values: np.ndarray) -> np.ndarray:
     return (edges[up] + last[up]) // 2
 
 
-def separated(places: np.ndarray, distances: np.ndarray, strength: np.ndarray, raw: np.ndarray, gap: float) -> np.ndarray:
-    """Strongest first (then raw value, then the smaller distance), each at least ``gap`` from all kept."""
+def separated(places: np.ndarray, distances: np.ndarray, gap: float, *strengths: np.ndarray) -> np.ndarray:
+    """Strongest first (by each curve in turn, then the smaller distance), each at least ``gap`` from all kept."""
     kept: list[int] = []
-    for i in sorted(places.tolist(), key=lambda i: (-strength[i], -raw[i], distances[i])):
+    for i in sorted(places.tolist(), key=lambda i: (*(-s[i] for s in strengths), distances[i])):
         if all(abs(distances[i] - distances[j]) >= gap for j in kept):
             kept.append(i)
     return np.array(sorted(kept), int)
 
 
 def resolution_peaks(distances: np.ndarray, values: np.ndarray, resolution: float = 160.0) -> np.ndarray:
-    """Periodic peaks of a profile: found on the broad curve, moved to the top of the fine curve nearby, kept apart twice."""
+    """Periodic peaks of a profile: found on the broad curve, moved to the top of the fine curve nearby, kept apart twice.
+
+    A peak moves to the best local maximum of the fine curve within half the resolution (ties: the nearest, then the
+    larger raw value), or to the best place there if it has none. Moved peaks are ranked by the broad curve where they
+    were found, then by the fine curve and the raw values where they are.
+    """
     distances, values = np.asarray(distances, float), np.asarray(values, float)
     broad, fine = (moving_average_by_distance(distances, values, w) for w in smoothing_windows(resolution))
-    first = separated(plateau_maxima(broad), distances, broad, values, resolution)
-    moved = []
+    first = separated(plateau_maxima(broad), distances, resolution, broad, values)
+    tops, moved = plateau_maxima(fine), []
     for i in first:
-        near = np.flatnonzero(np.abs(distances - distances[i]) <= resolution / 2)
-        near = near[(near > 0) & (near < len(values) - 1)]
-        moved.append(min(near, key=lambda j: (-fine[j], -values[j], abs(distances[j] - distances[i]), distances[j])))
-    return distances[separated(np.unique(np.array(moved, int)), distances, fine, values, resolution)]
+        near = tops[np.abs(distances[tops] - distances[i]) <= resolution / 2]
+        if not len(near):
+            near = np.flatnonzero(np.abs(distances - distances[i]) <= resolution / 2)
+        j = min(near.tolist(), key=lambda j: (-fine[j], abs(distances[j] - distances[i]), -values[j], distances[j]))
+        moved.append((-broad[i], -fine[j], -values[j], distances[j]))
+    kept: list[float] = []
+    for *_, place in sorted(moved):
+        if all(abs(place - other) >= resolution for other in kept):
+            kept.append(place)
+    return np.array(sorted(kept))
 
 
 def line(x: np.ndarray, y: np.ndarray, flat_r2: float = math.nan) -> dict[str, float]:
@@ -113,22 +124,70 @@ def repeat_length(distances: np.ndarray, values: np.ndarray, low: float = 200, h
     return peaks, line(np.arange(1, len(peaks) + 1), peaks, 1.0)
 
 
-def directional_repeat_length(positions: np.ndarray, values: np.ndarray, resolution: float = 160.0, exclusion: float | None = None) -> dict[str, dict]:
-    """One call over a signed profile; the peak nearest zero has number 0, and each side is fitted beyond the exclusion."""
+def fit_quality(fit: dict) -> str:
+    """pass, or why a fit of peak numbers is not to be trusted."""
+    if fit["n"] < 3:
+        return "insufficient_peaks"
+    if not math.isfinite(fit["slope"]):
+        return "fit_failed"
+    return "pass" if math.isfinite(fit["r2"]) and fit["r2"] >= 0.9 else "low_r_squared"
+
+
+def directional_repeat_length(positions: np.ndarray, values: np.ndarray, resolution: float = 160.0, low: float = 0.0, high: float | None = None, exclusion: tuple[float, float] | None = None) -> dict[str, dict]:
+    """One call over a signed profile; each side is fitted outward from the central peak, which has number 0 on both.
+
+    The central peak is the one nearest zero within half the resolution, if there is one. Peaks beyond [low, high] or
+    inside the excluded positions are left out after they are numbered.
+    """
     peaks = resolution_peaks(positions, values, resolution)
+    high = float(np.max(np.abs(positions))) if high is None else high
+    near = [p for p in peaks if abs(p) <= resolution / 2]
+    centre = min(near, key=lambda p: (abs(p), p)) if near else None
     out: dict[str, dict] = {}
-    if not len(peaks):
-        return {side: {**line([], []), "quality": "insufficient_peaks"} for side in ("positive", "negative")}
-    number = np.arange(len(peaks)) - int(np.argmin(np.abs(peaks)))
-    hole = resolution / 2 if exclusion is None else exclusion
     for side, sign in (("positive", 1), ("negative", -1)):
-        at = (number * sign > 0) & (peaks * sign > hole)
-        fit = line(number[at] * sign, peaks[at] * sign, 1.0)
-        fit["quality"] = "insufficient_peaks" if at.sum() < 3 else "fit_failed" if not math.isfinite(fit["slope"]) else "low_r_squared" if fit["r2"] < 0.9 else "pass"
-        out[side] = fit
+        outward = sorted(abs(p) for p in peaks if p != centre and p * sign > 0)
+        numbered = ([(0, abs(centre), centre)] if centre is not None else []) + [(k, d, d * sign) for k, d in enumerate(outward, 1)]
+        used = [(k, d) for k, d, p in numbered if low <= d <= high and not (exclusion and exclusion[0] <= p <= exclusion[1])]
+        fit = line([k for k, _ in used], [d for _, d in used], 1.0)
+        out[side] = {**fit, "quality": fit_quality(fit)}
     return out
 
 
+def fragment_size_peaks(lengths: np.ndarray, counts: np.ndarray, low: int = 100, high: int = 1000, resolution: float = 160.0) -> tuple[np.ndarray, dict]:
+    """Peaks of the density of fragment lengths from ``low`` to the largest one up to ``high``, and the fitted line."""
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, float)
+    top = min(high, int(lengths[counts > 0].max(initial=0)))
+    if top - low < 2:
+        return np.empty(0), {**line([], []), "quality": "insufficient_peaks"}
+    full = np.zeros(top - low + 1)
+    inside = (lengths >= low) & (lengths <= top)
+    np.add.at(full, lengths[inside] - low, counts[inside])
+    if not full.sum():
+        return np.empty(0), {**line([], []), "quality": "insufficient_peaks"}
+    peaks = resolution_peaks(np.arange(low, top + 1), full / full.sum(), resolution)
+    fit = line(np.arange(1, len(peaks) + 1), peaks, 1.0)
+    return peaks, {**fit, "quality": fit_quality(fit)}
+
+
+def fixed_distribution(distances: np.ndarray, counts: np.ndarray, low: int, high: int, window: int = 21, order: int = 2) -> dict:
+    """Percent of each distance of a fixed range, smoothed where a whole window fits (zero elsewhere, nothing under zero, 100 again), and its mode, mean and median."""
+    full = np.zeros(high - low + 1)
+    inside = (distances >= low) & (distances <= high)
+    np.add.at(full, np.asarray(distances, np.int64)[inside] - low, np.asarray(counts, float)[inside])
+    at, nan = np.arange(low, high + 1), math.nan
+    if not full.sum():
+        return {"distance": at, "percent": full, "smooth": full.copy(), "mode": nan, "mean": nan, "median": nan}
+    percent, half = full * 100 / full.sum(), window // 2
+    smooth = np.zeros(len(full))
+    if len(full) >= window:
+        smooth[half:len(full) - half] = np.maximum(savgol(percent, window, order)[half:len(full) - half], 0)
+    if not smooth.sum():
+        return {"distance": at, "percent": percent, "smooth": smooth, "mode": nan, "mean": nan, "median": nan}
+    smooth *= 100 / smooth.sum()
+    middle = min(int(np.searchsorted(np.cumsum(smooth), 50.0)), len(at) - 1)
+    return {"distance": at, "percent": percent, "smooth": smooth, "mode": float(at[int(smooth.argmax())]), "mean": float(at @ smooth / smooth.sum()), "median": float(at[middle])}
+
+
 def density(values: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """Gaussian kernel estimate with Scott's bandwidth; zeros under two values, one at the nearest grid point for equal ones."""
     values, out = np.asarray(values, float), np.zeros(len(grid))
@@ -143,12 +202,27 @@ def density(values: np.ndarray, grid: np.ndarray) -> np.ndarray:
 
 
 def recursive_filter(values: np.ndarray, taps: int = 24, warm: int = 300) -> np.ndarray:
-    """y_t = x_t + sum of y_{t-k} / (5 + 4 (k - 1)), started on the first values repeated."""
+    """y_t = x_t + sum of y_{t-k} / (5 + 4 (k - 1)), started on the first values repeated.
+
+    The filter is linear, so a block of outputs is the block's inputs and the outputs before it times two fixed
+    matrices: 64 outputs a step.
+    """
     x = np.concatenate([values[:warm], values]).astype(float)
-    weights, y = 1 / (5 + 4 * np.arange(taps)), np.zeros(len(x) + taps)
-    for t in range(len(x)):
-        y[t + taps] = x[t] + weights @ y[t:t + taps][::-1]
-    return y[taps + min(warm, len(values)):]
+    weights, size = 1 / (5 + 4 * np.arange(taps)), 64
+    unit = np.zeros((size, size + taps))  # an output of the block by its inputs, then by the outputs before it, last first
+    for t in range(size):
+        unit[t, t] = 1
+        for k in range(1, taps + 1):
+            if t - k >= 0:
+                unit[t] += weights[k - 1] * unit[t - k]
+            else:
+                unit[t, size + k - t - 1] += weights[k - 1]
+    padded = np.concatenate([x, np.zeros(-len(x) % size)])
+    out, last = np.empty(len(padded)), np.zeros(taps)
+    for a in range(0, len(padded), size):
+        out[a:a + size] = unit @ np.concatenate([padded[a:a + size], last])
+        last = out[a + size - taps:a + size][::-1]
+    return out[min(warm, len(values)):len(x)]
 
 
 def periodogram(values: np.ndarray, periods: np.ndarray, trim: float = 0.1, pad: float = 0.3, taper: float = 0.3) -> np.ndarray:
@@ -234,9 +308,16 @@ def mann_whitney(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     n, m = len(a), len(b)
     u = average_ranks(both)[:n].sum() - n * (n + 1) / 2
     _, ties = np.unique(both, return_counts=True)
-    var = n * m / 12 * (n + m + 1 - (ties**3 - ties).sum() / ((n + m) * (n + m - 1)))
+    return float(u), mann_whitney_p(u, n, m, float((ties.astype(float) ** 3 - ties).sum()))
+
+
+def mann_whitney_p(u: float, n: int, m: int, ties: float) -> float:
+    """Two-sided normal p of U; ``ties`` is the sum of t^3 - t over runs of equal values."""
+    if n + m < 2 or not n or not m:
+        return math.nan
+    var = n * m / 12 * (n + m + 1 - ties / ((n + m) * (n + m - 1)))
     z = (abs(u - n * m / 2) - 0.5) / math.sqrt(var) if var > 0 else 0.0
-    return float(u), min(1.0, math.erfc(max(z, 0.0) / math.sqrt(2)))
+    return min(1.0, math.erfc(max(z, 0.0) / math.sqrt(2)))
 
 
 def wilcoxon(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import merged, overlap_join, point_join, subtracted
+from .select import masked
 
 UNASSIGNED = "NA"
 
@@ -205,6 +211,27 @@ def aggregate_profile(anchors: DataFrame, track: DataFrame, half: int, keys: lis
     return found.select(*keys, "offset", "total", "anchors", (F.col("total") / F.col("anchors")).alias("mean"))
 
 
+def masked_profile(anchors: DataFrame, track: DataFrame, blacklist: DataFrame, half: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, offset, total, valid, mean): blacklisted bases are neither signal nor places; no mean where no place is valid."""
+    keys = keys or []
+    hidden = merged(blacklist.select("chrom", "s", "e"), ["chrom"]).select("chrom", F.col("s").alias("start"), F.col("e").alias("end"), F.lit(1).cast("long").alias("value"))
+    seen = aggregate_profile(anchors, masked(track, blacklist), half, keys)
+    gone = aggregate_profile(anchors, hidden, half, keys).select(*keys, "offset", F.col("total").alias("hidden"))
+    both = seen.join(gone, [*keys, "offset"]).withColumn("valid", F.col("anchors") - F.col("hidden").cast("long"))
+    return both.select(*keys, "offset", "total", "valid", F.try_divide(F.col("total"), F.col("valid")).alias("mean"))
+
+
+def signal_matrix(anchors: DataFrame, track: DataFrame, half: int, keys: list[str], sizes: dict[str, int]) -> DataFrame:
+    """(keys, signal): the values of each window in order of offset, turned on minus strands; NaN beyond the contig, zero without signal."""
+    found = windowed_signal(anchors, track, half, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("offset", "value"))).alias("m"))  # at most 2 half + 1 entries
+    length = F.coalesce(*[F.when(F.col("chrom") == c, F.lit(n)) for c, n in sizes.items()])
+    turn = F.when(F.col("strand") == "-", F.lit(-1)).otherwise(F.lit(1))
+    rows = anchors.select(*keys, "pos", length.alias("__length"), turn.alias("__turn")).join(found, keys, "left")
+    base = lambda o: F.col("pos") + o * F.col("__turn")
+    value = lambda o: F.when((base(o) >= 0) & (base(o) < F.col("__length")), F.coalesce(F.try_element_at("m", o), F.lit(0)).cast("double")).otherwise(F.lit(float("nan")))
+    return rows.select(*keys, F.transform(F.sequence(F.lit(-half).cast("long"), F.lit(half).cast("long")), value).alias("signal"))
+
+
 def profile_shares(counts: DataFrame, profile: str = "profile", length: str = "length", n: str = "n") -> DataFrame:
     """Counts of length profiles as percent of the profile and of the length, and min-max within the profile."""
     by, at = Window.partitionBy(profile), Window.partitionBy(length)
@@ -228,3 +255,166 @@ def weighted_middle(counts: DataFrame, key: str, value: str, n: str) -> DataFram
     order = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     run = counts.withColumn("run", F.sum(n).over(order)).withColumn("whole", F.sum(n).over(Window.partitionBy(key)))
     return run.groupBy(key).agg(F.min(F.when(2 * F.col("run") >= F.col("whole"), F.col(value))).alias("median"), F.min_by(value, F.struct(-F.col(n), F.col(value))).alias("mode"))
+
+
+def by_target(peaks: DataFrame, score: str, target: int) -> DataFrame:
+    """Peaks from the percentile on that leaves about ``target`` of them, its threshold included; all where there are fewer."""
+    total = peaks.count()
+    if total <= target:
+        return peaks
+    return filtered_peaks(peaks, F.col(score), percentile=100 * (1 - target / total))
+
+
+def in_score_bins(df: DataFrame, score: str, bounds: list[float]) -> DataFrame:
+    """Rows with the number of their score bin: a bound belongs to the bin above, the last bin has no upper end."""
+    place = None
+    for k, low in enumerate(bounds):
+        here = F.col(score) >= low if k == len(bounds) - 1 else (F.col(score) >= low) & (F.col(score) < bounds[k + 1])
+        place = F.when(here, k) if place is None else place.when(here, k)
+    return df.withColumn("bin", place).where("bin is not null")
+
+
+def shared_histogram(scores: DataFrame, key: str, score: str, bins: int | None = None, mode: str = "count") -> DataFrame:
+    """(key, bin, n, value) with edges that all keys share and a row for each bin: whole scores (halves up, zero among them) or ``bins`` equal ones, the last closed."""
+    ends = scores.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()
+    if ends["lo"] is None:
+        return scores.select(key, F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("value")).limit(0)
+    if bins is None:
+        low, high, width = min(0, math.floor(ends["lo"] + 0.5)), max(0, math.floor(ends["hi"] + 0.5)), 1.0
+        place = F.floor(F.col(score) + 0.5)
+    else:
+        lo, hi = float(ends["lo"]), float(ends["hi"])
+        if lo == hi:
+            lo, hi = lo - max(abs(lo) * 0.01, 0.5), hi + max(abs(hi) * 0.01, 0.5)
+        low, high, width = 0, bins - 1, (hi - lo) / bins
+        place = F.least(F.floor((F.col(score) - lo) / F.lit(width)), F.lit(bins - 1))
+    counted = scores.groupBy(key, place.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.groupBy(key).agg(F.sum("n").alias("total"))
+    grid = totals.withColumn("bin", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))))
+    full = grid.join(counted, [key, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    part = F.col("n") / F.col("total")
+    value = {"count": F.col("n").cast("double"), "fraction": part, "percent": part * 100, "density": part / F.lit(width)}[mode]
+    return full.select(key, "bin", "n", value.alias("value"))
+
+
+def state_coverage_with_union(states: DataFrame, label: str = "label") -> DataFrame:
+    """Bases of each state and, in ``together``, of all states as one."""
+    whole = merged(states.select("chrom", "s", "e"), ["chrom"]).agg(F.sum(F.col("e") - F.col("s")).alias("together"))
+    return state_coverage(states, label=label).crossJoin(F.broadcast(whole))  # one row
+
+
+def state_colours(states: DataFrame, label: str = "label", rgb: str = "rgb", order: str = "ord") -> DataFrame:
+    """(label, rgb, conflicts): the first colour of each label that is one, and how many others it has."""
+    return states.groupBy(label).agg(F.min_by(rgb, order).alias(rgb), (F.count_distinct(rgb) - 1).alias("conflicts"), F.min(order).alias(order))
+
+
+def checked_genes(genes: DataFrame, gene: str = "gene_id") -> DataFrame:
+    """Genes, an error where an id comes twice."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(gene))
+    return genes.withColumn(gene, F.when(n > 1, F.raise_error(F.concat(F.lit("gene comes twice: "), F.col(gene).cast("string"))).cast(dict(genes.dtypes)[gene])).otherwise(F.col(gene)))
+
+
+def expressed(expression: DataFrame, profiles: int, over: float = 0.0, gene: str = "gene_id", value: str = "value") -> DataFrame:
+    """Rows of the genes that are over a value in so many profiles at least."""
+    kept = expression.where(F.col(value) > over).groupBy(gene).agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") >= profiles).select(gene)
+    return expression.join(kept, gene, "left_semi")
+
+
+def gene_signal(genes: DataFrame, track: DataFrame, sizes: dict[str, int], window: int = 10_000, blacklist: DataFrame | None = None, gene: str = "gene_id", least_valid: float = 0.0) -> DataFrame:
+    """(gene, signal, valid): values from each gene's start in its direction; windows beyond a contig are left out, as are those with too few valid bases."""
+    length = F.coalesce(*[F.when(F.col("chrom") == c, F.lit(n)) for c, n in sizes.items()])
+    plus = F.col("strand") == "+"
+    around = genes.select(gene, "chrom", "strand", F.when(plus, F.col("s")).otherwise(F.col("e") - window).alias("s"), F.when(plus, F.col("s") + window).otherwise(F.col("e")).alias("e"))
+    around = around.where((F.col("s") >= 0) & (F.col("e") <= length))
+    runs = track.where("value <> 0").select("chrom", F.col("start").alias("s"), F.col("end").alias("e"), F.col("value").cast("double").alias("value"))
+    piece = F.struct((F.greatest("s", "r_s") - F.col("s")).alias("a"), (F.least("e", "r_e") - F.col("s")).alias("b"), F.col("r_value").alias("v"))
+    met = overlap_join(around, runs).groupBy(gene).agg(F.collect_list(piece).alias("runs"))  # at most a run for each base of the window
+    both = around.join(met, gene, "left")
+    if blacklist is not None:
+        holes = merged(blacklist.select("chrom", "s", "e"), ["chrom"])
+        hidden = overlap_join(around, holes).groupBy(gene).agg(F.sum(F.least("e", "r_e") - F.greatest("s", "r_s")).alias("hidden"))
+        both = both.join(hidden, gene, "left").withColumn("valid", 1 - F.coalesce("hidden", F.lit(0)) / F.lit(window))
+    else:
+        both = both.withColumn("valid", F.lit(1.0))
+    both = both.where(F.col("valid") >= least_valid)
+
+    def laid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, strand, pieces, valid in zip(batch[gene], batch["strand"], batch["runs"], batch["valid"]):
+                signal = np.zeros(window)
+                for p in pieces if pieces is not None else ():
+                    signal[p["a"]:p["b"]] = p["v"]
+                rows.append((name, signal[::-1] if strand == "-" else signal, valid))
+            yield pd.DataFrame(rows, columns=[gene, "signal", "valid"])
+
+    return both.select(gene, "strand", "runs", "valid").mapInPandas(laid, f"{gene} {dict(genes.dtypes)[gene]}, signal array<double>, valid double")
+
+
+def ranked_profiles(correlations: DataFrame, sample: str, profile: str, r: str) -> DataFrame:
+    """Profiles ranked in each sample, the most negative correlation first, ties by name; those that are not finite have no rank."""
+    order = Window.partitionBy(sample).orderBy(r, F.lower(profile))
+    return correlations.where(F.col(r).isNotNull() & ~F.isnan(r)).withColumn("rank", F.row_number().over(order).cast("long"))
+
+
+def rank_change(ranked: DataFrame, sample: str, profile: str, controls: list[str]) -> DataFrame:
+    """Ranks with the mean rank over the control samples less their own."""
+    base = ranked.where(F.col(sample).isin(*controls)).groupBy(F.col(profile).alias("__p")).agg(F.avg("rank").alias("__base"))
+    return ranked.join(base, F.col(profile) == F.col("__p"), "left").withColumn("change", F.col("__base") - F.col("rank")).drop("__p", "__base")
+
+
+def venn(members: DataFrame, gene: str = "gene_id", name: str = "set_name") -> DataFrame:
+    """(sets, n): how many genes are in just these sets."""
+    own = members.groupBy(gene).agg(F.array_join(F.array_sort(F.collect_set(name)), "&").alias("sets"))
+    return own.groupBy("sets").agg(F.count(F.lit(1)).alias("n"))
+
+
+def exclusive(members: DataFrame, gene: str = "gene_id", name: str = "set_name") -> DataFrame:
+    """Members, an error where a gene is in two sets."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(gene))
+    return members.withColumn(name, F.when(n > 1, F.raise_error(F.concat(F.lit("gene is in two sets: "), F.col(gene).cast("string")))).otherwise(F.col(name)))
+
+
+def row_key(signal: Column, mode: str) -> list[Column]:
+    """Order of the rows of a heat map: centre, max, mean_absolute (largest first) or rise_after_min (shortest first)."""
+    middle = F.element_at(signal, (F.size(signal) / 2).cast("int") + 1)
+    if mode == "center":
+        return [-middle]
+    if mode == "max":
+        return [-F.array_max(F.filter(signal, lambda v: ~F.isnan(v)))]
+    if mode == "mean_absolute":
+        fine = F.filter(signal, lambda v: ~F.isnan(v))
+        return [-F.aggregate(fine, F.lit(0.0), lambda a, v: a + F.abs(v)) / F.size(fine)]
+    if mode == "rise_after_min":
+        left = F.slice(signal, 1, (F.size(signal) / 2).cast("int") + 1)
+        at = F.array_position(left, F.array_min(left))
+        after = F.slice(signal, (at + 1).cast("int"), F.size(signal))
+        rise = F.array_position(F.transform(after, lambda v: v >= 0), F.lit(True))
+        none = (F.array_min(left) >= 0) | (rise == 0)
+        return [F.when(none, F.lit(float("inf"))).otherwise(rise.cast("double")), -middle]
+    raise ValueError(f"unknown order {mode}")
+
+
+def sorted_rows(rows: DataFrame, mode: str, *ties: Column) -> DataFrame:
+    """Rows with their rank in an order of heat maps; ``unsorted`` is the order of the ties alone."""
+    from .spacing import global_rank
+
+    keys = [] if mode == "unsorted" else row_key(F.col("signal"), mode)
+    return global_rank(rows, *keys, *ties)
+
+
+def central_crop(signal: Column, columns: int, breadth: float) -> Column:
+    """The middle part of a row, an odd number of columns."""
+    if breadth >= 1:
+        return signal
+    keep = max(1, min(int(columns * breadth), columns))
+    keep = min(columns, keep + 1) if keep % 2 == 0 else keep
+    return F.slice(signal, columns // 2 - keep // 2 + 1, keep)
+
+
+def with_metadata(profiles: DataFrame, metadata: DataFrame, profile: str = "profile", columns: list[str] | None = None) -> DataFrame:
+    """Profiles with what is known of them, found by their name without regard to case and spacing; blank where nothing is."""
+    key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[\\s_]+", " ")))
+    columns = columns or [c for c in metadata.columns if c != profile]
+    own = metadata.select(key(F.col(profile)).alias("__key"), *columns).dropDuplicates(["__key"])
+    return profiles.join(own, key(F.col(profile)) == F.col("__key"), "left").select(*profiles.columns, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ BLOCK, HALO = 100_000, 1_100
 
 
 def half_away(value: float) -> int:
-    return math.floor(value + 0.5) if value >= 0 else math.ceil(value - 0.5)
+    """The nearest whole number, halves away from zero: the sign times the floor of the magnitude and a half."""
+    return int(math.copysign(math.floor(abs(value) + 0.5), value))
 
 
 def source_median(values: np.ndarray) -> float:
@@ -83,7 +85,8 @@ def blocks(track: DataFrame, sizes: DataFrame, block: int = BLOCK, halo: int = H
 def adjusted_protection(track: DataFrame, sizes: DataFrame, window: int = 1000, smooth: int = 21, order: int = 2, block: int = BLOCK, halo: int = HALO) -> DataFrame:
     """(chrom, start, raw, smoothed, adjusted, smoothed_adjusted): arrays of each block's bases.
 
-    The baseline is the running median of the raw track; contigs shorter than its window have NaN.
+    The baseline is the running median of the raw track; contigs shorter than its window have zeros, and the first base
+    of one that is just as long is zero.
     """
     schema = "chrom string, start long, raw array<double>, smoothed array<double>, adjusted array<double>, smoothed_adjusted array<double>"
 
@@ -96,12 +99,25 @@ def adjusted_protection(track: DataFrame, sizes: DataFrame, window: int = 1000,
                 for r in runs if runs is not None else ():
                     raw[max(r["start"] - low, 0):max(r["end"] - low, 0)] = r["value"]
                 base, fine = numerics.running_median(raw, window), numerics.reflected_savgol(raw, smooth, order)
+                plain, even = raw - base, fine - base
+                if length < window:  # nothing is adjusted in a contig that has no whole window
+                    plain, even = np.zeros(len(raw)), np.zeros(len(raw))
+                elif length == window:
+                    plain[0] = even[0] = 0.0
                 own = slice(first - low, last - low)
-                yield pd.DataFrame([(chrom, first, raw[own], fine[own], (raw - base)[own], (fine - base)[own])], columns=["chrom", "start", "raw", "smoothed", "adjusted", "smoothed_adjusted"])
+                yield pd.DataFrame([(chrom, first, raw[own], fine[own], plain[own], even[own])], columns=["chrom", "start", "raw", "smoothed", "adjusted", "smoothed_adjusted"])
 
     return blocks(track, sizes, block, halo).mapInPandas(worked, schema)
 
 
+def wps_peaks(fragments: DataFrame, sizes: DataFrame, protection: int = 120, gap: int = 5, least: int = 50, most: int = 150, widest: int = 450, cutoff: float = 5.0) -> DataFrame:
+    """(chrom, start, end, centre, score): protection, adjusted by its running median and smoothed, and the calls on what is positive."""
+    found = adjusted_protection(signals.protection_score(fragments, protection), sizes)
+    bases = found.select("chrom", "start", F.posexplode("smoothed_adjusted").alias("i", "value")).where("value > 0")
+    track = bases.select("chrom", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + 1).alias("end"), "value")
+    return call_protected(track, gap, least, most, widest, cutoff)
+
+
 def profile_peaks(profile: DataFrame, keys: list[str], distance: str = "distance", value: str = "value", low: float = 200, high: float = 1200, resolution: float = 160.0) -> DataFrame:
     """(keys, number, peak, slope, intercept, r2, slope_se): periodic peaks of each key's profile with the fitted line; a profile is a few thousand rows."""
     types = dict(profile.dtypes)
@@ -153,3 +169,54 @@ def gene_spectra(profiles: DataFrame, key: str, low: int = 120, high: int = 280,
                 yield pd.DataFrame({key: k, "period": periods.astype(np.int32), "power": power})
 
     return profiles.select(key, "signal").mapInPandas(worked, f"{key} {kind}, period int, power double")
+
+
+def _schema(df: DataFrame, keys: list[str]) -> str:
+    types = dict(df.dtypes)
+    return "".join(f"{k} {types[k]}, " for k in keys)
+
+
+def fixed_distributions(histogram: DataFrame, keys: list[str], low: int, high: int, window: int = 21, order: int = 2, value: str = "distance", count: str = "n") -> DataFrame:
+    """(keys, total, mode, mean, median) of each key's smoothed percents over a fixed range; a key is a row for each distance."""
+    def worked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = numerics.fixed_distribution(rows[value].to_numpy(np.int64), rows[count].to_numpy(float), low, high, window, order)
+        total = float(rows[count][rows[value].between(low, high)].sum())
+        return pd.DataFrame([(*key, total, found["mode"], found["mean"], found["median"])], columns=[*keys, "total", "mode", "mean", "median"])
+
+    return histogram.groupBy(*keys).applyInPandas(worked, _schema(histogram, keys) + "total double, mode double, mean double, median double")
+
+
+def fragment_size_repeat(counts: DataFrame, keys: list[str], low: int = 100, high: int = 1000, resolution: float = 160.0, length: str = "length", count: str = "n") -> DataFrame:
+    """(keys, peaks, slope, intercept, r2, slope_se, spacing, quality) of the peaks of each key's fragment lengths."""
+    def worked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        peaks, fit = numerics.fragment_size_peaks(rows[length].to_numpy(), rows[count].to_numpy(float), low, high, resolution)
+        spacing = float(np.diff(peaks).mean()) if len(peaks) > 1 else math.nan
+        return pd.DataFrame([(*key, [float(p) for p in peaks], fit["slope"], fit["intercept"], fit["r2"], fit["slope_se"], spacing, fit["quality"])], columns=[*keys, "peaks", "slope", "intercept", "r2", "slope_se", "spacing", "quality"])
+
+    return counts.groupBy(*keys).applyInPandas(worked, _schema(counts, keys) + "peaks array<double>, slope double, intercept double, r2 double, slope_se double, spacing double, quality string")
+
+
+def directional_repeats(profile: DataFrame, keys: list[str], resolution: float = 160.0, low: float = 0.0, high: float | None = None, exclusion: tuple[float, float] | None = None, place: str = "offset", value: str = "mean") -> DataFrame:
+    """(keys, side, peaks, slope, intercept, r2, quality): both fits of each key's signed profile; a profile is a few thousand rows."""
+    def worked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(place)
+        found = numerics.directional_repeat_length(rows[place].to_numpy(float), rows[value].to_numpy(float), resolution, low, high, exclusion)
+        return pd.DataFrame([(*key, side, fit["n"], fit["slope"], fit["intercept"], fit["r2"], fit["quality"]) for side, fit in found.items()], columns=[*keys, "side", "peaks", "slope", "intercept", "r2", "quality"])
+
+    return profile.groupBy(*keys).applyInPandas(worked, _schema(profile, keys) + "side string, peaks int, slope double, intercept double, r2 double, quality string")
+
+
+def downsampled(counts: DataFrame, profile: str, length: str, n: str, target: int | None = None, seed: int = 1) -> DataFrame:
+    """Counts of each profile drawn anew to ``target`` or the smallest profile's total; draws are seeded by the profile's name."""
+    if target is None:
+        target = counts.groupBy(profile).agg(F.sum(n).alias("t")).agg(F.min("t")).first()[0] or 0
+    types = dict(counts.dtypes)
+
+    def worked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(length)
+        own = rows[n].to_numpy(float)
+        rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode())])
+        drawn = rng.multinomial(target, own / own.sum()) if own.sum() else np.zeros(len(own), np.int64)
+        return pd.DataFrame({profile: key[0], length: rows[length].to_numpy(), n: drawn.astype(np.int64)})
+
+    return counts.groupBy(profile).applyInPandas(worked, f"{profile} {types[profile]}, {length} {types[length]}, {n} long")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics
-from ..functions.contigs import contig_key
+from ..functions.contigs import contig_key, significance
 
 BOUNDS = (5, 10, 20, 50, 100)
 
@@ -75,3 +76,68 @@ def input_report(rows: DataFrame, sizes: DataFrame, chrom: str = "chrom", start:
     counted = known.agg(F.count(F.lit(1)).alias("__n"), *[F.sum(F.coalesce(t, F.lit(False)).cast("long")).alias(n) for n, t in tests.items()])
     parts = F.explode(F.array(*[F.struct(F.lit(n).alias("check"), (F.col("__n") - F.coalesce(n, F.lit(0))).alias("failed"), F.coalesce(n, F.lit(0)).alias("passed")) for n in tests]))
     return counted.select(parts.alias("x")).select("x.*")
+
+
+def _p_value(r: str, n: str) -> Column:
+    """Two-sided p of a correlation, for a row of each group."""
+    p = F.pandas_udf(lambda r, n: pd.Series([numerics.correlation_p(float(a), int(b)) if a is not None else math.nan for a, b in zip(r, n)]), "double")
+    return p(F.col(r).cast("double"), F.col(n))
+
+
+def pair_statistics(pairs: DataFrame, key: str, x: str, y: str, ranks: bool = False) -> DataFrame:
+    """(key, n, r, r_p, slope, intercept, r2[, rho, rho_p]) of finite pairs; no value for under two pairs or a constant side."""
+    fine = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+    found = fine.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.nanvl(F.corr(x, y), F.lit(None)).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+    found = found.withColumn("r_p", _p_value("r", "n"))
+    if not ranks:
+        return found
+    ranked = fine
+    for side, name in ((x, "__x"), (y, "__y")):
+        own = average_percentile_rank(fine, side, [key]).select(F.col(key).alias("__k"), F.col(side).alias("__v"), F.col("percentile").alias(name))
+        ranked = ranked.join(own, (F.col(key) == F.col("__k")) & (F.col(side) == F.col("__v"))).drop("__k", "__v")
+    rho = ranked.groupBy(F.col(key).alias("__k")).agg(F.nanvl(F.corr("__x", "__y"), F.lit(None)).alias("rho"))
+    return found.join(rho, F.col(key) == F.col("__k")).drop("__k").withColumn("rho_p", _p_value("rho", "n"))
+
+
+def match_accounts(query: DataFrame, target: DataFrame, pairs: DataFrame, most: float | None, chrom: str = "chrom", pos: str = "pos") -> DataFrame:
+    """(chrom, pos, status) of each query position: matched, no_contig, beyond_distance (a target at an end of the contig is too far) or unique_assignment."""
+    ends = target.groupBy(F.col(chrom).alias("__c")).agg(F.min(pos).alias("__low"), F.max(pos).alias("__high"))
+    own = pairs.select(F.col(chrom).alias("__pc"), F.col("query").alias("__q"))
+    asked = query.select(chrom, pos).distinct().join(ends, F.col(chrom) == F.col("__c"), "left").join(own, (F.col(chrom) == F.col("__pc")) & (F.col(pos) == F.col("__q")), "left")
+    far = F.greatest(F.abs(F.col("__low") - F.col(pos)), F.abs(F.col("__high") - F.col(pos)))
+    beyond = F.lit(False) if most is None else far > most
+    status = F.when(F.col("__q").isNotNull(), "matched").when(F.col("__c").isNull(), "no_contig").when(beyond, "beyond_distance").otherwise("unique_assignment")
+    return asked.select(chrom, pos, status.alias("status"))
+
+
+def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, first, second): values of both sets that belong to one line."""
+    return a.select(*keys, F.col(value).alias("first")).join(b.select(*keys, F.col(value).alias("second")), keys)
+
+
+def tested_groups(values: DataFrame, part: str, group: str, value: str) -> DataFrame:
+    """(part, a, b, n_a, n_b, statistic, p, adjusted, stars): Mann-Whitney of each two groups of a part, adjusted by Holm in the part.
+
+    Ranks come from counts of different values, so no task holds a part's rows; groups of a part are few.
+    """
+    counted = values.where(F.col(value).isNotNull()).groupBy(part, group, value).agg(F.count(F.lit(1)).alias("n"))
+    groups = counted.select(F.col(part).alias("__p"), F.col(group).alias("other")).distinct()
+    both = counted.join(groups, (F.col(part) == F.col("__p")) & (F.col(group) != F.col("other"))).drop("__p")
+    first = F.col(group) < F.col("other")
+    sides = both.groupBy(part, F.least(group, "other").alias("a"), F.greatest(group, "other").alias("b"), value).agg(F.sum(F.when(first, F.col("n")).otherwise(0)).alias("na"), F.sum(F.when(first, 0).otherwise(F.col("n"))).alias("nb"))
+    order = Window.partitionBy(part, "a", "b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    t = F.col("na") + F.col("nb")
+    ranked = sides.withColumn("rank", F.coalesce(F.sum(t).over(order), F.lit(0)) + (t + 1) / 2)
+    td = t.cast("double")
+    sums = ranked.groupBy(part, "a", "b").agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.sum(F.col("na") * F.col("rank")).alias("ranks"), F.sum(td * td * td - td).alias("ties"))
+    sums = sums.withColumn("statistic", F.col("ranks") - F.col("n_a") * (F.col("n_a") + 1) / 2)
+    kind = dict(values.dtypes)
+
+    def worked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["a", "b"])
+        rows["p"] = [numerics.mann_whitney_p(u, n, m, ties) for u, n, m, ties in zip(rows["statistic"], rows["n_a"], rows["n_b"], rows["ties"])]
+        rows["adjusted"] = numerics.holm(rows["p"].to_numpy(float))
+        return rows[[part, "a", "b", "n_a", "n_b", "statistic", "p", "adjusted"]]
+
+    found = sums.groupBy(part).applyInPandas(worked, f"{part} {kind[part]}, a {kind[group]}, b {kind[group]}, n_a long, n_b long, statistic double, p double, adjusted double")
+    return found.withColumn("stars", significance(F.col("adjusted")))

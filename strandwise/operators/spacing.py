@@ -3,32 +3,37 @@
 from __future__ import annotations
 
 import heapq
+import math
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import first_after, last_before, running
+from ..functions.contigs import safe_ratio
+from .intervals import first_after, last_before, point_join, running
 from .lineage import cut
+from .select import hashed
 
 #: Rows of a contig that a window over neighbours holds.
 GROUP = 100_000
 POLICIES = ("highest-score", "first", "keep", "error")
 
 
-def limited_copies(fragments: DataFrame, most: int = 1, keys: tuple[str, ...] = ("chrom", "s", "e"), order: str = "source_id") -> DataFrame:
-    """At most ``most`` rows of equal coordinates, those of the first sources; 0 keeps all."""
+def limited_copies(fragments: DataFrame, most: int = 1, keys: tuple[str, ...] = ("chrom", "s", "e"), order: str = "source_id", number: str | None = None) -> DataFrame:
+    """At most ``most`` rows of equal coordinates, those of the first sources; 0 keeps all. ``number`` names a column for their count from 1."""
     if not most:
         return fragments
-    if most == 1:  # a plain aggregation combines before it shuffles
+    if most == 1 and number is None:  # a plain aggregation combines before it shuffles
         rest = [c for c in fragments.columns if c not in (*keys, order)]
         first = [] if order in keys else [F.min(order).alias(order)]
         if not first and not rest:
             return fragments.select(*keys).distinct().select(*fragments.columns)
         return fragments.groupBy(*keys).agg(*first, *[F.min_by(c, order).alias(c) for c in rest]).select(*fragments.columns)
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return fragments.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")
+    kept = fragments.withColumn("__n", n).where(F.col("__n") <= most)
+    return kept.drop("__n") if number is None else kept.withColumnRenamed("__n", number)
 
 
 def one_per_position(peaks: DataFrame, policy: str = "highest-score", chrom: str = "chrom", pos: str = "pos", score: str = "score", order: str = "event_id") -> DataFrame:
@@ -124,7 +129,7 @@ def global_rank(df: DataFrame, *order: Column) -> DataFrame:
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist()
+    placed = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     counts = sorted((r["__part"], r["count"]) for r in placed.groupBy("__part").count().collect())
     base, offsets = 0, []
     for part, n in counts:
@@ -220,10 +225,76 @@ def nearest_pairs(places: list[int], side: list[int], most: int | None = None) -
     return found
 
 
-def suppressed(candidates: list[tuple[float, float, int]], separation: float) -> list[int]:
-    """Places kept when the strongest go first and each needs its distance from all kept; entries are (value, raw, place)."""
-    kept: list[int] = []
-    for _, _, place in sorted(candidates, key=lambda c: (-c[0], -c[1], c[2])):
-        if all(abs(place - other) >= separation for other in kept):
-            kept.append(place)
-    return sorted(kept)
+def distances_inside(points: DataFrame, intervals: DataFrame, keys: list[str], low: int = 1, high: int = 2000) -> DataFrame:
+    """(keys, distance) of neighbours inside one interval each; adjacency ends with the interval."""
+    met = point_join(points, intervals.select("chrom", "s", "e", *keys))
+    order = Window.partitionBy("chrom", "r_s", "r_e", *[f"r_{k}" for k in keys]).orderBy("pos")
+    gap = met.withColumn("distance", F.col("pos") - F.lag("pos").over(order)).where(F.col("distance").between(low, high))
+    return gap.select(*[F.col(f"r_{k}").alias(k) for k in keys], "distance")
+
+
+def boundary_ranks(n: int, boundaries: list[float]) -> list[tuple[float, float, int, int]]:
+    """(lower, upper, first, past) ranks of the bins between percentages; counts by largest remainders, the earlier first."""
+    if n < 1 or len(boundaries) < 2 or any(not 0 <= b <= 100 for b in boundaries) or any(a >= b for a, b in zip(boundaries, boundaries[1:])):
+        raise ValueError("boundaries rise from 0 to 100, and there is a row at least")
+    edges = sorted({0.0, 100.0, *map(float, boundaries)})
+    exact = [n * (b - a) / 100 for a, b in zip(edges, edges[1:])]
+    counts = [math.floor(x) for x in exact]
+    for k in sorted(range(len(exact)), key=lambda k: (counts[k] - exact[k], k))[: n - sum(counts)]:
+        counts[k] += 1
+    at = dict(zip(edges, [0, *accumulate(counts)]))
+    out = [(a, b, at[a], at[b]) for a, b in zip(map(float, boundaries), map(float, boundaries[1:]))]
+    if any(first >= past for *_, first, past in out):
+        raise ValueError("a bin has no rows; use wider ones")
+    return out
+
+
+def bins_from_boundaries(df: DataFrame, boundaries: list[float], *order: Column) -> DataFrame:
+    """Rows with (lower, upper), the percentages of their slice of the order; rows in no slice are left out."""
+    ranked = global_rank(df, *order)
+    place = None
+    for lower, upper, first, past in boundary_ranks(ranked.count(), boundaries):
+        own = F.struct(F.lit(lower).alias("lower"), F.lit(upper).alias("upper"))
+        here = (F.col("rank") > first) & (F.col("rank") <= past)
+        place = F.when(here, own) if place is None else place.when(here, own)
+    return ranked.withColumn("__bin", place).where("__bin is not null").select(*df.columns, "__bin.*")
+
+
+def filled(histogram: DataFrame, low: int, high: int, value: str = "distance", n: str = "n") -> DataFrame:
+    """(value, n, percent) of each value from low to high, zeros too."""
+    grid = histogram.sparkSession.range(low, high + 1).withColumnRenamed("id", value)
+    own = histogram.select(F.col(value).cast("long").alias(value), n).where(F.col(value).between(low, high))
+    total = own.agg(F.sum(n).alias("__total"))
+    both = grid.join(own, value, "left").withColumn(n, F.coalesce(n, F.lit(0).cast("long"))).crossJoin(F.broadcast(total))  # one row
+    return both.select(value, n, F.coalesce(F.try_divide(F.col(n) * F.lit(100.0), F.col("__total")), F.lit(0.0)).alias("percent"))
+
+
+def run_summary(histogram: DataFrame, value: str = "length", n: str = "n") -> DataFrame:
+    """Count, extremes, quantiles, mean and smallest mode of weighted values, in one row."""
+    q = F.expr(f"percentile({value}, array(0.25, 0.5, 0.75), {n})").alias("q")
+    found = histogram.agg(F.sum(n).alias("runs"), F.min(value).alias("least"), q, (F.sum(F.col(value) * F.col(n)) / F.sum(n)).alias("mean"), F.max(value).alias("largest"), F.min_by(value, F.struct(-F.col(n), F.col(value))).alias("mode"))
+    return found.select("runs", "least", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("q3"), "largest", "mode")
+
+
+def row_average(histogram: DataFrame, order: str, value: str, rows: int) -> DataFrame:
+    """Mean of an odd number of rows about each one in order; fewer at both ends. A histogram is a row for each distance."""
+    half = rows // 2
+    window = Window.partitionBy(F.lit(1)).orderBy(order).rowsBetween(-half, half)
+    return histogram.withColumn("smooth", F.avg(value).over(window))
+
+
+def ranked_by_ratio(heights: DataFrame, key: str, top: str, bottom: str) -> DataFrame:
+    """(key, ratio, rank): finite ratios first, then infinite ones, then undefined ones; ties by name. A row for each category."""
+    found = heights.withColumn("ratio", safe_ratio(F.col(top), F.col(bottom)))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.isnan("ratio"), F.col("ratio") == float("inf"), "ratio", F.col(key).cast("string"))
+    return found.select(key, "ratio", F.row_number().over(order).cast("long").alias("rank"))
+
+
+def drawn(df: DataFrame, n: int, seed: int, columns: list[str]) -> DataFrame:
+    """A fixed random sample of n rows at most, by a hash of the seed and the columns."""
+    return df.orderBy(hashed(seed, *columns), *columns).limit(n)
+
+
+def natural_key(name: Column) -> Column:
+    """A key that sorts digits inside names as numbers."""
+    return F.transform(F.split(F.regexp_replace(F.lower(name), r"([0-9]+)", "\u0001$1\u0001"), "\u0001"), lambda x: F.when(x.rlike("^[0-9]+$"), F.lpad(F.regexp_replace(x, "^0+(?=[0-9])", ""), 20, "0")).otherwise(x))

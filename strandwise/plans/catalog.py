@@ -155,16 +155,17 @@ def protection_score(fragments):
     return signals.protection_score(fragments)
 
 
-def _regions_sql(sign: int, bridge: int) -> str:
-    return _WPS + f""", up as (select *, case when "start" - lag("end") over (partition by chrom order by "start") <= {bridge} then 0 else 1 end as fresh from track where {sign} * value > 0),
+def _regions_sql(sign: int, bridge: int, shift: int = 0) -> str:
+    return _WPS + f""", moved as (select chrom, "start", "end", value + {shift} as value from track where value <> 0), up as (select *, case when "start" - lag("end") over (partition by chrom order by "start") <= {bridge} then 0 else 1 end as fresh from moved where {sign} * value > 0),
 isl as (select *, sum(fresh) over (partition by chrom order by "start") as island from up),
 reg as (select chrom, island, min("start") as "start", max("end") as "end", max({sign} * value) as score from isl group by 1, 2)
 select chrom, "start", "end", ("start" + "end") // 2 as centre, score, "end" - "start" as length from reg where "end" - "start" >= 50"""
 
 
-@query(_regions_sql(1, 5), "fragments")
+@query(_regions_sql(1, 5, 12), "fragments")
 def call_regions(fragments):
-    return signals.call_regions(signals.protection_score(fragments), 50, 5)
+    """The tables' protection is seldom over zero, so regions are called over -12."""
+    return signals.call_regions(signals.protection_score(fragments).withColumn("value", F.col("value") + 12), 50, 5)
 
 
 @query(_regions_sql(-1, 0), "fragments")
@@ -384,7 +385,7 @@ def auto_correlation(fragments):
 _VALID = ", seg as (select chrom, coalesce(e2, 0) as s, coalesce(lead_s, 200200) as e from (select chrom, s as s0, e as e2, lead(s) over (partition by chrom order by s) as lead_s from u) where coalesce(lead_s, 200200) > e2)"
 
 
-@query(_MERGE.format(k="chrom", t="blacklist") + _VALID + ", b as (select chrom, s + i as pos from seg, range(0, 200200) r(i) where s + i < e) select y.pos - x.pos as distance, count(*) as opportunities from b x join b y on x.chrom = y.chrom and y.pos - x.pos between 1 and 20 group by 1", "blacklist")
+@query(_MERGE.format(k="chrom", t="blacklist") + _VALID + ", b as (select chrom, unnest(range(s, e)) as pos from seg), z as materialized (select chrom, pos + d as pos, d from b, range(1, 21) r(d)) select cast(d as bigint) as distance, count(*) as opportunities from z join b using (chrom, pos) group by 1", "blacklist")
 def masked_opportunities(blacklist):
     holes = intervals.merged(blacklist.select("chrom", "s", "e"), ["chrom"])
     order = Window.partitionBy("chrom").orderBy("s")
@@ -542,7 +543,7 @@ def randomized_fragments(fragments):
 
 @query(None, "fragments")
 def protected_calls(fragments):
-    return calls.call_protected(signals.protection_score(fragments), cutoff=1.0)
+    return calls.call_protected(signals.protection_score(fragments).withColumn("value", F.col("value") + 12), cutoff=1.0)
 
 
 @query(None, "fragments")
@@ -580,4 +581,6 @@ def periodicity_expression(genes, fragments, expression):
     return both.groupBy("profile", "period").agg(F.count(F.lit(1)).alias("genes"), _r(F.corr("power", "v")).alias("r")).where("genes >= 30")
 
 
-__all__ = ["PEAK_CONTIG", "VIEWS", "oracle_sql", "queries", "query"]
+from . import signal_queries, table_queries  # noqa: E402  (register more queries)
+
+__all__ = ["PEAK_CONTIG", "VIEWS", "oracle_sql", "queries", "query", "signal_queries", "table_queries"]

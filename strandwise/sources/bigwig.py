@@ -6,6 +6,7 @@ runs (chrom, start, end, value). Written files have no zoom levels.
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.select import regions
+
 SCHEMA = "chrom string, start long, end long, value double"
 #: Fixed values of the format: magic numbers of the file, the contig tree and the index.
 FILE, TREE, INDEX = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
@@ -29,8 +32,11 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def contigs_and_blocks(file) -> tuple[dict[int, tuple[str, int]], list[tuple[int, int]], bool]:
-    """Contigs by number (name, length), (offset, size) of the data blocks, and whether they are compressed; ``file`` seeks and reads."""
+def contigs_and_blocks(file, meets=lambda *span: True) -> tuple[dict[int, tuple[str, int]], list[tuple[int, int]], bool]:
+    """Contigs by number (name, length), (offset, size) of the data blocks, and whether they are compressed; ``file`` seeks and reads.
+
+    Only index nodes and blocks whose span (first contig, first base, last contig, end) ``meets`` are followed.
+    """
     file.seek(0)
     head = struct.unpack("<IHHQQQHHQQIQ", file.read(64))
     if head[0] != FILE:
@@ -58,10 +64,9 @@ def contigs_and_blocks(file) -> tuple[dict[int, tuple[str, int]], list[tuple[int
         file.seek(nodes.pop())
         leaf, _, n = struct.unpack("<BBH", file.read(4))
         for _ in range(n):
-            if leaf:
-                blocks.append(struct.unpack("<IIIIQQ", file.read(32))[4:])
-            else:
-                nodes.append(struct.unpack("<IIIIQ", file.read(24))[4])
+            *span, place, size = struct.unpack("<IIIIQQ", file.read(32)) if leaf else (*struct.unpack("<IIIIQ", file.read(24)), 0)
+            if meets(*span):
+                blocks.append((place, size)) if leaf else nodes.append(place)
     return contigs, sorted(blocks), head[10] > 0
 
 
@@ -82,7 +87,11 @@ def block_runs(raw: bytes) -> Iterator[tuple[int, int, int, float]]:
 
 
 class BigWigSource(DataSource):
-    """``spark.read.format("bigwig").load(path)``; several paths in the option ``paths``, one to a line."""
+    """``spark.read.format("bigwig").load(path)``; several paths in the option ``paths``, one to a line.
+
+    The option ``regions`` (contigs and intervals, as ``select.regions`` takes them) reads the blocks that meet them
+    alone and cuts runs at their ends; ``limit`` cuts values at both signs. Values that are not finite are left out.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -92,34 +101,47 @@ class BigWigSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader([p for p in self.options.get("paths", self.options.get("path", "")).split("\n") if p])
+        limit = self.options.get("limit")
+        return _Reader([p for p in self.options.get("paths", self.options.get("path", "")).split("\n") if p], self.options.get("regions"), None if limit is None else float(limit))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+    def __init__(self, paths: list[str], regions: str | None = None, limit: float | None = None) -> None:
+        self.paths, self.regions, self.limit = paths, regions, limit
 
     def partitions(self) -> list[InputPartition]:
         out = []
         for path in self.paths:
             store, where = _store(path)
+            chosen: dict[int, list[tuple[int, int]]] | None = None
             with store.open_input_file(where) as file:
-                contigs, blocks, packed = contigs_and_blocks(file)
+                contigs, blocks, packed = contigs_and_blocks(file, lambda *span: self.regions is None)
+                if self.regions is not None:
+                    number, chosen = {v[0]: k for k, v in contigs.items()}, {}
+                    for name, s, e in regions([self.regions], dict(contigs.values())):
+                        chosen.setdefault(number[name], []).append((s, e))
+                    contigs, blocks, packed = contigs_and_blocks(file, lambda a, s, b, e: any((a, s) < (k, y) and (k, x) < (b, e) for k, spans in chosen.items() for x, y in spans))
             names = {k: v[0] for k, v in contigs.items()}
-            out += [InputPartition((path, names, blocks[i:i + BLOCKS], packed)) for i in range(0, len(blocks), BLOCKS)]
+            out += [InputPartition((path, names, blocks[i:i + BLOCKS], packed, chosen)) for i in range(0, len(blocks), BLOCKS)]
         return out or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is None:
             return
-        path, names, blocks, packed = partition.value
+        path, names, blocks, packed, chosen = partition.value
         store, where = _store(path)
         with store.open_input_file(where) as file:
             for offset, size in blocks:
                 file.seek(offset)
                 raw = file.read(size)
                 for contig, start, end, value in block_runs(zlib.decompress(raw) if packed else raw):
-                    yield names[contig], start, end, float(value)
+                    if not math.isfinite(value):
+                        continue
+                    if self.limit is not None:
+                        value = max(-self.limit, min(self.limit, value))
+                    for a, b in ((start, end),) if chosen is None else chosen.get(contig, ()):
+                        if max(a, start) < min(b, end):
+                            yield names[contig], max(a, start), min(b, end), float(value)
 
 
 def encoded(runs: list[tuple[str, int, int, float]], lengths: dict[str, int]) -> bytes:

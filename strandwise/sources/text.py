@@ -68,8 +68,20 @@ def _ordered(df: DataFrame, start: str) -> DataFrame:
     return df.repartitionByRange("chrom", start).sortWithinPartitions("chrom", start)
 
 
+def validated(track: DataFrame) -> DataFrame:
+    """A run-length track whose touching runs of equal value are one; empty, negative or overlapping runs are an error."""
+    from ..operators.intervals import running
+    from ..operators.signals import compressed
+
+    seen = running(track.select("chrom", "start", "end", "value"), ["chrom"], ["start", "end"], {"__reach": ("max", F.col("end"))}, inclusive=False)
+    bad = (F.col("start") < 0) | (F.col("end") <= F.col("start")) | F.coalesce(F.col("__reach") > F.col("start"), F.lit(False))
+    told = F.raise_error(F.concat_ws(" ", F.lit("run is empty, negative or overlaps:"), F.col("chrom"), F.col("start").cast("string"))).cast("long")
+    return compressed(seen.withColumn("start", F.when(bad, told).otherwise(F.col("start"))).drop("__reach"), ["chrom"])
+
+
 def write_bedgraph(track: DataFrame, path: str, gzip: bool = False) -> None:
-    """Runs in contig and place order, one file for each range; values that are not finite are an error."""
+    """Runs in contig and place order, one file for each range; equal neighbours are one, values that are not finite an error."""
+    track = validated(track)
     value = F.col("value").cast("double")
     odd = F.isnan(value) | value.isNull() | (F.abs(value) == float("inf"))
     checked = F.when(odd, F.raise_error(F.lit("value is not finite")).cast("string")).otherwise(F.regexp_replace(value.cast("string"), r"\.0$", ""))
