@@ -172,12 +172,10 @@ def gene_regions(genes: DataFrame, flank: int = 10_000) -> DataFrame:
 
 def adjacent_spacing(regions: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """Points in each region and the median distance of neighbours; null for fewer than two."""
-    inside = point_join(points.select("chrom", "pos"), regions, "inner").groupBy(*[F.col(f"r_{k}").alias(k) for k in keys]).agg(F.array_sort(F.collect_set("pos")).alias("p"))
-    gaps = F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))), lambda x, i: x - F.element_at("p", i + 1))
-    ordered = F.array_sort(F.when(F.size("p") > 1, gaps))
-    n = F.size(ordered)
-    middle = (F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(ordered, F.floor(n / 2).cast("int") + 1)) / 2
-    return inside.select(*keys, F.size("p").cast("long").alias("peaks"), F.when(F.size("p") > 1, middle).alias("spacing"))
+    inside = point_join(points.select("chrom", "pos").distinct(), regions, "inner").select(*[F.col(f"r_{k}").alias(k) for k in keys], "pos")
+    order = Window.partitionBy(*keys).orderBy("pos")  # the points of one region
+    gaps = inside.withColumn("gap", F.col("pos") - F.lag("pos").over(order))
+    return gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("peaks"), F.median("gap").cast("double").alias("spacing"))
 
 
 def windowed_signal(anchors: DataFrame, track: DataFrame, half: int, keys: list[str]) -> DataFrame:

@@ -109,7 +109,7 @@ def cross_correlation_by_density(left: DataFrame, right: DataFrame, width: int =
         first = int(a["window"].iloc[0]) * width
         return pd.DataFrame({"lag": np.arange(-dmax, dmax + 1), "raw": lag_sums(_laid(a, first, width, pos, value), _laid(b, first, width, pos, value), -dmax, dmax)})
 
-    sides = [df.join(dense, names, "left_semi").select(*names, pos, F.col(value).cast("double").alias(value)) for df in (left, right)]
+    sides = [df.join(dense, names, "left_semi").select(*[F.col(c).alias(c) for c in (*names, pos)], F.col(value).cast("double").alias(value)) for df in (left, right)]  # names of their own, as both may come from one table
     thick = sides[0].groupBy(*names).cogroup(sides[1].groupBy(*names)).applyInPandas(worked, "lag long, raw double")
     thin = cross_correlation(left.join(dense, names, "left_anti"), right, dmax, keys, pos, value).select(F.col("lag").cast("long").alias("lag"), F.col("raw").cast("double").alias("raw"))
     found = thin.unionByName(thick).groupBy("lag").agg(F.sum("raw").alias("raw"))

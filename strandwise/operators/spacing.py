@@ -272,7 +272,7 @@ def filled(histogram: DataFrame, low: int, high: int, value: str = "distance", n
 def run_summary(histogram: DataFrame, value: str = "length", n: str = "n") -> DataFrame:
     """Count, extremes, quantiles, mean and smallest mode of weighted values, in one row."""
     q = F.expr(f"percentile({value}, array(0.25, 0.5, 0.75), {n})").alias("q")
-    found = histogram.agg(F.sum(n).alias("runs"), F.min(value).alias("least"), q, (F.sum(F.col(value) * F.col(n)) / F.sum(n)).alias("mean"), F.max(value).alias("largest"), F.min_by(value, F.struct(-F.col(n), F.col(value))).alias("mode"))
+    found = histogram.agg(F.coalesce(F.sum(n), F.lit(0)).alias("runs"), F.min(value).alias("least"), q, (F.sum(F.col(value) * F.col(n)) / F.sum(n)).alias("mean"), F.max(value).alias("largest"), F.min_by(value, F.struct(-F.col(n), F.col(value))).alias("mode"))
     return found.select("runs", "least", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("q3"), "largest", "mode")
 
 

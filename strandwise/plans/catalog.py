@@ -376,7 +376,7 @@ def _starts(fragments: DataFrame, low: int = 137, high: int = 197) -> DataFrame:
 
 @query(_STARTS + ", w as (select unnest([0, 1, 2]) as i), r as (select i * 100000 as s, least((i + 1) * 100000, 200200) as e from w), o as (select d as distance, cast(sum(4 * greatest(e - s - d, 0)) as bigint) as opportunities from r, range(1, 501) x(d) where e - s >= 2 group by 1), p as (select b.pos - a.pos as distance, cast(sum(a.value * b.value) as bigint) as raw from points a join points b on a.chrom = b.chrom and a.win = b.win and b.pos - a.pos between 1 and 500 group by 1) select o.distance, coalesce(raw, 0) as raw, opportunities, round(coalesce(raw, 0) * 1.0 / opportunities, 12) as value from o left join p on o.distance = p.distance", "fragments")
 def auto_correlation(fragments):
-    raw = correlate.auto_correlation(_starts(fragments), 500)
+    raw = correlate.auto_correlation_by_density(_starts(fragments), 100_000, 500).withColumn("raw", F.col("raw").cast("long"))
     sizes = fragments.sparkSession.createDataFrame([(f"chr{i}", FRAGMENT_CONTIG) for i in range(1, 5)], "chrom string, length long")
     chances = correlate.opportunities(correlate.windows(sizes), 500)
     return chances.join(raw, "distance", "left").select(F.col("distance").cast("long").alias("distance"), F.coalesce("raw", F.lit(0)).alias("raw"), "opportunities", _r(correlate.per_opportunity(F.coalesce("raw", F.lit(0)).cast("double"), F.col("opportunities")), 12).alias("value"))
@@ -399,7 +399,8 @@ _CROSS = ", a as (select chrom, s // 100000 as win, s as pos, count(*) as value
 def _crossed(fragments: DataFrame) -> DataFrame:
     kept = fragments.where((F.col("e") - F.col("s")).between(120, 180))
     ends = correlate.in_windows(kept.groupBy("chrom", (F.col("e") - 1).alias("pos")).agg(F.count(F.lit(1)).alias("value")))
-    return correlate.cross_correlation(_starts(fragments, 120, 180), ends, 200)
+    found = correlate.cross_correlation_by_density(_starts(fragments, 120, 180), ends, 100_000, 200)
+    return found.where("raw <> 0").withColumn("raw", F.col("raw").cast("long"))
 
 
 @query(_CROSS + " select lag, raw from c", "fragments")

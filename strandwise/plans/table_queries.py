@@ -19,7 +19,7 @@ def distances_inside_states(peaks, states):
     return spacing.distances_inside(peaks.select("chrom", "pos"), states, ["ord", "label"], 1, 400).groupBy("label", "distance").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(", r as (select score, row_number() over (order by score) - 1 as k, count(*) over () as n from peaks), h as (select (max(n) - 1) * (1 - 2500.0 / max(n)) as h from r), c as (select max(case when k = floor(h) then score end) as lo, max(case when k = ceil(h) then score end) as hi, any_value(h) as h from r, h) select count(*) as kept from peaks, c where score >= lo + (hi - lo) * (h - floor(h))", "peaks")
+@query(", r as (select score, row_number() over (order by score) - 1 as k, count(*) over () as n from peaks), h as (select (max(n) - 1) * (1 - 2500.0 / max(n)) as h from r), c as (select max(case when k = floor(h) then score end) as lo, max(case when k = ceil(h) then score end) as hi, any_value(h) as h from r, h) select count(*) as kept from peaks, c where h < 0 or score >= lo + (hi - lo) * (h - floor(h))", "peaks")
 def peaks_to_target(peaks):
     """The percentile that leaves about 2,500 peaks, its threshold included."""
     kept = annotate.by_target(peaks, "score", 2500)
@@ -130,13 +130,13 @@ def group_tests(peaks):
     return compare.tested_groups(pairs, "part", "klass", "d")
 
 
-@query(", w as (select event_id, chrom, pos, klass, row_number() over (partition by chrom, pos // 5000 order by event_id) as line, pos // 5000 as bin from peaks), a as (select * from w where klass = 'click'), b as (select * from w where klass = 'view') select a.chrom, a.bin, a.line, a.pos as first, b.pos as second from a join b on a.chrom = b.chrom and a.bin = b.bin and a.line = b.line".replace("as first,", 'as "first",').replace("as second from", 'as "second" from'), "peaks")
+@query(", w as (select event_id, chrom, pos, klass, row_number() over (partition by chrom, pos // 5000, klass order by event_id) as line, pos // 5000 as bin from peaks), a as (select * from w where klass = 'click'), b as (select * from w where klass = 'error') select a.chrom, a.bin, a.line, a.pos as first, b.pos as second from a join b on a.chrom = b.chrom and a.bin = b.bin and a.line = b.line".replace("as first,", 'as "first",').replace("as second from", 'as "second" from'), "peaks")
 def paired_values(peaks):
     """Values of two sets that belong to one line of a main set."""
     from pyspark.sql import Window
 
-    rows = peaks.withColumn("bin", F.floor(F.col("pos") / 5000)).withColumn("line", F.row_number().over(Window.partitionBy("chrom", "bin").orderBy("event_id")).cast("long"))
-    return compare.paired(rows.where("klass = 'click'"), rows.where("klass = 'view'"), ["chrom", "bin", "line"], "pos")
+    rows = peaks.withColumn("bin", F.floor(F.col("pos") / 5000)).withColumn("line", F.row_number().over(Window.partitionBy("chrom", "bin", "klass").orderBy("event_id")).cast("long"))
+    return compare.paired(rows.where("klass = 'click'"), rows.where("klass = 'error'"), ["chrom", "bin", "line"], "pos")
 
 
 # -- correlations ------------------------------------------------------------------------------------------------------
@@ -202,7 +202,7 @@ def gene_trajectories(genes, fragments, blacklist):
     return found.select("gene_id", F.aggregate("signal", F.lit(0.0), lambda a, b: a + b).cast("long").alias("total"), moment.cast("long").alias("moment"), _r("valid", 9).alias("valid"))
 
 
-@query(", r as (select profile, chr(65 + gene_id % 3) as sample, corr(value, gene_id * 37 % 101) as r from expression group by 1, 2), k as (select *, row_number() over (partition by sample order by r, lower(profile)) as rank from r), m as (select profile, avg(rank) as base from k where sample <> 'A' group by 1) select k.profile, k.\"rank\" as \"rank\", round(base - rank, 9) as change from k join m using (profile) where sample = 'A'".replace("as rank from r", 'as "rank" from r').replace("avg(rank)", 'avg("rank")').replace("base - rank", 'base - "rank"'), "expression")
+@query(", r as (select profile, chr(cast(65 + gene_id % 3 as int)) as sample, corr(value, gene_id * 37 % 101) as r from expression group by 1, 2), k as (select *, row_number() over (partition by sample order by r, lower(profile)) as rank from r), m as (select profile, avg(rank) as base from k where sample <> 'A' group by 1) select k.profile, k.\"rank\" as \"rank\", round(base - rank, 9) as change from k join m using (profile) where sample = 'A'".replace("as rank from r", 'as "rank" from r').replace("avg(rank)", 'avg("rank")').replace("base - rank", 'base - "rank"'), "expression")
 def rank_changes(expression):
     """Profiles ranked by correlation in each sample, and the change against the control samples' mean rank."""
     rows = expression.select("profile", F.char(65 + F.col("gene_id") % 3).alias("sample"), "value", (F.col("gene_id") * 37 % 101).cast("double").alias("other"))

@@ -194,3 +194,57 @@ def fragment_summary(fragments: DataFrame, low: int, high: int) -> DataFrame:
     counts = fragments.agg(F.count(F.lit(1)).alias("a"), F.count_if((F.col("e") - F.col("s")).between(low, high)).alias("b")).crossJoin(covered)  # two rows
     names = {"total_fragments_filtered_all": "a", "total_fragments_used_in_range": "b", "unique_bases_covered_by_used_fragments": "v"}
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("long").alias("value")) for n, c in names.items()])).alias("x")).select("x.*")
+
+
+def fragment_source(spark: SparkSession, beds: list[str] | None = None, bams: list[str] | None = None, blacklist: DataFrame | None = None, **flags) -> DataFrame:
+    """(source_id, chrom, s, e) of fragment files or of the pairs of BAM files, one of both, without blacklisted fragments."""
+    from ..operators.intervals import overlap_join
+    from . import alignments, text
+
+    if bool(beds) == bool(bams):
+        raise ValueError("give either fragment files or BAM files")
+    if beds:
+        found = text.fragments(spark, beds)
+    else:
+        spark.dataSource.register(alignments.BamSource)
+        reads = spark.read.format("bam").option("paths", "\n".join(bams)).load()
+        number = F.element_at(F.create_map(*[x for i, p in enumerate(bams, 1) for x in (F.lit(p), F.lit(i))]), F.col("path"))
+        found = alignments.pair_fragments(alignments.usable(reads, **flags)).select(number.alias("source_id"), contig_key(F.col("chrom")).alias("chrom"), "s", "e")
+    if blacklist is None:
+        return found
+    return overlap_join(found, blacklist.withColumn("chrom", contig_key(F.col("chrom"))), "left_anti")
+
+
+def interval_counts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(source, rows, malformed): what a reader that is not strict leaves out of each file."""
+    lines = spark.read.text(paths).select(F.input_file_name().alias("source"), F.rtrim("value").alias("line")).where("line <> ''").where(~F.col("line").rlike(r"^\s*(#|track(\s|$)|browser(\s|$))"))
+    all_rows = lines.groupBy("source").agg(F.count(F.lit(1)).alias("__all"))
+    good = interval_rows(spark, paths, strict=False).groupBy(F.col("source").alias("__s")).agg(F.count(F.lit(1)).alias("rows"))
+    both = all_rows.join(good, F.col("source") == F.col("__s"), "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+    return both.select("source", "rows", (F.col("__all") - F.col("rows")).alias("malformed"))
+
+
+def filtered_bed8(peaks: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Lines of eight columns (value, chrom, start): whole scores from 0 to 1000, thick starts kept inside the interval."""
+    score = F.least(F.lit(1000), F.greatest(F.lit(0), F.floor(F.abs(F.col("score")) * F.lit(scale) + 0.5))).cast("int")
+    thick = F.greatest(F.col("s"), F.least(F.col("pos"), F.col("e") - 1))
+    name = F.concat_ws(":", "chrom", F.col("pos").cast("string"))
+    return peaks.select(F.concat_ws("\t", "chrom", F.col("s").cast("string"), F.col("e").cast("string"), name, score.cast("string"), F.lit("."), thick.cast("string"), (thick + 1).cast("string")).alias("value"), "chrom", F.col("s").alias("start"))
+
+
+def flanking_table(sites: DataFrame, peaks: DataFrame, extend: int, track: str, key: str = "site", missing: str = "NA") -> DataFrame:
+    """(key, contig, count, and six fields of the nearest peak on each side) as text, for each site; a peak at the site is downstream.
+
+    ``sites`` has the key, chrom and pos, ``peaks`` chrom, s, e, pos and score; peaks count that meet pos -+ extend.
+    """
+    from ..operators.intervals import overlap_join
+
+    around = sites.select(key, "chrom", F.col("pos").alias("site_pos"), (F.col("pos") - extend).alias("s"), (F.col("pos") + extend + 1).alias("e"))
+    fields = ["s", "e", "pos", "score"]
+    met = overlap_join(around, peaks.select("chrom", *fields))
+    gap = F.col("r_pos") - F.col("site_pos")
+    near = F.struct(F.abs(gap).alias("gap"), F.col("r_pos").alias("pos"), F.col("r_s").alias("s"), F.col("r_e").alias("e"), F.col("r_score").alias("score"), F.col("chrom").alias("contig"))
+    found = met.groupBy(key).agg(F.count(F.lit(1)).alias("count"), F.min(F.when(gap < 0, near)).alias("up"), F.min(F.when(gap >= 0, near)).alias("down"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(missing))
+    out = [text(F.col(f"{side}.{c}")).alias(f"{track}_{side}_{c}") for side in ("up", "down") for c in ("contig", "s", "e", "pos", "score", "gap")]
+    return sites.select(key, "chrom").join(found, key, "left").select(key, F.col("chrom").alias(f"{track}_contig"), F.coalesce("count", F.lit(0)).cast("string").alias(f"{track}_count"), *out)

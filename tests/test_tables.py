@@ -92,3 +92,24 @@ def test_tracks_and_tables_out(spark, tmp_path):
     spans = spark.createDataFrame([("c", 0, 10), ("c", 5, 15), ("c", 0, 100)], "chrom string, s long, e long")
     assert {r["metric"]: r["value"] for r in tables.fragment_summary(spans, 5, 20).collect()} == {"total_fragments_filtered_all": 3, "total_fragments_used_in_range": 2, "unique_bases_covered_by_used_fragments": 15}
     assert struct.calcsize("<I") == 4 and rows.select(F.size("signal")).count() == 2
+
+
+def test_fragment_source_and_counts(spark, tmp_path):
+    bed = tmp_path / "f.bed"
+    bed.write_text("chr1\t10\t60\n1\t100\t150\nchr1\tx\t5\n# note\n")
+    with pytest.raises(ValueError):
+        tables.fragment_source(spark)
+    clean = tmp_path / "g.bed"
+    clean.write_text("chr1\t10\t60\n1\t100\t150\n")
+    black = spark.createDataFrame([("chr1", 149, 160)], "chrom string, s long, e long")
+    assert [(r["source_id"], r["chrom"], r["s"]) for r in tables.fragment_source(spark, [str(clean)], blacklist=black).collect()] == [(1, "1", 10)]
+    assert [(r["rows"], r["malformed"]) for r in tables.interval_counts(spark, str(bed)).collect()] == [(2, 1)]
+
+
+def test_bed8_and_flanks(spark):
+    peaks = spark.createDataFrame([("c", 10, 20, 15, -2.5), ("c", 40, 50, 60, 5000.0), ("c", 100, 110, 105, 1.0)], "chrom string, s long, e long, pos long, score double")
+    assert sorted(r["value"] for r in tables.filtered_bed8(peaks).collect()) == ["c\t10\t20\tc:15\t3\t.\t15\t16", "c\t100\t110\tc:105\t1\t.\t105\t106", "c\t40\t50\tc:60\t1000\t.\t49\t50"]
+    sites = spark.createDataFrame([(1, "c", 60), (2, "d", 60)], "site int, chrom string, pos long")
+    rows = {r["site"]: r for r in tables.flanking_table(sites, peaks, 50, "t").collect()}
+    assert (rows[1]["t_count"], rows[1]["t_up_pos"], rows[1]["t_down_pos"], rows[1]["t_up_gap"]) == ("3", "15", "60", "45")
+    assert (rows[2]["t_count"], rows[2]["t_up_pos"]) == ("0", "NA") and len(rows[1]) == 15
