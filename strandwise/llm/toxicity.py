@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Counts all labelled training texts but those that calibrate, each different text once; at most CALIBRATION_ROWS calibrate.
 
     Rows whose id is null, whose label is null, or whose part by CRC-32 modulo 5 is 0 are never used. With no
-    training text of one of the classes the model scores every document by the share of toxic labels.
+    training text of one of the classes the model scores every document by the share of toxic ones among the labelled texts.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = counts.agg(F.sum("clean"), F.sum("toxic"), *[F.sum((F.col(c) == k).cast("long")) for c in ("clean", "toxic") for k in (1, 2)]).first()
     totals = np.array([total[0] or 0, total[1] or 0], float)
     if not totals.all():
-        share = known.agg(F.avg("__toxic")).first()[0]
+        share = labelled.agg(F.avg("__toxic")).first()[0]
         p = min(max(share if share is not None else 0.0, 1e-6), 1 - 1e-6)
         return Model(0, np.empty(0, np.int64), np.empty(0, np.float32), 0.0, np.array([np.log(p / (1 - p)), 0, 0, 0]), np.zeros(3), np.ones(3))
     ones, twos = np.array([total[2], total[4]], float), np.array([total[3], total[5]], float)
