@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_ROWS, SALTS, by_hot_key, fresh_name, staged
+from .store import BROADCAST_ROWS, SALTS, by_hot_key, fresh_name, release, staged
 
 #: Documents in which a template must occur to be recurring.
 MIN_DOCUMENTS = 2
@@ -74,22 +74,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         template = F.trim(line)
         return F.when(template != "", F.struct(_leaf(template).alias("leaf"), _words(template).alias("words"), _key(template).alias("key")))
 
-    parsed = staged(docs.select(*row, F.transform(F.split(generalised(F.col(text_col)), "\n"), keyed_line).alias("lines")), "line-keys")
+    scratch: list[DataFrame] = []
+    parsed = staged(docs.select(*row, F.transform(F.split(generalised(F.col(text_col)), "\n"), keyed_line).alias("lines")), "line-keys", scratch)
     keyed = parsed.select("__id", "__hash", F.posexplode("lines").alias("place", "line")).where("line is not null").select("__id", "__hash", "place", "line.key")
     once = docs.select(F.explode(F.array_distinct(F.transform(F.split(generalised(F.col(text_col)), "\n"), F.trim))).alias("template")).where("template <> ''")
     met_once = parsed.select(F.xxhash64("__id", "__hash").alias("document"), "__hash", F.explode(F.array_distinct("lines")).alias("line")).where("line is not null").select("document", "__hash", "line.*")
     apart = [F.count(F.lit(1)).alias("documents"), (F.min("document") != F.max("document")).alias("several"), (F.min("__hash") != F.max("__hash")).alias("differ")]
     met_twice = (F.col("documents") >= min_documents) & F.col("several") & (F.lit(copies) | F.col("differ") | (F.col("documents") > 2))
     counted = met_once.groupBy("leaf", "words", "key").agg(*apart).select("leaf", "words", "key", "documents", met_twice.alias("recurs"))
-    counted = staged(counted.where(f"recurs or words >= {MIN_WORDS}"), "line-templates")
+    counted = staged(counted.where(f"recurs or words >= {MIN_WORDS}"), "line-templates", scratch)
     recurring = counted.where("recurs").select("key", F.col("key").alias("template_key"))
-    merged = _merged(once, counted, max(min_documents, WIDER_DOCUMENTS))
+    merged = _merged(once, counted, max(min_documents, WIDER_DOCUMENTS), scratch)
     if merged is not None:
         recurring = recurring.join(merged.select("key", F.col("merged").alias("wider")), "key", "full").select("key", F.coalesce("wider", "template_key").alias("template_key"))
 
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     dealt = F.pmod(F.xxhash64("__id", "__hash"), F.lit(SALTS)).cast("int").alias("salt")
     met = staged(keyed.select("*", dealt).join(recurring.select("*", salts).hint("merge"), ["key", "salt"]).select("__id", "__hash", "place", "template_key"), "line-met")
+    release(scratch)
     first = met.groupBy("template_key").agg(F.min("__id").alias("first_id"))
     start = met.groupBy("template_key", "__id", "__hash").agg(F.min("place").alias("place")).join(first.withColumnRenamed("template_key", "k"), (F.col("template_key") == F.col("k")) & (F.col("__id") == F.col("first_id")))
     start = start.groupBy("template_key", "__id").agg(F.min("__hash").alias("__hash"), F.min_by("place", "__hash").alias("place")).select("__id", "__hash", "place", "template_key", F.lit(True).alias("stays"))
@@ -108,32 +110,32 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.select(*kept, count.alias(fresh_name("__lines", docs.columns)), dropped.alias(fresh_name("__dropped", docs.columns)))
 
 
-def _merged(once: DataFrame, counted: DataFrame, min_documents: int) -> DataFrame | None:
+def _merged(once: DataFrame, counted: DataFrame, min_documents: int, scratch: list[DataFrame]) -> DataFrame | None:
     """(key, merged): templates that follow a wider template, if any leaf has such a one."""
     leaves = counted.where(f"words >= {MIN_WORDS}").groupBy("leaf").agg(F.count(F.lit(1)).alias("templates"), F.sum("documents").alias("documents"))
-    leaves = staged(leaves.where(f"templates > 1 and documents >= {min_documents}").select(F.col("leaf").alias("node")), "line-leaves")
+    leaves = staged(leaves.where(f"templates > 1 and documents >= {min_documents}").select(F.col("leaf").alias("node")), "line-leaves", scratch)
     several = leaves.count()
     if not several:
         return None
     chosen = F.broadcast(leaves) if several <= BROADCAST_ROWS else leaves
     lines = once.where(_words(F.col("template")) >= MIN_WORDS).select(_leaf(F.col("template")).alias("node"), "template").join(chosen, "node")
     lines = lines.groupBy("node", "template").agg(F.count(F.lit(1)).alias("documents"))
-    lines = staged(lines.select("node", _key(F.col("template")).alias("key"), F.split("template", " ").alias("words"), "documents"), "line-leaf-templates")
+    lines = staged(lines.select("node", _key(F.col("template")).alias("key"), F.split("template", " ").alias("words"), "documents"), "line-leaf-templates", scratch)
     found = None
     for _ in range(LEVELS):
         follows = F.col("settled") & F.forall("form", lambda e: F.element_at("words", e["place"] + 1) == e["word"])
-        rows = staged(by_hot_key(lines, staged(_forms(lines), "line-forms"), "node", "templates", F.col("key")).withColumn("follows", follows), "line-groups")
+        rows = staged(by_hot_key(lines, staged(_forms(lines), "line-forms", scratch), "node", "templates", F.col("key")).withColumn("follows", follows), "line-groups", scratch)
         own = rows.where("follows").select("node", "key", "documents")
         found = own if found is None else found.unionByName(own)
         place = F.col("split.place")
         part = F.when(F.col("settled"), F.xxhash64("node", F.lit("rest"))).otherwise(F.xxhash64("node", place, F.element_at("words", place + 1)))
         rest = rows.where("not follows and (settled or split is not null)").select(part.alias("node"), "key", "words", "documents")
         live = rest.groupBy("node").agg(F.count(F.lit(1)).alias("templates"), F.sum("documents").alias("total")).where(f"templates > 1 and total >= {min_documents}")
-        lines = staged(by_hot_key(rest, staged(live.drop("total"), "line-live"), "node", "templates", F.col("key")).drop("templates"), "line-parts")
+        lines = staged(by_hot_key(rest, staged(live.drop("total"), "line-live", scratch), "node", "templates", F.col("key")).drop("templates"), "line-parts", scratch)
         if not lines.limit(1).count():
             break
     enough = found.groupBy("node").agg(F.count(F.lit(1)).alias("templates"), F.sum("documents").alias("met")).where(f"met >= {min_documents}")
-    fit = by_hot_key(found.select("node", "key"), staged(enough, "line-enough"), "node", "templates", F.col("key"))
+    fit = by_hot_key(found.select("node", "key"), staged(enough, "line-enough", scratch), "node", "templates", F.col("key"))
     return fit.select("key", F.unhex(F.md5(F.concat(F.lit("leaf:"), F.col("node").cast("string")))).alias("merged"))
 
 

@@ -20,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import SALTS, arrow_batches, staged
+from .store import SALTS, arrow_batches, staged, trimmed
 
 CAPACITY = 2048
 #: Tokenizer files are given by name; public_tokenizers.path(name) is their place on any machine.
 TOKENIZER = "word_bpe_49k.json"
 END = 0
 #: Words, and parts of words, that an encoder keeps; longer ones are encoded where they are met.
-_WORDS, _LONG = 400_000, 200
+_WORDS, _LONG = 150_000, 200
 #: Python cuts at these controls, the tokenizer does not.
 _SEPARATORS = "[\x1c-\x1f]"
 #: Words of these alone are cut and lowered here; other ones go through the whole tokenizer. No special token is one.
@@ -178,7 +178,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(trimmed(cut), schema)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> list[int]:
@@ -275,7 +275,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    placed = ranked.select(*names, (F.col("__base") + F.col("__place")).alias("__rank")).mapInArrow(put, schema)
+    placed = ranked.select(*names, (F.col("__base") + F.col("__place")).alias("__rank")).mapInArrow(trimmed(put), schema)
     whole = cut.where(F.col("length") == capacity).select(*names, (F.monotonically_increasing_id() + F.lit(sum(n for _, n in bins))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(whole)
 

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +21,7 @@ HOT_SHARE = 1000
 #: Ways in which the rows of a hot key are split.
 SALTS = 32
 #: Rows and bytes in an Arrow batch: bound what a Python worker holds, also where texts are long.
-BATCH_ROWS, BATCH_BYTES = 4000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 4000, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,12 +51,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a DataFrame once in the shared folder and reads it from there: lineage ends, lost executors cost nothing."""
+def staged(df: DataFrame, name: str, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """Writes a DataFrame once in the shared folder and reads it from there: lineage ends, lost executors cost nothing.
+
+    Tables noted in ``scratch`` can go together, by ``release``.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    if scratch is not None:
+        scratch.append(found)
+    return found
+
+
+def release(scratch: list[DataFrame]) -> None:
+    """Deletes staged tables that nothing still to be computed needs, and lets Spark drop the shuffles behind them."""
+    if scratch:
+        spark = scratch[0].sparkSession
+        for table in scratch:
+            discard(table)
+        scratch.clear()
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver's JVM finds their plans unused
 
 
 def discard(df: DataFrame) -> None:
@@ -64,6 +86,20 @@ def discard(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def trimmed(task):
+    """A function of Arrow batches that gives back what its process holds but does not use, when a task ends: workers live on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def fresh_name(name: str, taken: list[str]) -> str:
     """A column name that is not taken, in any case: underscores come first where it is."""
     while name.lower() in {t.lower() for t in taken}:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_ROWS, arrow_batches, fresh_name, staged
+from .store import BROADCAST_ROWS, arrow_batches, fresh_name, staged, trimmed
 
 #: Expressions that go to every task (8 + 4 bytes each), the heaviest; texts meet all others by a join.
 HEAVY = 1 << 20
@@ -34,7 +34,7 @@ CALIBRATION_PART = 4
 #: Weight of the prior that keeps calibration weights small.
 RIDGE = 1.0
 _STRIP = b".,;:!?\"'()[]{}<>#$%&*|~`"
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 def expressions(text: str | None, cache: dict) -> np.ndarray:
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = counted.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n"), "__toxic").agg(F.min("__id").alias("__id")).select("__id")
     chosen = staged(chosen, "toxicity-texts")
     train = labelled.join(F.broadcast(chosen) if few else chosen, "__id", "left_semi").select("text", "__toxic")
-    counts = train.mapInArrow(_counted, "key long, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = train.mapInArrow(trimmed(_counted), "key long, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = staged(counts, "toxicity-counts")
     total = counts.agg(F.sum("clean"), F.sum("toxic"), *[F.sum((F.col(c) == k).cast("long")) for c in ("clean", "toxic") for k in (1, 2)]).first()
     totals = np.array([total[0] or 0, total[1] or 0], float)
@@ -225,8 +225,8 @@ def _measured(rows: DataFrame, model: Model) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", n double, sum double"
     if not wanted:
-        return rows.mapInArrow(first, schema)
-    found = staged(rows.mapInArrow(first, schema + ", missed array<long>").withColumn("content", F.unhex(F.md5(F.coalesce("text", F.lit(""))))), "toxicity-missed")
+        return rows.mapInArrow(trimmed(first), schema)
+    found = staged(rows.mapInArrow(trimmed(first), schema + ", missed array<long>").withColumn("content", F.unhex(F.md5(F.coalesce("text", F.lit(""))))), "toxicity-missed")
     each = found.groupBy("content").agg(F.first("missed").alias("missed"))
     more = each.select("content", F.explode("missed").alias("key")).join(model.rest, "key").groupBy("content").agg(F.sum(F.col("more").cast("double")).alias("more"))
     return found.join(more, "content", "left").select(*names, "n", (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"))
@@ -270,4 +270,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             p = light.scores(np.array([light.sums(w) for w in words], float), np.array([len(w) for w in words], float))
             yield batch.filter(pa.array(p < 0.5))
 
-    return docs.mapInArrow(clean, schema)
+    return docs.mapInArrow(trimmed(clean), schema)
