@@ -169,8 +169,8 @@ def runs_above(track: DataFrame, threshold: float = 0.0, least: int = 1, most: i
 
 
 def call_regions(track: DataFrame, least: int = 50, bridge: int = 0, negated: bool = False, keys: list[str] | None = None) -> DataFrame:
-    """Positive regions with their largest value and centre; ``negated`` calls breakpoints on the turned signal."""
+    """Positive regions with their largest value and centre, halves cut towards zero; ``negated`` calls breakpoints on the turned signal."""
     keys = keys or ["chrom"]
     signal = track.withColumn("value", -F.col("value")) if negated else track
     found = runs_above(signal, 0, least, keys=keys, gap=bridge)
-    return found.select(*keys, "start", "end", F.floor((F.col("start") + F.col("end")) / 2).alias("centre"), F.col("top").alias("score"), "length")
+    return found.select(*keys, "start", "end", F.expr("(start + end) div 2").alias("centre"), F.col("top").alias("score"), "length")

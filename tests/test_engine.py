@@ -97,6 +97,15 @@ def test_runs_and_regions(spark):
     assert [(r["start"], r["end"], r["value"]) for r in signals.compressed(spark.createDataFrame([("c", 0, 2, 1), ("c", 2, 5, 1), ("c", 6, 7, 1)], "chrom string, start long, end long, value int"), ["chrom"]).orderBy("start").collect()] == [(0, 5, 1), (6, 7, 1)]
 
 
+def test_centres_of_regions_are_those_of_the_sql(spark):
+    import duckdb
+
+    rows = [(-56, 55), (-60, -3), (-70, -10), (100, 151), (200, 260)]
+    track = spark.createDataFrame([(f"c{i}", s, e, 1) for i, (s, e) in enumerate(rows)], "chrom string, start long, end long, value int")
+    want = [duckdb.connect().execute(f"select ({s} + {e}) // 2").fetchone()[0] for s, e in rows]
+    assert [r["centre"] for r in signals.call_regions(track).orderBy("chrom").collect()] == want
+
+
 def test_interval_algebra_against_bases(spark):
     rng = np.random.default_rng(2)
     for _ in range(3):
