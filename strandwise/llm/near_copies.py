@@ -1,8 +1,9 @@
 """Near copies by the Jaccard similarity of word shingles, without loss: a prefix join, and a check of whole sets.
 
-A text is the set of its shingles' hashes. In the order of the hashes, two sets of similarity s share one of the first
-n - ceil(s * n) + 1 of each, so texts meet under these keys alone. The keys that two sets share bound what they share
-at most; pairs that can reach the similarity are verified on all shingles.
+A text is the set of its shingles' hashes. In any order of all hashes, two sets of similarity s share one of the
+first n - ceil(s * n) + 1 of each, so texts meet under these keys alone. The keys that two sets share bound what they
+share at most; pairs that can reach the similarity are verified on all shingles. Shingles that are common in a bounded
+number of texts come last in the order: so few texts meet by chance, and which ones are listed changes no result.
 A first round verifies few pairs for each key, which links large groups; a second one verifies every pair that is not
 linked by then.
 """
@@ -15,7 +16,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .simhash import BUCKET, SEED, components
@@ -24,6 +25,8 @@ from .store import arrow_batches, by_hot_key, fresh_name, release, small, staged
 SHINGLE, SIMILARITY = 5, 0.8
 #: Candidate pairs that a task gathers before it hands on the different ones.
 PAIRS = 1 << 18
+#: Texts, about, that tell which shingles are common, and how many shingles are listed as such: the order alone depends on them.
+COMMON_TEXTS, COMMON = 20_000, 1 << 18
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -31,8 +34,12 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.int64)
-    found = {xxhash.xxh64_intdigest(b" ".join(words[i:i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))}
-    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - shingle + 1)
+    raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1:].tolist())])
+    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64))
 
 
 def prefix(n: int, similarity: float = SIMILARITY) -> int:
@@ -41,6 +48,30 @@ def prefix(n: int, similarity: float = SIMILARITY) -> int:
     return n + 1 - -(-n * share.numerator // share.denominator) if n else 0
 
 
+def common_shingles(texts: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of shingles in several of COMMON_TEXTS texts, about, and in how many; the most common ones, COMMON at most."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *[shingles(t, shingle) for t in batch.column(0).to_pylist()]]))], ["key"])
+
+    steps = 1 << 20
+    share = steps * COMMON_TEXTS // max(texts.count(), COMMON_TEXTS)
+    some = texts.where(F.pmod(F.col("hash"), F.lit(steps)) < share).dropDuplicates(["hash"]).select("text")
+    keys = some.mapInArrow(trimmed(listed), "key long").groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("texts"))
+    found = keys.where("texts > 1").orderBy(F.desc("texts"), "key").limit(COMMON).toArrow()
+    key, count = found.column("key").to_numpy(), found.column("texts").to_numpy()
+    order = np.argsort(key)
+    return key[order], count[order]
+
+
+def head(own: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The hashes of a set under which it meets others: the least common ones, by hash where they are equally common."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        own = own[np.argsort(np.where(common[at] == own, counts[at], 0), kind="stable")]
+    return own[: prefix(len(own), similarity)]
+
+
 def _close(a: np.ndarray, b: np.ndarray, share: Fraction) -> np.ndarray:
     return share.denominator * np.minimum(a, b) >= share.numerator * np.maximum(a, b)
 
@@ -124,7 +155,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             sets = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            heads = pa.array([s[:prefix(len(s), similarity)].tolist() for s in sets], pa.list_(pa.int64()))
+            heads = [head(s, *common, similarity) for s in sets]
+            cuts = np.cumsum([0, *map(len, heads)], dtype=np.int32)
+            heads = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.empty(0, np.int64), *heads])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), heads], ["doc_id", "hash", "node", "n", "head"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,19 +180,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = texts.join(small(staged(nodes, f"near-nodes-{name}", used)), "hash").select("node", "text").dropDuplicates(["node"])
         own = staged(own.mapInArrow(trimmed(whole), "node long, own binary"), f"near-sets-{name}", used)
         sides = [own.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in ("u", "v")]
-        links = staged(pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "own_u", "own_v").mapInArrow(trimmed(similar), "u long, v long"), f"near-links-{name}")
+        near = staged(pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "own_u", "own_v").mapInArrow(trimmed(similar), "u long, v long"), f"near-links-{name}")
         release(used)
-        return links
+        return near
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    own = staged(texts.select("doc_id", "text", "hash").mapInArrow(trimmed(keyed), "doc_id long, hash long, node long, n long, head array<long>"), "near-own")
+    common = common_shingles(texts, shingle)
+    keys = staged(texts.select("doc_id", "text", "hash").mapInArrow(trimmed(keyed), "doc_id long, hash long, node long, n long, head array<long>"), "near-keys")
+    own = staged(keys.select("doc_id", "hash", "node"), "near-own")
     firsts = staged(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("hash").alias("hash"), F.count(F.lit(1)).alias("copies")), "near-firsts")
-    heads = own.select("node", "n", "head").dropDuplicates(["node"]).select(F.explode("head").alias("key"), "n", "node")
+    heads = keys.select("node", "n", "head").dropDuplicates(["node"]).select(F.explode("head").alias("key"), "n", "node")
+    heads = heads.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("members > 1")
+    heads = staged(heads.select("key", "members", "n", "node"), "near-shared")
+    release([keys])
     used: list[DataFrame] = []
-    heads = staged(heads, "near-heads", used)
-    shared = staged(heads.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-keys", used)
-    heads = staged(heads.join(shared, "key").select("key", "members", "n", "node"), "near-shared")
-    release(used)
 
     def walk(rows: DataFrame, every: bool) -> DataFrame:
         return rows.select("key", "n", "node", "root").repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(trimmed(_pairs(share, every)), "v long, u long, n_v long, n_u long, keys long")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import SALTS, arrow_batches, staged, trimmed
+from .store import KEPT, SALTS, arrow_batches, staged, trimmed
 
 CAPACITY = 2048
 #: Tokenizer files are given by name; public_tokenizers.path(name) is their place on any machine.
@@ -132,16 +132,13 @@ class Encoder:
         return ids, counts
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(tokenizer: str) -> Encoder:
-    """One encoder for each worker process, so that later tasks find what earlier ones kept."""
+    """One encoder for each worker process, so that later tasks find what earlier ones kept, until the worker does other work."""
     import public_tokenizers
 
-    if tokenizer not in _ENCODERS:
-        _ENCODERS[tokenizer] = Encoder(public_tokenizers.path(tokenizer))
-    return _ENCODERS[tokenizer]
+    if tokenizer not in KEPT:
+        KEPT[tokenizer] = Encoder(public_tokenizers.path(tokenizer))
+    return KEPT[tokenizer]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, ids: bool = True) -> DataFrame:
@@ -178,7 +175,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(trimmed(cut), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(trimmed(cut, keeps=True), schema)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> list[int]:

@@ -86,9 +86,23 @@ def discard(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def trimmed(task):
-    """A function of Arrow batches that gives back what its process holds but does not use, when a task ends: workers live on."""
+#: What tasks of one kind leave in their worker for the next ones.
+KEPT: dict = {}
+
+
+def forget() -> None:
+    """Drops ``KEPT`` of this process; a function of the module, as tasks would take a copy of the table along."""
+    KEPT.clear()
+
+
+def trimmed(task, keeps: bool = False):
+    """A function of Arrow batches that gives back what its process holds but does not use, when a task ends: workers live on.
+
+    Unless it ``keeps`` them, what tasks of other kinds left in the worker goes too.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
         try:
             yield from task(batches)
         finally:

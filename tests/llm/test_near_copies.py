@@ -1,6 +1,7 @@
 """Near copies against every pair's Jaccard similarity."""
 
 import numpy as np
+from pyspark.sql import functions as F
 from strandwise.llm import near_copies
 
 
@@ -37,3 +38,15 @@ def test_near_copies_brute_force(spark, monkeypatch):
         got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
         assert got == want
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_common_passages_bring_no_texts_together(spark):
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{x}" for x in range(60))
+    docs = [(i, passage + " " + " ".join(f"u{i}x{x}" for x in rng.integers(0, 9999, 80))) for i in range(30)]
+    texts = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hash", F.xxhash64("text"))
+    common = near_copies.common_shingles(texts)
+    assert set(common[0]) == set.intersection(*[set(near_copies.shingles(t)) for _, t in docs])
+    heads = [near_copies.head(near_copies.shingles(t), *common) for _, t in docs]
+    assert all(len(h) == near_copies.prefix(len(near_copies.shingles(t))) for h, (_, t) in zip(heads, docs))
+    assert len(np.unique(np.concatenate(heads))) == sum(map(len, heads))
