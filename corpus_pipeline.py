@@ -25,7 +25,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; rows without an id stay."""
+    """The document with the smallest id of each group that SimHash or the similarity of shingles links; rows without an id stay."""
     return near_copies.one_of_each(docs)
 
 

@@ -1,6 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles, without loss: a prefix join, and a check of whole sets.
+"""Near copies by SimHash, and by the Jaccard similarity of word shingles, without loss: a prefix join, and a check of whole sets.
 
-A text is the set of its shingles' hashes. In any order of all hashes, two sets of similarity s share one of the
+SimHash links fingerprints within a distance (``simhash``: partitions and thresholds by the pigeonhole principle). Texts
+that are similar by their shingles but farther apart by fingerprints are linked by a join beside it.
+There a text is the set of its shingles' hashes. In any order of all hashes, two sets of similarity s share one of the
 first n - ceil(s * n) + 1 of each, so texts meet under these keys alone. The keys that two sets share bound what they
 share at most; pairs that can reach the similarity are verified on all shingles. Shingles that are common in a bounded
 number of texts come last in the order: so few texts meet by chance, and which ones are listed changes no result.
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .simhash import BUCKET, SEED, components
+from .simhash import BUCKET, DISTANCE, SEED, components, fingerprint, links
 from .store import arrow_batches, by_hot_key, fresh_name, release, small, staged, trimmed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -142,9 +144,20 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _edges_of_prints(own: DataFrame, distance: int) -> DataFrame:
+    """Edges (u, v) of the nodes whose fingerprints SimHash links: each node with the smallest of its component."""
+    prints = staged(own.select("node", "print").distinct(), "near-prints")
+    stars = components(links(staged(prints.select("print").distinct(), "near-distinct"), distance))
+    rooted = prints.join(stars.select(F.col("node").alias("print"), "root"), "print", "left").select("node", F.coalesce("root", "print").alias("root"))
+    rooted = staged(rooted.distinct(), "near-print-roots")
+    least = staged(rooted.groupBy("root").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "near-print-least")
+    return staged(by_hot_key(rooted, least, "root", "nodes", F.col("node")).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")), "near-print-links")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int | None = None) -> DataFrame:
     """doc_id, component_id for each row of ``docs``: the smallest id that links of the similarity or more reach.
 
+    With a ``distance`` fingerprints that differ in so many bits at most are links too (SimHash).
     Texts without words link with each other alone. Null ids take no part in the smallest (null if there is no other).
     Repeated rows get equal rows, an empty table an empty result; other columns are not read.
     """
@@ -155,10 +168,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             sets = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            prints = [fingerprint(t) if distance is not None else bytes(8) for t in batch.column(1).to_pylist()]
+            prints = np.frombuffer(b"".join(prints), ">i8").astype(np.int64)
             heads = [head(s, *common, similarity) for s in sets]
             cuts = np.cumsum([0, *map(len, heads)], dtype=np.int32)
             heads = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.empty(0, np.int64), *heads])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), heads], ["doc_id", "hash", "node", "n", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), heads], ["doc_id", "hash", "node", "print", "n", "head"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +201,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     common = common_shingles(texts, shingle)
-    keys = staged(texts.select("doc_id", "text", "hash").mapInArrow(trimmed(keyed), "doc_id long, hash long, node long, n long, head array<long>"), "near-keys")
-    own = staged(keys.select("doc_id", "hash", "node"), "near-own")
+    keys = staged(texts.select("doc_id", "text", "hash").mapInArrow(trimmed(keyed), "doc_id long, hash long, node long, print long, n long, head array<long>"), "near-keys")
+    own = staged(keys.select("doc_id", "hash", "node", "print"), "near-own")
     firsts = staged(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("hash").alias("hash"), F.count(F.lit(1)).alias("copies")), "near-firsts")
     heads = keys.select("node", "n", "head").dropDuplicates(["node"]).select(F.explode("head").alias("key"), "n", "node")
     heads = heads.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("members > 1")
@@ -199,6 +214,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return rows.select("key", "n", "node", "root").repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(trimmed(_pairs(share, every)), "v long, u long, n_v long, n_u long, keys long")
 
     linked = verified(walk(heads.withColumn("root", F.col("node")), False), 0.25, "first")  # counts are partial here
+    if distance is not None:
+        linked = linked.unionByName(_edges_of_prints(own, distance))
     stars = components(linked)
     rooted = heads.join(stars, "node", "left").select("key", "members", "n", "node", F.coalesce("root", "node").alias("root"))
     rooted = staged(rooted, "near-rooted", used)
@@ -220,11 +237,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; rows with a null id stay, as they cannot be named.
+    """The rows of ``docs`` whose id is their component's, by SimHash's links and those of the similarity; rows with a null id stay, as they cannot be named.
 
     Rows that repeat an id count as one document, which goes only if each of its rows goes.
     """
     name = fresh_name("kept", docs.columns)
-    found = near_copies(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    found = near_copies(docs, id_col, text_col, distance=DISTANCE).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     kept = docs.join(found.hint("merge"), F.col(id_col).cast("long") == F.col(name), "left_semi")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

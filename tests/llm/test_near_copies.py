@@ -1,8 +1,9 @@
 """Near copies against every pair's Jaccard similarity."""
 
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
-from strandwise.llm import near_copies
+from strandwise.llm import near_copies, simhash
 
 
 def brute(docs, least=0.8):
@@ -40,6 +41,27 @@ def test_near_copies_brute_force(spark, monkeypatch):
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_stage_links_by_fingerprints_and_by_similarity(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    words = lambda k: " ".join(f"t{x}" for x in rng.integers(0, 9999, k))
+    docs = [(i, "alpha beta gamma " * 90 + words(12)) for i in range(6)]  # repeats rule the fingerprints, not the sets
+    base = [words(60) for _ in range(8)]
+    docs += [(100 + 10 * i + j, t if not j else t.rsplit(" ", 4 * j)[0]) for i, t in enumerate(base) for j in range(3)]
+    prints = {i: int.from_bytes(simhash.fingerprint(t), "big") for i, t in docs}
+    near = brute(docs)
+    group = dict(near)
+    for i in prints:
+        for j in prints:
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    assert any(group[i] != near[i] for i in group)
+    assert any(group[i] == group[j] and (prints[i] ^ prints[j]).bit_count() > 3 for i, j in ((100 + 10 * k, 101 + 10 * k) for k in range(8)))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, rows, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group.values()))
+
+
 def test_common_passages_bring_no_texts_together(spark):
     rng = np.random.default_rng(9)
     passage = " ".join(f"p{x}" for x in range(60))
