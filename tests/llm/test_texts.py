@@ -216,6 +216,18 @@ def test_network_spans_by_brute_force(spark):
     assert got == sorted(want) and any(k == "network" for *_, spans in got for *_, k in spans)
 
 
+def test_all_findings_train(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "STEPS", 1)
+    docs = [(i, f"key token={'q' * 8}{i:012d} and code_{i:014d}x") for i in range(2500)]
+    seen = []
+    inner = secrets.refined
+    monkeypatch.setattr(secrets, "refined", lambda net, found, x, y: seen.append(found) or inner(net, found, x, y))
+    network = secrets.fit(table(spark, docs))
+    n = {(r["secret"], r["held"]): r["n"] for r in seen[0].groupBy("secret", "held").agg(F.sum("n").alias("n")).collect()}
+    assert all(sum(v for (label, _), v in n.items() if label == k) >= 2500 for k in (True, False))
+    assert network.recall >= secrets.RECALL
+
+
 def test_recall_threshold():
     rng = np.random.default_rng(5)
     for _ in range(30):
