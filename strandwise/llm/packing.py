@@ -9,7 +9,6 @@ as the counts allow. Pieces get their places by rank within their length, so no
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,30 +30,37 @@ _WORDS, _LONG = 150_000, 200
 #: Python cuts at these controls, the tokenizer does not.
 _SEPARATORS = "[\x1c-\x1f]"
 #: Words of these alone are cut and lowered here; other ones go through the whole tokenizer. No special token is one.
-_PLAIN = re.compile("(?!.*<\\|)[!-~\u00a1-\u017f]+")
+_PLAIN = "^[!-~\u00a1-\u017f]+$"
+#: The pattern by which they are cut: no match holds white space or depends on what stands around it.
+_CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class _Kept:
-    """Ids of strings, flat, and where those of each string are; the first ``most`` strings are kept for good."""
+    """Ids of strings, flat, and where those of each string are; the first ``most`` that are not long are kept for good."""
 
     def __init__(self, most: int) -> None:
-        self.most, self.at = most, {}
+        self.most, self.strings = most, pa.array([], pa.string())
         self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def found(self, strings: list[str], encode) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def found(self, strings: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(flat, starts, lengths, k): string i has the ids flat[starts[k[i]]:][:lengths[k[i]]]. Strings differ."""
-        k = np.fromiter((self.at.get(x, -1) for x in strings), np.int64, len(strings))
+        k = pc.fill_null(pc.index_in(strings, value_set=self.strings), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.flatnonzero(k < 0)
         if not len(missing):
             return self.flat, self.starts, self.lengths, k
-        fresh = [strings[i] for i in missing.tolist()]
+        fresh = strings.take(pa.array(missing))
+        room = self.most - len(self.strings)
+        if room:  # those to be kept come first
+            short = pc.less_equal(pc.binary_length(fresh), _LONG).to_numpy(zero_copy_only=False)
+            order = np.argsort(~short, kind="stable")
+            missing, fresh, room = missing[order], fresh.take(pa.array(order)), min(room, int(short.sum()))
         ids, n = encode(fresh)
-        first = len(self.lengths)
-        flat, starts, lengths = np.append(self.flat, ids), np.append(self.starts, len(self.flat) + np.cumsum(n) - n), np.append(self.lengths, n)
+        first, end = len(self.lengths), len(self.flat)
+        flat, starts, lengths = np.append(self.flat, ids), np.append(self.starts, end + np.cumsum(n) - n), np.append(self.lengths, n)
         k[missing] = first + np.arange(len(fresh))
-        if first + len(fresh) <= self.most:
-            self.flat, self.starts, self.lengths = flat, starts, lengths
-            self.at.update(zip(fresh, range(first, first + len(fresh))))
+        if room:
+            self.strings = pa.concat_arrays([self.strings, fresh[:room]])
+            self.flat, self.starts, self.lengths = flat[: end + int(n[:room].sum())].copy(), starts[: first + room].copy(), lengths[: first + room].copy()
         return flat, starts, lengths, k
 
 
@@ -83,32 +89,32 @@ class Encoder:
         steps = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", ())]
         cuts = (form["pre_tokenizer"] or {}).get("pretokenizers", ())
         self.pattern = None
-        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]:
-            self.pattern = regex.compile(cuts[0]["pattern"]["Regex"])
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["invert"] and cuts[0]["pattern"].get("Regex") == _CUT and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]:
+            self.pattern = regex.compile(f"{_CUT}|\n")
             self.parts = Tokenizer(self.whole.model)
             self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words, self.pieces = _Kept(_WORDS), _Kept(_WORDS)
 
-    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        e = self.parts.encode(" ".join(parts), add_special_tokens=False)
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        e = self.parts.encode(" ".join(parts.to_pylist()), add_special_tokens=False)
         return np.array(e.ids, np.uint32), np.bincount(np.fromiter(e.word_ids, np.int64, len(e.ids)), minlength=len(parts))
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words and their counts: in order, plain ones by their parts."""
-        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w)]
-        cut = [self.pattern.findall(words[i].lower()) for i in plain]
-        flat = [p for parts in cut for p in parts]
-        different = list(dict.fromkeys(flat))
-        at = dict(zip(different, range(len(different))))
-        table = self.pieces.found(different, self._parts)
-        ids, n = _gathered(*table[:3], table[3][np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))])
-        tokens = np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, cut)])])
-        if len(plain) == len(words):
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and their counts: in order, plain ones by their parts, which are cut all at once."""
+        plain = pc.and_not(pc.match_substring_regex(words, _PLAIN), pc.match_substring(words, "<|"))
+        cut = pa.array(self.pattern.findall("\n".join([*words.filter(plain).to_pylist(), ""]).lower()), pa.string())
+        ends = np.flatnonzero(pc.equal(cut, "\n").to_numpy(zero_copy_only=False))
+        flat = cut.filter(pc.not_equal(cut, "\n")).dictionary_encode()
+        table = self.pieces.found(flat.dictionary, self._parts)
+        ids, n = _gathered(*table[:3], table[3][flat.indices.to_numpy()])
+        tokens = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends - np.arange(len(ends))])])
+        if len(tokens) == len(words):
             return ids, tokens
-        odd = sorted(set(range(len(words))) - set(plain))
-        whole = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch([words[i] for i in odd], add_special_tokens=False)]
-        both = [*np.split(ids, np.cumsum(tokens)[:-1]), *whole] if plain else whole
-        order = np.argsort(np.array([*plain, *odd]))
+        plain = plain.to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(~plain)
+        whole = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(words.take(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+        both = [*np.split(ids, np.cumsum(tokens)[:-1]), *whole] if len(tokens) else whole
+        order = np.argsort(np.concatenate([np.flatnonzero(plain), odd]))
         return np.concatenate([both[i] for i in order]), np.array([len(both[i]) for i in order], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,10 +123,11 @@ class Encoder:
         if self.pattern is None:
             found = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
-        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _SEPARATORS).to_numpy(zero_copy_only=False), bool))
-        cut = pc.utf8_split_whitespace(pc.if_else(pc.match_substring_regex(texts, _SEPARATORS), "", texts))
+        parted = pc.match_substring_regex(texts, _SEPARATORS)
+        odd = np.flatnonzero(np.asarray(parted.to_numpy(zero_copy_only=False), bool))
+        cut = pc.utf8_split_whitespace(pc.if_else(parted, "", texts))
         words = cut.flatten().dictionary_encode()
-        table = self.words.found(words.dictionary.to_pylist(), self._words)
+        table = self.words.found(words.dictionary, self._words)
         ids, n = _gathered(*table[:3], table[3][words.indices.to_numpy()])
         run = np.concatenate([[0], np.cumsum(n)])
         counts = np.diff(run[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))])])

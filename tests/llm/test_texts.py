@@ -346,6 +346,23 @@ def test_tokens_of_a_tokenizer_that_keeps_white_space():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_keeps_as_many_words_as_there_is_room_for(monkeypatch):
+    monkeypatch.setattr(packing, "_WORDS", 3)
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    encoder, whole = packing.Encoder(path), Tokenizer.from_file(path)
+    texts = ["x" * 300 + " one Two, don't 中文 four five", "five one " + "x" * 300 + " six", "", None, "one"]
+    for _ in range(2):
+        ids, n = encoder.encode(pa.array(texts))
+        want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+        assert len(encoder.words.lengths) == len(encoder.pieces.lengths) == 3  # a batch with more of them than that, and no long one
+        assert len(encoder.words.flat) < 20
+
+
+
 def test_fullest_is_best_by_brute_force():
     from itertools import product
 
