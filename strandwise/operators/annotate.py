@@ -19,8 +19,11 @@ UNASSIGNED = "NA"
 
 
 def state_labels(points: DataFrame, states: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
-    """Each point's states, sorted and joined by a bar; points in none are NA."""
-    found = point_join(points, states, "left")
+    """Each point's states, sorted and joined by a bar; points in none are NA.
+
+    Points meet the merged intervals of each state: a row for each state of a point, however many intervals hold it.
+    """
+    found = point_join(points, merged(states.select("chrom", label, "s", "e"), ["chrom", label]), "left")
     return found.groupBy(*keys).agg(F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set(f"r_{label}")), "|"), F.lit("")), F.lit(UNASSIGNED)).alias("state"))
 
 
