@@ -63,3 +63,10 @@ def test_distance_histogram(stack):
                         want[q, d, chrom, same, 0] += 1
     assert Counter({(r["ord"], r["distance"], r["chrom"], r["state"], r["all_states"]): r["n"] for r in got}) == want
     assert most <= 10 * len(peaks)
+
+
+def test_peak_state_labels(stack):
+    peaks, states, p, s = stack
+    got, most = rows_made(catalog.peak_state_labels(p, s))
+    assert {r["event_id"]: r["state"] for r in got} == {k: "|".join(sorted({x for _, x in over(states, c, q)})) or "NA" for k, c, q, *_ in peaks}
+    assert most <= len(LABELS) * len(peaks)
