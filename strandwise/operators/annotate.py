@@ -95,9 +95,10 @@ def gene_sets(genes: DataFrame, states: DataFrame, rules: dict[str, str], exclud
     """(gene, set): genes whose overlapping states fulfil a set's rule, less the candidates of the sets that it excludes.
 
     Without any exclusion, genes in more than one candidate set are in none. ``leftover`` names the set of genes that
-    are in no candidate set.
+    are in no candidate set. Genes meet the merged intervals of each state.
     """
-    met = overlap_join(genes, states, "inner").groupBy(gene).agg(F.collect_set(f"r_{label}").alias("states"))
+    own = merged(states.select("chrom", label, "s", "e"), ["chrom", label])
+    met = overlap_join(genes, own, "inner").groupBy(gene).agg(F.collect_set(f"r_{label}").alias("states"))
     candidates = met.select(gene, *[rule_expression(r).alias(n) for n, r in rules.items()])
     if exclude:
         final = {n: F.col(n) & ~F.greatest(F.lit(False), F.lit(False), *[F.col(x) for x in exclude.get(n, [])]) for n in rules}

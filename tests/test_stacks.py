@@ -70,3 +70,31 @@ def test_peak_state_labels(stack):
     got, most = rows_made(catalog.peak_state_labels(p, s))
     assert {r["event_id"]: r["state"] for r in got} == {k: "|".join(sorted({x for _, x in over(states, c, q)})) or "NA" for k, c, q, *_ in peaks}
     assert most <= len(LABELS) * len(peaks)
+
+
+def gene_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, f"n{k}", f"chr{1 + k % 2}", int(s), int(s + n), "+-"[k % 2]) for k, (s, n) in enumerate(zip(rng.integers(0, 3000, 200), rng.integers(300, 900, 200)))]
+    return rows, spark.createDataFrame(rows, "gene_id long, gene_name string, chrom string, s long, e long, strand string")
+
+
+def met_sets(genes, states):
+    rules = {"active": lambda x: {"a", "b"} <= x or "c" in x, "quiet": lambda x: "e" in x, "mixed": lambda x: bool({"a", "b"} & x) and "d" in x}
+    for k, _, chrom, s, e, _ in genes:
+        met = {label for _, c, a, b, label in states if c == chrom and a < e and s < b}
+        yield k, {n for n, test in rules.items() if test(met)}
+
+
+def renamed(states):
+    """The states under the names that the rules know."""
+    from pyspark.sql import functions as F
+
+    names = F.create_map(*[F.lit(x) for pair in zip(LABELS, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) for x in pair])
+    return states.withColumn("label", names[F.col("label")])
+
+
+def test_gene_sets_with_exclusions(spark, stack):
+    genes, g = gene_rows(spark)
+    got, most = rows_made(catalog.gene_sets_with_exclusions(g, renamed(stack[3])))
+    want = [(k, n) for k, sets in met_sets(genes, stack[1]) for n in sets if n == "quiet" or (n == "active" and "quiet" not in sets) or (n == "mixed" and sets == {"mixed"})]
+    assert sorted((r["gene_id"], r["set_name"]) for r in got) == sorted(want) and most <= len(LABELS) * len(genes)
