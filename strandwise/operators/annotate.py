@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import merged, overlap_join, point_join, subtracted
+from ..functions import numerics
+from .intervals import first_covering, merged, overlap_join, point_join, subtracted
 from .select import masked
 
 UNASSIGNED = "NA"
@@ -29,7 +30,9 @@ def state_labels(points: DataFrame, states: DataFrame, keys: list[str], label: s
 
 def first_state(points: DataFrame, states: DataFrame, keys: list[str], label: str = "label", order: str = "ord") -> DataFrame:
     """Each point's first state in source order; null in none."""
-    return point_join(points, states, "left").groupBy(*keys).agg(F.min_by(f"r_{label}", f"r_{order}").alias("state"))
+    found = first_covering(points, states, order, label).withColumnsRenamed({"chrom": "__c", "pos": "__p"})
+    met = points.join(found, (F.col("chrom") == F.col("__c")) & (F.col("pos") == F.col("__p")), "left")
+    return met.groupBy(*keys).agg(F.min_by(f"r_{label}", f"r_{order}").alias("state"))
 
 
 def state_coverage(states: DataFrame, blacklist: DataFrame | None = None, label: str = "label") -> DataFrame:

@@ -98,3 +98,14 @@ def test_gene_sets_with_exclusions(spark, stack):
     got, most = rows_made(catalog.gene_sets_with_exclusions(g, renamed(stack[3])))
     want = [(k, n) for k, sets in met_sets(genes, stack[1]) for n in sets if n == "quiet" or (n == "active" and "quiet" not in sets) or (n == "mixed" and sets == {"mixed"})]
     assert sorted((r["gene_id"], r["set_name"]) for r in got) == sorted(want) and most <= len(LABELS) * len(genes)
+
+
+def firsts(peaks, states):
+    return {k: next((label for _, label in over(states, c, q)), None) for k, c, q, *_ in peaks}
+
+
+def test_peak_first_state(stack):
+    peaks, states, p, s = stack
+    got, most = rows_made(catalog.peak_first_state(p, s))
+    assert {r["event_id"]: r["state"] for r in got} == firsts(peaks, states)
+    assert most <= 2 * len(states) + 2 * len(peaks)  # two spans of each interval's part of a block
