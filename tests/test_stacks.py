@@ -109,3 +109,14 @@ def test_peak_first_state(stack):
     got, most = rows_made(catalog.peak_first_state(p, s))
     assert {r["event_id"]: r["state"] for r in got} == firsts(peaks, states)
     assert most <= 2 * len(states) + 2 * len(peaks)  # two spans of each interval's part of a block
+
+
+def test_state_enrichment(stack):
+    peaks, states, p, s = stack
+    got, most = rows_made(catalog.state_enrichment(p, s))
+    n = Counter(x for x in firsts(peaks, states).values() if x)
+    bases = {x: sum(len({b for _, c, a, e, label in states if c == chrom and label == x for b in range(a, e)}) for chrom in ("chr1", "chr2")) for x in LABELS}
+    assert {r["label"]: (r["bases"], r["n"]) for r in got} == {x: (bases[x], n[x]) for x in LABELS}
+    for r in got:
+        assert r["enrichment"] == pytest.approx((n[r["label"]] / sum(n.values())) / (bases[r["label"]] / sum(bases.values())), abs=1e-6)
+    assert most <= 2 * len(states) + 2 * len(peaks)
