@@ -120,3 +120,11 @@ def test_state_enrichment(stack):
     for r in got:
         assert r["enrichment"] == pytest.approx((n[r["label"]] / sum(n.values())) / (bases[r["label"]] / sum(bases.values())), abs=1e-6)
     assert most <= 2 * len(states) + 2 * len(peaks)
+
+
+def test_states_in_score_bins(stack):
+    peaks, states, p, s = stack
+    got, most = rows_made(catalog.table_queries.states_in_score_bins(p, s))
+    first = firsts(peaks, states)
+    assert {(r["bin"], r["label"]): r["n"] for r in got} == Counter(((r[5] >= 20) + (r[5] >= 60), first[r[0]] or "unassigned") for r in peaks)
+    assert most <= 2 * len(states) + 2 * len(peaks)
