@@ -128,3 +128,11 @@ def test_states_in_score_bins(stack):
     first = firsts(peaks, states)
     assert {(r["bin"], r["label"]): r["n"] for r in got} == Counter(((r[5] >= 20) + (r[5] >= 60), first[r[0]] or "unassigned") for r in peaks)
     assert most <= 2 * len(states) + 2 * len(peaks)
+
+
+def test_peak_states(stack):
+    peaks, states, p, s = stack
+    got, most = rows_made(catalog.peak_states(p, s))
+    first, cuts = firsts(peaks, states), {q: np.percentile([r[5] for r in peaks], q) for q in (0, 50, 90)}
+    assert {(r["pct"], r["label"]): r["n"] for r in got} == Counter((q, first[r[0]] or "unassigned") for r in peaks for q, cut in cuts.items() if r[5] >= cut)
+    assert most <= 2 * len(states) + 2 * len(peaks)
