@@ -136,3 +136,11 @@ def test_peak_states(stack):
     first, cuts = firsts(peaks, states), {q: np.percentile([r[5] for r in peaks], q) for q in (0, 50, 90)}
     assert {(r["pct"], r["label"]): r["n"] for r in got} == Counter((q, first[r[0]] or "unassigned") for r in peaks for q, cut in cuts.items() if r[5] >= cut)
     assert most <= 2 * len(states) + 2 * len(peaks)
+
+
+def test_gene_sets(spark, stack):
+    genes, g = gene_rows(spark)
+    got, most = rows_made(catalog.gene_sets(g, renamed(stack[3])))
+    sets = dict(met_sets(genes, stack[1]))
+    want = [(k, next(iter(s))) for k, s in sets.items() if len(s) == 1] + [(k, "rest") for k, s in sets.items() if not s]
+    assert sorted((r["gene_id"], r["set_name"]) for r in got) == sorted(want) and most <= len(LABELS) * len(genes)
