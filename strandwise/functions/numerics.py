@@ -46,6 +46,32 @@ def running_median(values: np.ndarray, window: int = 1000) -> np.ndarray:
     return np.concatenate([np.full(before, inner[0]), inner, np.full(len(values) - before - len(inner), inner[-1])])
 
 
+def range_medians(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Medians of values[low:high] (the mean of two middle ones) for many ranges, NaN for empty ones.
+
+    The ranges go together through a wavelet matrix: a level for each bit of the values' ranks, each with the counts
+    of zero bits, so a range costs a few steps a level however long it is.
+    """
+    n = high - low
+    if not len(values) or not len(low):
+        return np.full(len(low), np.nan)
+    levels, ranks = np.unique(values, return_inverse=True)
+    sides = []
+    for k in (np.maximum(n - 1, 0) // 2, np.maximum(n, 1) // 2):
+        now, a, b, code = ranks, low.copy(), high.copy(), np.zeros(len(low), np.int64)
+        for bit in range(max(len(levels) - 1, 1).bit_length() - 1, -1, -1):
+            one = (now >> bit) & 1 == 1
+            zeros = np.concatenate([[0], np.cumsum(~one)])
+            a0, b0 = zeros[a], zeros[b]
+            up = k >= b0 - a0
+            k = np.where(up, k - (b0 - a0), k)
+            code = np.where(up, code | (1 << bit), code)
+            a, b = np.where(up, a - a0 + zeros[-1], a0), np.where(up, b - b0 + zeros[-1], b0)
+            now = np.concatenate([now[~one], now[one]])
+        sides.append(levels[np.where(n > 0, code, 0)].astype(float))
+    return np.where(n > 0, (sides[0] + sides[1]) / 2, np.nan)
+
+
 def moving_average_by_distance(distances: np.ndarray, values: np.ndarray, window: float) -> np.ndarray:
     """Mean of the values within half a window of each distance; distances rise."""
     half = (window - 1) / 2

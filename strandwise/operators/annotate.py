@@ -7,8 +7,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +16,8 @@ from .intervals import first_covering, merged, overlap_join, point_join, subtrac
 from .select import masked
 
 UNASSIGNED = "NA"
+#: Bases of a block whose regions one task compares with their points.
+SPACING_BLOCK = 1 << 16
 
 
 def state_labels(points: DataFrame, states: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
@@ -177,12 +178,34 @@ def gene_regions(genes: DataFrame, flank: int = 10_000) -> DataFrame:
     return genes.select(*rest, F.explode(parts).alias("x")).select(*rest, "x.region", F.col("x.i.a").alias("s"), F.col("x.i.b").alias("e"))
 
 
-def adjacent_spacing(regions: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points in each region and the median distance of neighbours; null for fewer than two."""
-    inside = point_join(points.select("chrom", "pos").distinct(), regions, "inner").select(*[F.col(f"r_{k}").alias(k) for k in keys], "pos")
+def adjacent_spacing(regions: DataFrame, points: DataFrame, keys: list[str], block: int = SPACING_BLOCK) -> DataFrame:
+    """Points in each region and the median distance of neighbours; null for fewer than two, no row without points.
+
+    Regions go to the block that they begin in, with the points up to the farthest end; there the counts are
+    differences of ranks and the medians come from all gaps at once, so no pair of region and point is made. Regions
+    that share their keys are one region; these, if any, are joined with their points.
+    """
+    own = regions.where("e > s").select("chrom", "s", "e", *keys, F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("__same"))
+    places = points.select("chrom", "pos").where("chrom is not null and pos is not null").distinct()
+    single = own.where("__same = 1").drop("__same").withColumn("__block", F.floor(F.col("s") / F.lit(block)))
+    reach = single.groupBy("chrom", "__block").agg(F.max("e").alias("e")).select("chrom", "__block", (F.col("__block") * block).alias("s"), "e")
+    dealt = point_join(places, reach).select("chrom", F.col("r___block").alias("__block"), "pos")
+
+    def worked(key: tuple, asked: pa.Table, seen: pa.Table) -> pa.Table:
+        at = np.sort(seen["pos"].to_numpy())
+        low, high = np.searchsorted(at, asked["s"].to_numpy()), np.searchsorted(at, asked["e"].to_numpy())
+        held = np.flatnonzero(high > low)
+        low, high = low[held], high[held]
+        spacing = numerics.range_medians(np.diff(at), low, np.maximum(high - 1, low))
+        return pa.table([*[asked[k].take(pa.array(held)) for k in keys], pa.array(high - low), pa.array(spacing, mask=np.isnan(spacing))], [*keys, "peaks", "spacing"])
+
+    types = dict(regions.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", peaks long, spacing double"
+    found = single.groupBy("chrom", "__block").cogroup(dealt.groupBy("chrom", "__block")).applyInArrow(worked, schema)
+    inside = point_join(places, own.where("__same > 1").drop("__same"), "inner").select(*[F.col(f"r_{k}").alias(k) for k in keys], "pos")
     order = Window.partitionBy(*keys).orderBy("pos")  # the points of one region
     gaps = inside.withColumn("gap", F.col("pos") - F.lag("pos").over(order))
-    return gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("peaks"), F.median("gap").cast("double").alias("spacing"))
+    return found.unionByName(gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("peaks"), F.median("gap").cast("double").alias("spacing")))
 
 
 def windowed_signal(anchors: DataFrame, track: DataFrame, half: int, keys: list[str]) -> DataFrame:

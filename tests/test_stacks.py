@@ -144,3 +144,43 @@ def test_gene_sets(spark, stack):
     sets = dict(met_sets(genes, stack[1]))
     want = [(k, next(iter(s))) for k, s in sets.items() if len(s) == 1] + [(k, "rest") for k, s in sets.items() if not s]
     assert sorted((r["gene_id"], r["set_name"]) for r in got) == sorted(want) and most <= len(LABELS) * len(genes)
+
+
+def spacings(genes, peaks):
+    for k, _, chrom, s, e, strand in genes:
+        left, right = (max(0, s - 10_000), s), (e, e + 10_000)
+        for region, (a, b) in {"body": (s, e), "upstream": left if strand == "+" else right, "downstream": right if strand == "+" else left}.items():
+            own = sorted({r[2] for r in peaks if r[1] == chrom and a <= r[2] < b})
+            if own:
+                yield (k, region), (len(own), float(np.median(np.diff(own))) if len(own) > 1 else None)
+
+
+def test_gene_spacing(spark, stack):
+    genes, g = gene_rows(spark)
+    genes.append((900, "far", "chr1", 64_500, 66_000, "-"))  # over the end of a block
+    g = g.unionByName(spark.createDataFrame(genes[-1:], g.schema))
+    got, most = rows_made(catalog.gene_spacing(g, stack[2]))
+    assert {(r["gene_id"], r["region"]): (r["peaks"], r["spacing"]) for r in got} == dict(spacings(genes, stack[0])) and len(got) == len(dict(spacings(genes, stack[0])))
+    assert most <= 3 * len(genes) + 3 * len(stack[0])
+
+
+def test_spacing_of_regions_that_share_keys(spark, stack):
+    from strandwise.operators import annotate
+
+    rows = [(1, "chr1", 0, 300), (1, "chr1", 200, 700), (2, "chr2", 0, 500), (3, "chr1", 500, 500)]
+    got = {r["k"]: (r["peaks"], r["spacing"]) for r in annotate.adjacent_spacing(spark.createDataFrame(rows, "k long, chrom string, s long, e long"), stack[2], ["k"]).collect()}
+    for k in (1, 2):
+        own = sorted(p for _, c, a, b in (r for r in rows if r[0] == k) for p in {r[2] for r in stack[0] if r[1] == c and a <= r[2] < b})
+        assert got[k] == (len(own), np.median(np.diff(own)))
+    assert set(got) == {1, 2}
+
+
+def test_range_medians():
+    from strandwise.functions import numerics
+
+    rng = np.random.default_rng(6)
+    for values in (rng.integers(0, 40, 300), np.full(9, 7), rng.integers(0, 10**9, 64)):
+        low = rng.integers(0, len(values) + 1, 200)
+        high = np.minimum(low + rng.integers(0, 90, 200), len(values))
+        want = [np.median(values[a:b]) if b > a else np.nan for a, b in zip(low, high)]
+        assert np.array_equal(numerics.range_medians(values, low, high), want, equal_nan=True)
