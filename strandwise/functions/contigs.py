@@ -52,6 +52,12 @@ def safe_ratio(top: Column, bottom: Column) -> Column:
     return F.when(odd, F.lit(float("nan"))).when(bottom == 0, over).otherwise(F.try_divide(top, bottom))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's correlation as an aggregate: NaN where a side does not vary (``corr`` divides by zero there), null without pairs."""
+    spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
+    return F.when(F.regr_count(y, x) > 0, F.when(spread == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.regr_sxy(y, x), spread)))
+
+
 def snapped_window(target: Column) -> Column:
     """Widths of smoothing windows: 1 below 11, else one more than a multiple of ten."""
     return F.when(target < 11, F.lit(1)).otherwise(10 * F.floor((target - 1) / 10) + 1).cast("long")

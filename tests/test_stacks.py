@@ -184,3 +184,28 @@ def test_range_medians():
         high = np.minimum(low + rng.integers(0, 90, 200), len(values))
         want = [np.median(values[a:b]) if b > a else np.nan for a, b in zip(low, high)]
         assert np.array_equal(numerics.range_medians(values, low, high), want, equal_nan=True)
+
+
+def test_spacing_expression(spark, stack):
+    genes, g = gene_rows(spark)
+    values = {(k, n): float((k * 7 + len(n)) % 23) for k, *_ in genes for n in ("A", "BB")}
+    x = spark.createDataFrame([(*k, v) for k, v in values.items()], "gene_id long, profile string, value double")
+    got, most = rows_made(catalog.spacing_expression(g, stack[2], x))
+    known = {k: v for k, (_, v) in spacings(genes, stack[0]) if v is not None}
+    want = {}
+    for region in ("body", "upstream", "downstream"):
+        for n in ("A", "BB"):
+            own = [(v, np.log2(values[k, n] + 1)) for (k, r), v in known.items() if r == region]
+            if len(own) >= 30:
+                want[region, n] = (len(own), pytest.approx(np.corrcoef(*zip(*own))[0, 1], abs=2e-6))
+    assert {(r["region"], r["profile"]): (r["genes"], r["r"]) for r in got} == want and want
+    assert most <= 2 * 3 * len(genes) + 3 * len(stack[0])
+
+
+def test_correlation_of_a_constant_side(spark):
+    """All spacings are 1 where every place has a peak: no number, as in the SQL, and no division by zero."""
+    from strandwise.functions import contigs
+
+    rows = [("a", 1.0, 2.0), ("a", 1.0, 5.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0), ("b", 3.0, 5.0), ("b", None, 9.0), ("c", None, 1.0)]
+    got = {r["k"]: r["r"] for r in spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(contigs.correlation("x", "y").alias("r")).collect()}
+    assert np.isnan(got["a"]) and got["b"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 5])[0, 1]) and got["c"] is None
