@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import numerics
 from .intervals import first_covering, merged, overlap_join, point_join, subtracted
 from .select import masked
+from .windows import lists, over_windows, turned
 
 UNASSIGNED = "NA"
 #: Bases of a block whose regions one task compares with their points.
@@ -348,35 +348,35 @@ def expressed(expression: DataFrame, profiles: int, over: float = 0.0, gene: str
     return expression.join(kept, gene, "left_semi")
 
 
-def gene_signal(genes: DataFrame, track: DataFrame, sizes: dict[str, int], window: int = 10_000, blacklist: DataFrame | None = None, gene: str = "gene_id", least_valid: float = 0.0) -> DataFrame:
-    """(gene, signal, valid): values from each gene's start in its direction; windows beyond a contig are left out, as are those with too few valid bases."""
+def gene_windows(genes: DataFrame, sizes: dict[str, int], window: int = 10_000, blacklist: DataFrame | None = None, gene: str = "gene_id", least_valid: float = 0.0) -> DataFrame:
+    """(gene, chrom, strand, s, valid): windows from each gene's start in its direction; those beyond a contig are left out, as are those with too few valid bases."""
     length = F.coalesce(*[F.when(F.col("chrom") == c, F.lit(n)) for c, n in sizes.items()])
     plus = F.col("strand") == "+"
     around = genes.select(gene, "chrom", "strand", F.when(plus, F.col("s")).otherwise(F.col("e") - window).alias("s"), F.when(plus, F.col("s") + window).otherwise(F.col("e")).alias("e"))
     around = around.where((F.col("s") >= 0) & (F.col("e") <= length))
-    runs = track.where("value <> 0").select("chrom", F.col("start").alias("s"), F.col("end").alias("e"), F.col("value").cast("double").alias("value"))
-    piece = F.struct((F.greatest("s", "r_s") - F.col("s")).alias("a"), (F.least("e", "r_e") - F.col("s")).alias("b"), F.col("r_value").alias("v"))
-    met = overlap_join(around, runs).groupBy(gene).agg(F.collect_list(piece).alias("runs"))  # at most a run for each base of the window
-    both = around.join(met, gene, "left")
-    if blacklist is not None:
-        holes = merged(blacklist.select("chrom", "s", "e"), ["chrom"])
-        hidden = overlap_join(around, holes).groupBy(gene).agg(F.sum(F.least("e", "r_e") - F.greatest("s", "r_s")).alias("hidden"))
-        both = both.join(hidden, gene, "left").withColumn("valid", 1 - F.coalesce("hidden", F.lit(0)) / F.lit(window))
-    else:
-        both = both.withColumn("valid", F.lit(1.0))
-    both = both.where(F.col("valid") >= least_valid)
-
-    def laid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, strand, pieces, valid in zip(batch[gene], batch["strand"], batch["runs"], batch["valid"]):
-                signal = np.zeros(window)
-                for p in pieces if pieces is not None else ():
-                    signal[p["a"]:p["b"]] = p["v"]
-                rows.append((name, signal[::-1] if strand == "-" else signal, valid))
-            yield pd.DataFrame(rows, columns=[gene, "signal", "valid"])
-
-    return both.select(gene, "strand", "runs", "valid").mapInPandas(laid, f"{gene} {dict(genes.dtypes)[gene]}, signal array<double>, valid double")
+    if blacklist is None:
+        return around.withColumn("valid", F.lit(1.0)).drop("e")
+    holes = merged(blacklist.select("chrom", "s", "e"), ["chrom"])
+    hidden = overlap_join(around, holes).groupBy(gene).agg(F.sum(F.least("e", "r_e") - F.greatest("s", "r_s")).alias("hidden"))
+    both = around.join(hidden, gene, "left").withColumn("valid", 1 - F.coalesce("hidden", F.lit(0)) / F.lit(window))
+    return both.where(F.col("valid") >= least_valid).drop("e", "hidden")
+
+
+def gene_signal(genes: DataFrame, track: DataFrame, sizes: dict[str, int], window: int = 10_000, blacklist: DataFrame | None = None, gene: str = "gene_id", least_valid: float = 0.0) -> DataFrame:
+    """(gene, signal, valid): values of the windows of ``gene_windows`` in each gene's direction."""
+    def laid(rows: np.ndarray, own: pa.Table) -> pa.Table:
+        return pa.table([own[gene], lists(turned(rows, own)), own["valid"]], [gene, "signal", "valid"])
+
+    return over_windows(gene_windows(genes, sizes, window, blacklist, gene, least_valid), track, window, laid, f"`{gene}` {dict(genes.dtypes)[gene]}, signal array<double>, valid double")
+
+
+def gene_moments(genes: DataFrame, track: DataFrame, sizes: dict[str, int], window: int = 10_000, blacklist: DataFrame | None = None, gene: str = "gene_id", least_valid: float = 0.0) -> DataFrame:
+    """(gene, total, moment, valid): sums of the signal of ``gene_signal``, and of the signal times its place, without handing on the signal."""
+    def summed(rows: np.ndarray, own: pa.Table) -> pa.Table:
+        rows = turned(rows, own)
+        return pa.table([own[gene], pa.array(rows.sum(1)), pa.array(rows @ np.arange(window, dtype=float)), own["valid"]], [gene, "total", "moment", "valid"])
+
+    return over_windows(gene_windows(genes, sizes, window, blacklist, gene, least_valid), track, window, summed, f"`{gene}` {dict(genes.dtypes)[gene]}, total double, moment double, valid double")
 
 
 def ranked_profiles(correlations: DataFrame, sample: str, profile: str, r: str) -> DataFrame:

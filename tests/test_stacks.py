@@ -209,3 +209,53 @@ def test_correlation_of_a_constant_side(spark):
     rows = [("a", 1.0, 2.0), ("a", 1.0, 5.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0), ("b", 3.0, 5.0), ("b", None, 9.0), ("c", None, 1.0)]
     got = {r["k"]: r["r"] for r in spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(contigs.correlation("x", "y").alias("r")).collect()}
     assert np.isnan(got["a"]) and got["b"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 5])[0, 1]) and got["c"] is None
+
+
+@pytest.fixture(scope="module")
+def dense(spark):
+    """Fragments at nearly every place of 4,000, and some at the end of a block and of the contig."""
+    rng = np.random.default_rng(9)
+    starts = np.concatenate([rng.integers(0, 4000, 6000), rng.integers(64_000, 67_000, 600), rng.integers(199_000, 200_000, 100)])
+    rows = [(1 + k % 2, f"chr{1 + k % 2}", int(s), int(s + n)) for k, (s, n) in enumerate(zip(starts, rng.integers(100, 200, len(starts))))]
+    return rows, spark.createDataFrame(rows, "source_id long, chrom string, s long, e long")
+
+
+def windows_of(genes):
+    return genes + [(901, "x", "chr1", 64_700, 67_000, "+"), (902, "y", "chr2", 65_000, 67_500, "-"), (903, "z", "chr1", 199_000, 200_100, "+"), (904, "w", "chr2", 100, 900, "-")]
+
+
+def test_gene_trajectories(spark, dense):
+    from strandwise.plans import table_queries
+
+    fragments, f = dense
+    genes = windows_of(gene_rows(spark)[0])
+    g = spark.createDataFrame(genes, "gene_id long, gene_name string, chrom string, s long, e long, strand string")
+    b = spark.createDataFrame([(0, "chr1", 500, 900), (1, "chr1", 800, 1000), (2, "chr2", 65_900, 66_000)], "ord long, chrom string, s long, e long")
+    got, most = rows_made(table_queries.gene_trajectories(g, f, b))
+    track = {c: np.bincount([s for _, x, s, _ in fragments if x == c], minlength=203_000) for c in ("chr1", "chr2")}
+    hidden = {c: np.zeros(203_000) for c in track}
+    for c, s, e in (("chr1", 500, 1000), ("chr2", 65_900, 66_000)):
+        hidden[c][s:e] = 1
+    want = {}
+    for k, _, c, s, e, strand in genes:
+        a = s if strand == "+" else e - 2000
+        if a >= 0 and a + 2000 <= 200_200:
+            v = track[c][a:a + 2000][::1 if strand == "+" else -1]
+            want[k] = (int(v.sum()), int(v @ np.arange(2000)), pytest.approx(1 - hidden[c][a:a + 2000].sum() / 2000))
+    assert {r["gene_id"]: (r["total"], r["moment"], r["valid"]) for r in got} == want
+    assert most <= 2 * len(fragments)
+
+
+def test_gene_signal_of_many_groups(spark, dense, monkeypatch):
+    from strandwise.operators import annotate, windows
+
+    fragments, f = dense
+    genes, g = gene_rows(spark)
+    monkeypatch.setattr(windows, "GROUP_VALUES", 5000)
+    monkeypatch.setattr(windows, "MATRIX_VALUES", 1500)
+    got = {r["gene_id"]: r["signal"] for r in annotate.gene_signal(g, catalog._start_track(f), {"chr1": 200_200, "chr2": 200_200}, 700).collect()}
+    track = {c: np.bincount([s for _, x, s, _ in fragments if x == c], minlength=203_000) for c in ("chr1", "chr2")}
+    inside = [r for r in genes if r[5] == "+" or r[4] >= 700]
+    assert set(got) == {r[0] for r in inside}
+    for k, _, c, s, e, strand in inside:
+        assert got[k] == (track[c][s:s + 700] if strand == "+" else track[c][e - 700:e][::-1]).tolist()
