@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contigs import safe_ratio
-from .intervals import first_after, last_before, point_join, running
+from .intervals import binned, first_after, last_before, point_join, running
 from .lineage import cut
 from .select import hashed
 
 #: Rows of a contig that a window over neighbours holds.
 GROUP = 100_000
+#: Bases of a block whose intervals and pairs of neighbours one task counts.
+INSIDE_BLOCK = 1 << 14
 POLICIES = ("highest-score", "first", "keep", "error")
 
 
@@ -233,6 +235,41 @@ def distances_inside(points: DataFrame, intervals: DataFrame, keys: list[str], l
     return gap.select(*[F.col(f"r_{k}").alias(k) for k in keys], "distance")
 
 
+def distances_inside_counts(points: DataFrame, intervals: DataFrame, keys: list[str], label: str, low: int = 1, high: int = 2000, block: int = INSIDE_BLOCK) -> DataFrame:
+    """(label, distance, n): counts of ``distances_inside`` (``keys`` and the label tell intervals apart) by label, without a row for each pair; distances from 1 on.
+
+    Neighbouring places are pairs in order; an interval holds a run of them, so it adds one at the run's first pair and
+    takes it off behind the last. An interval goes to the blocks where it can hold a pair's first place.
+    """
+    places = points.select(F.col("chrom").alias("__c"), F.col("pos").cast("long").alias("__p")).where("__c is not null and __p is not null").distinct()
+    pairs = running(places, ["__c"], ["__p"], {"__q": ("last", F.col("__p"))}, inclusive=False, descending=True)
+    pairs = pairs.where((F.col("__q") - F.col("__p")).between(max(low, 1), high)).withColumn("__block", F.floor(F.col("__p") / F.lit(block)))
+    own = intervals.select("chrom", "s", "e", label, *keys).distinct().select(F.col("chrom").alias("__c"), F.col("s").alias("__s"), F.col("e").alias("__e"), F.col(label).alias("__label"))
+    parts = binned(own, F.col("__s"), F.col("__e"), block, "__block")
+    base = F.col("__block") * block
+    first, past = F.greatest(F.col("__s") - base, F.lit(0)).cast("int"), F.least(F.col("__e") - base, F.lit(block + high + 1)).cast("int")
+    parts = parts.groupBy("__c", "__block", "__label", first.alias("__a"), past.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+
+    def counted(key: tuple, pairs: pa.Table, parts: pa.Table) -> pa.Table:
+        base = key[1].as_py() * block
+        order = np.argsort(pairs["__p"].to_numpy())
+        p, q = pairs["__p"].to_numpy()[order] - base, pairs["__q"].to_numpy()[order] - base
+        a, b = np.searchsorted(p, parts["__a"].to_numpy()), np.searchsorted(q, parts["__b"].to_numpy())
+        known = parts["__label"].combine_chunks().dictionary_encode(null_encoding="encode")
+        codes, n, labels, gaps, sums = known.indices.to_numpy(), parts["__n"].to_numpy(), [], [], []
+        for code in range(len(known.dictionary)):
+            mine = (codes == code) & (b > a)
+            steps = np.bincount(a[mine], n[mine], len(p) + 1) - np.bincount(b[mine], n[mine], len(p) + 1)
+            by_gap = np.bincount(q - p, np.cumsum(steps)[:-1], high + 1)
+            some = np.flatnonzero(by_gap)
+            labels, gaps, sums = [*labels, np.full(len(some), code)], [*gaps, some], [*sums, by_gap[some]]
+        whole = lambda x: np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64)
+        return pa.table([known.dictionary.take(pa.array(whole(labels))), pa.array(whole(gaps)), pa.array(whole(sums))], [label, "distance", "n"])
+
+    found = pairs.groupBy("__c", "__block").cogroup(parts.groupBy("__c", "__block")).applyInArrow(counted, f"`{label}` {dict(intervals.dtypes)[label]}, distance long, n long")
+    return found.groupBy(label, "distance").agg(F.sum("n").alias("n"))
+
+
 def boundary_ranks(n: int, boundaries: list[float]) -> list[tuple[float, float, int, int]]:
     """(lower, upper, first, past) ranks of the bins between percentages; counts by largest remainders, the earlier first."""
     if n < 1 or len(boundaries) < 2 or any(not 0 <= b <= 100 for b in boundaries) or any(a >= b for a, b in zip(boundaries, boundaries[1:])):

@@ -259,3 +259,16 @@ def test_gene_signal_of_many_groups(spark, dense, monkeypatch):
     assert set(got) == {r[0] for r in inside}
     for k, _, c, s, e, strand in inside:
         assert got[k] == (track[c][s:s + 700] if strand == "+" else track[c][e - 700:e][::-1]).tolist()
+
+
+def test_distances_inside_states(stack):
+    from strandwise.plans import table_queries
+
+    peaks, states, p, s = stack
+    got, most = rows_made(table_queries.distances_inside_states(p, s.unionByName(s.limit(3))))
+    want = Counter()
+    for _, chrom, a, b, label in states:
+        own = sorted({r[2] for r in peaks if r[1] == chrom and a <= r[2] < b})
+        want.update((label, y - x) for x, y in zip(own, own[1:]) if y - x <= 400)
+    assert {(r["label"], r["distance"]): r["n"] for r in got} == want
+    assert most <= 2 * len(states) + 2 * len(peaks)
