@@ -113,6 +113,8 @@ def resolution_peaks(distances: np.ndarray, values: np.ndarray, resolution: floa
     were found, then by the fine curve and the raw values where they are.
     """
     distances, values = np.asarray(distances, float), np.asarray(values, float)
+    if not len(distances):
+        return np.empty(0)
     broad, fine = (moving_average_by_distance(distances, values, w) for w in smoothing_windows(resolution))
     first = separated(plateau_maxima(broad), distances, resolution, broad, values)
     tops, moved = plateau_maxima(fine), []

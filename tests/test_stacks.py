@@ -272,3 +272,13 @@ def test_distances_inside_states(stack):
         want.update((label, y - x) for x, y in zip(own, own[1:]) if y - x <= 400)
     assert {(r["label"], r["distance"]): r["n"] for r in got} == want
     assert most <= 2 * len(states) + 2 * len(peaks)
+
+
+def test_repeat_length_of_dense_peaks(spark):
+    """No distance of ten neighbours reaches the least one that is looked at: no peak, and no error; a contig with far ones keeps its own."""
+    near = [(k, "chr1", k * 3, float(k), "view") for k in range(300)]
+    far = [(1000 + k, "chr2", k * 185, float(k), "view") for k in range(300)]
+    made = lambda rows: spark.createDataFrame(rows, "event_id long, chrom string, pos long, score double, klass string")
+    assert catalog.repeat_length(made(near)).collect() == []
+    both, alone = (catalog.repeat_length(made(rows)).orderBy("number").collect() for rows in (near + far, far))
+    assert both == alone
