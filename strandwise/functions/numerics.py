@@ -230,12 +230,13 @@ def density(values: np.ndarray, grid: np.ndarray) -> np.ndarray:
 
 
 def recursive_filter(values: np.ndarray, taps: int = 24, warm: int = 300) -> np.ndarray:
-    """y_t = x_t + sum of y_{t-k} / (5 + 4 (k - 1)), started on the first values repeated.
+    """y_t = x_t + sum of y_{t-k} / (5 + 4 (k - 1)), started on the first values repeated; of one signal or of each row.
 
     The filter is linear, so a block of outputs is the block's inputs and the outputs before it times two fixed
     matrices: 64 outputs a step.
     """
-    x = np.concatenate([values[:warm], values]).astype(float)
+    values = np.asarray(values, float)
+    x = np.concatenate([values[..., :warm], values], -1)
     weights, size = 1 / (5 + 4 * np.arange(taps)), 64
     unit = np.zeros((size, size + taps))  # an output of the block by its inputs, then by the outputs before it, last first
     for t in range(size):
@@ -245,32 +246,36 @@ def recursive_filter(values: np.ndarray, taps: int = 24, warm: int = 300) -> np.
                 unit[t] += weights[k - 1] * unit[t - k]
             else:
                 unit[t, size + k - t - 1] += weights[k - 1]
-    padded = np.concatenate([x, np.zeros(-len(x) % size)])
-    out, last = np.empty(len(padded)), np.zeros(taps)
-    for a in range(0, len(padded), size):
-        out[a:a + size] = unit @ np.concatenate([padded[a:a + size], last])
-        last = out[a + size - taps:a + size][::-1]
-    return out[min(warm, len(values)):len(x)]
+    length, head = x.shape[-1], x.shape[:-1]
+    padded = np.concatenate([x, np.zeros((*head, -length % size))], -1)
+    out, last = np.empty(padded.shape), np.zeros((*head, taps))
+    for a in range(0, padded.shape[-1], size):
+        out[..., a:a + size] = np.concatenate([padded[..., a:a + size], last], -1) @ unit.T
+        last = out[..., a + size - taps:a + size][..., ::-1]
+    return out[..., min(warm, values.shape[-1]):length]
 
 
 def periodogram(values: np.ndarray, periods: np.ndarray, trim: float = 0.1, pad: float = 0.3, taper: float = 0.3) -> np.ndarray:
-    """Spectrum at whole periods: trimmed mean off, line off, cosine taper at both ends, padded, smoothed by (1/8, 1/4, 1/4, 1/4, 1/8)."""
+    """Spectrum at whole periods of one signal or of each row: trimmed mean off, line off, cosine taper at both ends, padded, smoothed by (1/8, 1/4, 1/4, 1/4, 1/8)."""
     x = np.asarray(values, float)
-    n = len(x)
+    n = x.shape[-1]
     cut = int(trim * n)
-    x = x - np.sort(x)[cut:n - cut].mean()
+    x = x - np.sort(x, -1)[..., cut:n - cut].mean(-1, keepdims=True)
     t = np.arange(n) - (n - 1) / 2
-    x = x - x.mean() - t * (t @ x) / (t @ t)
+    x = x - x.mean(-1, keepdims=True) - t * ((x @ t) / (t @ t))[..., None]
     edge = int(taper * n)
     ramp = 0.5 * (1 - np.cos(np.pi * (np.arange(edge) + 0.5) / edge)) if edge else np.empty(0)
-    x[:edge] *= ramp
-    x[n - edge:] *= ramp[::-1]
+    x[..., :edge] *= ramp
+    x[..., n - edge:] *= ramp[::-1]
     size = _fast_length(math.ceil(n * (1 + pad)))
     power = np.abs(np.fft.rfft(x, size)) ** 2 / n
-    power[0] = power[1]
-    wide = np.concatenate([power[2:0:-1], power, power[-2:-4:-1]])
-    smooth = np.convolve(wide, [1 / 8, 1 / 4, 1 / 4, 1 / 4, 1 / 8], "valid")
-    return np.interp(1 / np.asarray(periods, float), np.arange(len(smooth)) / size, smooth)
+    power[..., 0] = power[..., 1]
+    wide = np.concatenate([power[..., 2:0:-1], power, power[..., -2:-4:-1]], -1)
+    m = power.shape[-1]
+    smooth = sum(w * wide[..., i:i + m] for i, w in enumerate([1 / 8, 1 / 4, 1 / 4, 1 / 4, 1 / 8]))
+    place = np.clip(size / np.asarray(periods, float), 0, m - 1)
+    left = np.minimum(place.astype(int), m - 2)
+    return smooth[..., left] + (place - left) * (smooth[..., left + 1] - smooth[..., left])
 
 
 def _fast_length(n: int) -> int:

@@ -8,11 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numerics
 from . import signals
+from .windows import lists, over_windows, turned
 
 #: Bases of a block of a smoothed track, and those that it sees on each side.
 BLOCK, HALO = 100_000, 1_100
@@ -171,6 +173,19 @@ def gene_spectra(profiles: DataFrame, key: str, low: int = 120, high: int = 280,
     return profiles.select(key, "signal").mapInPandas(worked, f"{key} {kind}, period int, power double")
 
 
+def site_spectra(sites: DataFrame, track: DataFrame, half: int, key: str, low: int = 120, high: int = 280, filtered: bool = True) -> DataFrame:
+    """(key, powers): the spectrum at each whole period from ``low`` to ``high`` of the track around each site that has any signal; minus strands are turned."""
+    periods = np.arange(low, high + 1)
+
+    def worked(rows: np.ndarray, own: pa.Table) -> pa.Table:
+        some = rows.any(1)
+        x = turned(rows, own)[some]
+        return pa.table([own[key].filter(pa.array(some)), lists(numerics.periodogram(numerics.recursive_filter(x) if filtered else x, periods))], [key, "powers"])
+
+    around = sites.select(key, "chrom", "strand", (F.col("pos") - half).alias("s"))
+    return over_windows(around, track, 2 * half + 1, worked, f"`{key}` {dict(sites.dtypes)[key]}, powers array<double>")
+
+
 def _schema(df: DataFrame, keys: list[str]) -> str:
     types = dict(df.dtypes)
     return "".join(f"{k} {types[k]}, " for k in keys)

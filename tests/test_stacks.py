@@ -282,3 +282,39 @@ def test_repeat_length_of_dense_peaks(spark):
     assert catalog.repeat_length(made(near)).collect() == []
     both, alone = (catalog.repeat_length(made(rows)).orderBy("number").collect() for rows in (near + far, far))
     assert both == alone
+
+
+def test_periodicity_expression(spark, dense):
+    from strandwise.functions import numerics
+
+    fragments, f = dense
+    genes = windows_of(gene_rows(spark)[0]) + [(905, "none", "chr1", 120_000, 121_000, "+")]
+    g = spark.createDataFrame(genes, "gene_id long, gene_name string, chrom string, s long, e long, strand string")
+    value = {k: float(k * 13 % 29) for k, *_ in genes}
+    x = spark.createDataFrame([(k, "A", v) for k, v in value.items()], "gene_id long, profile string, value double")
+    got, most = rows_made(catalog.periodicity_expression(g, f, x))
+    periods = np.arange(120, 281)
+    track = {c: np.bincount([s + 500 for _, y, s, _ in fragments if y == c], minlength=203_000) for c in ("chr1", "chr2")}
+    power, v = [], []
+    for k, _, c, s, e, strand in genes:
+        at = s if strand == "+" else e - 1
+        own = track[c][at:at + 1001][::1 if strand == "+" else -1].astype(float)
+        if own.any():
+            power.append(numerics.periodogram(numerics.recursive_filter(own), periods))
+            v.append(value[k])
+    from strandwise.functions import contigs
+
+    shown = [r[0] for r in spark.createDataFrame([(i, a) for i, a in enumerate(v)], "i int, value double").orderBy("i").select(contigs.expression_value("value", "log2-floor")).collect()]
+    want = {int(p): (len(v), pytest.approx(np.corrcoef(column, shown)[0, 1], abs=2e-6)) for p, column in zip(periods, np.array(power).T)}
+    assert {r["period"]: (r["genes"], r["r"]) for r in got} == want
+    assert most <= max(2 * len(fragments), len(periods) * len(genes))
+
+
+def test_spectra_of_rows():
+    from strandwise.functions import numerics
+
+    rng = np.random.default_rng(3)
+    rows, periods = rng.poisson(1.0, (5, 1001)).astype(float), np.arange(120, 281)
+    together = numerics.periodogram(numerics.recursive_filter(rows), periods)
+    for row, power in zip(rows, together):
+        assert np.allclose(numerics.periodogram(numerics.recursive_filter(row), periods), power, rtol=1e-9)
