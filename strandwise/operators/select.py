@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import overlap_join, point_join, subtracted
+from .intervals import first_after, last_before, overlap_join, point_join, running, subtracted
+from .lineage import cut
 
 STRANDS = {"plus": "+", "minus": "-"}
 
@@ -142,6 +143,33 @@ def fetched(fragments: DataFrame, ranges: DataFrame, most: int = 1) -> DataFrame
     return overlap_join(ranges, kept).select(*others, "chrom", F.col("r_s").alias("s"), F.col("r_e").alias("e"))
 
 
+def fetched_sums(fragments: DataFrame, ranges: DataFrame, most: int = 1) -> DataFrame:
+    """Rows of ``ranges`` with first start, count and bases of what ``fetched`` gives them; none where nothing meets them.
+
+    Those that begin before a range's end less those that end up to its start meet it, and the least start of those
+    that end behind its start is the first: running sums of starts and ends, and as-of joins, without pairs.
+    """
+    from .spacing import limited_copies
+
+    kept = limited_copies(fragments, most).where("e > s")
+    size = F.col("e") - F.col("s")
+    ends = F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(0).alias("side")), F.struct(F.col("e").alias("pos"), F.lit(1).alias("side"))))
+    places = kept.select("chrom", "s", size.alias("size"), ends.alias("x")).groupBy("chrom", "x.pos", "x.side").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bases"), F.min("s").alias("first"))
+    places = cut(places.withColumnsRenamed({"n": "own_n", "bases": "own_bases", "first": "own_first"}))  # two rows a base at most, read several times
+    sums = {"n": ("sum", F.col("own_n")), "bases": ("sum", F.col("own_bases"))}
+    begun = cut(running(places.where("side = 0"), ["chrom"], ["pos"], sums))
+    over = cut(running(places.where("side = 1"), ["chrom"], ["pos"], sums))
+    over = cut(running(over, ["chrom"], ["pos"], {"first": ("max", -F.col("own_first"))}, descending=True))
+    known = begun.select("chrom", F.col("pos").alias("e"), F.struct("n", "bases").alias("sums"))
+    done = over.select("chrom", F.col("pos").alias("s"), F.struct("n", "bases").alias("sums"))
+    later = over.select("chrom", F.col("pos").alias("s"), (-F.col("first")).alias("first"))
+    asked = cut(last_before(known, ranges.where("e > s"), pos="e", value="sums", name="__begun", strict=True))
+    asked = cut(last_before(done, asked, pos="s", value="sums", name="__over", strict=False))
+    asked = first_after(later, asked, pos="s", value="first", name="first", strict=True)
+    count = lambda c: F.coalesce(F.col(f"__begun.{c}"), F.lit(0)) - F.coalesce(F.col(f"__over.{c}"), F.lit(0))
+    return asked.withColumn("n", count("n")).withColumn("bases", count("bases")).where("n > 0").drop("__begun", "__over")
+
+
 def by_ranges(fragments: DataFrame, ranges: list[tuple[str, int, int]]) -> DataFrame:
     """Fragments once for each range of lengths that has theirs, named."""
     length = F.col("e") - F.col("s")

@@ -318,3 +318,19 @@ def test_spectra_of_rows():
     together = numerics.periodogram(numerics.recursive_filter(rows), periods)
     for row, power in zip(rows, together):
         assert np.allclose(numerics.periodogram(numerics.recursive_filter(row), periods), power, rtol=1e-9)
+
+
+def test_fetched_fragments(spark, dense):
+    from strandwise.plans import signal_queries
+
+    fragments, f = dense
+    genes = windows_of(gene_rows(spark)[0]) + [(905, "none", "chr1", 120_000, 121_000, "+"), (906, "edge", "chr2", 4400, 4500, "+"), (3, "again", "chr2", 10, 400, "-")]
+    got, most = rows_made(signal_queries.fetched_fragments(spark.createDataFrame(genes, "gene_id long, gene_name string, chrom string, s long, e long, strand string"), f))
+    want, once = {}, {r[1:] for r in fragments}
+    for k, _, c, s, e, _ in genes:
+        met = [(a, b) for x, a, b in once if x == c and a < e and b > s]
+        if met:
+            first, n, bases = want.get(k, (10**9, 0, 0))
+            want[k] = (min(first, min(met)[0]), n + len(met), bases + sum(b - a for a, b in met))
+    assert {r["gene_id"]: (r["first"], r["n"], r["bases"]) for r in got} == want
+    assert most <= 2 * len(fragments)
