@@ -366,3 +366,10 @@ def test_pair_percentiles_of_ties(spark):
     for k in "abc":
         d = [x[2] for x in neighbours(rows) if x[0] == k]
         assert got[k] == (len(d), min(d), np.median(d), pytest.approx(np.mean(d), abs=1e-6), max(d))
+
+
+def test_pair_score_correlation_of_ties(spark):
+    rows, p = tied(spark)
+    pairs = [x for x in neighbours(rows) if x[2] <= 5]
+    got = {r["bin"]: (r["n"], r["r"]) for r in catalog.pair_score_correlation(p).collect()}
+    assert got[0] == (len(pairs), pytest.approx(np.corrcoef([x[1] for x in pairs], [x[3] for x in pairs])[0, 1], abs=1e-6))
