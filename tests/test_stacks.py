@@ -373,3 +373,13 @@ def test_pair_score_correlation_of_ties(spark):
     pairs = [x for x in neighbours(rows) if x[2] <= 5]
     got = {r["bin"]: (r["n"], r["r"]) for r in catalog.pair_score_correlation(p).collect()}
     assert got[0] == (len(pairs), pytest.approx(np.corrcoef([x[1] for x in pairs], [x[3] for x in pairs])[0, 1], abs=1e-6))
+
+
+def test_pair_statistics_of_ties(spark):
+    from strandwise.plans import table_queries
+
+    rows, p = tied(spark)
+    got = {r["klass"]: (r["n"], r["r"], r["slope"]) for r in table_queries.pair_statistics(p).collect()}
+    for k in "abc":
+        x, y = zip(*[(a[1], a[3]) for a in neighbours(rows) if a[0] == k])
+        assert got[k] == (len(x), pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-8), pytest.approx(np.polyfit(x, y, 1)[0], abs=1e-8))
