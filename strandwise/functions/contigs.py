@@ -52,10 +52,15 @@ def safe_ratio(top: Column, bottom: Column) -> Column:
     return F.when(odd, F.lit(float("nan"))).when(bottom == 0, over).otherwise(F.try_divide(top, bottom))
 
 
-def correlation(x: Column | str, y: Column | str) -> Column:
-    """Pearson's correlation as an aggregate: NaN where a side does not vary (``corr`` divides by zero there), null without pairs."""
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation as an aggregate: NaN where a side does not vary (``corr`` divides by zero there), null without pairs.
+
+    Such a side is told by its ends, as means that are put together from tasks are off by their rounding.
+    """
+    pair = F.col(x).isNotNull() & F.col(y).isNotNull()
+    flat = [F.min(F.when(pair, F.col(c))) == F.max(F.when(pair, F.col(c))) for c in (x, y)]
     spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
-    return F.when(F.regr_count(y, x) > 0, F.when(spread == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.regr_sxy(y, x), spread)))
+    return F.when(F.regr_count(y, x) > 0, F.when(flat[0] | flat[1], F.lit(float("nan"))).otherwise(F.try_divide(F.regr_sxy(y, x), spread)))
 
 
 def snapped_window(target: Column) -> Column:

@@ -208,6 +208,8 @@ def test_correlation_of_a_constant_side(spark):
 
     rows = [("a", 1.0, 2.0), ("a", 1.0, 5.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0), ("b", 3.0, 5.0), ("b", None, 9.0), ("c", None, 1.0)]
     got = {r["k"]: r["r"] for r in spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(contigs.correlation("x", "y").alias("r")).collect()}
+    parted = spark.range(0, 49 * 6, 1, 6).selectExpr("1.0D as x", "double(id * 7919 % 101) as y")  # 49 times a 49th is not 1
+    assert np.isnan(parted.agg(contigs.correlation("x", "y").alias("r")).first()[0])
     assert np.isnan(got["a"]) and got["b"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 5])[0, 1]) and got["c"] is None
 
 
